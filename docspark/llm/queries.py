@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .bpe import round_trip_digests
 from .common import table
 from .exact_dedup import exact_groups
+from .html_text import main_texts
+
+
+def op2_bpe_round_trip(spark, sf_dir):
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_html_extraction(spark, sf_dir):
+    return main_texts(table(spark, sf_dir, "pages"))
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -11,6 +23,8 @@ def op5_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_html_extraction": op3_html_extraction,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
