@@ -6,8 +6,10 @@ import public_tokenizers
 
 from .bpe import round_trip_digests
 from .common import table
+from .contamination import contained_items
 from .exact_dedup import exact_groups
 from .html_text import main_texts
+from .language import languages
 
 
 def op2_bpe_round_trip(spark, sf_dir):
@@ -22,10 +24,20 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_language_id(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark, sf_dir):
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_html_extraction": op3_html_extraction,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE_SQL = {
@@ -34,4 +46,15 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)""",
+    "op8_decontamination": r"""
+        WITH w AS (
+            SELECT 'doc' AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents
+            UNION ALL
+            SELECT 'item', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+        s AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                                                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+        n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 'item' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, n_shingles, count(*) AS overlap, count(*) / n_shingles AS containment
+        FROM s d JOIN s i ON d.shingle = i.shingle AND d.kind = 'doc' AND i.kind = 'item' JOIN n ON n.id = i.id
+        GROUP BY d.id, i.id, n_shingles HAVING count(*) / n_shingles >= 0.8""",
 }
