@@ -9,6 +9,7 @@ from .common import table
 from .contamination import contained_items
 from .exact_dedup import exact_groups
 from .html_text import main_texts
+from .jaccard import jaccard_components
 from .language import languages
 
 
@@ -32,12 +33,17 @@ def op8_decontamination(spark, sf_dir):
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_html_extraction": op3_html_extraction,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL = {
