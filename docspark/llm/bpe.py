@@ -8,8 +8,11 @@ dies, and its left neighbour), each in logarithmic time, so pieces of millions o
 from __future__ import annotations
 
 import base64
+from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,31 +85,67 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Pieces(dict):
+    """The ids of pieces as packed int32. Recent pieces are looked up; when there are too many, the older generation goes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.old = ranks, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = array("i", encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
+
+    def rest(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Encodes texts; recent pieces are looked up instead of encoded again."""
+    """Encodes texts by a rank table and a splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.split, self.pieces = regex.compile(pattern).findall, Pieces(ranks)
+
+    def packed(self, text: str | None) -> bytes:
+        self.pieces.rest()
+        return b"".join(map(self.pieces.__getitem__, self.split(text or "")))
 
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        young, old = self.young, self.old
-        for piece in self.split(text or ""):
-            found = young.get(piece)
-            if found is None:
-                found = old.get(piece)
-                if found is None:
-                    found = encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)
-                if len(piece) <= 64:
-                    young[piece] = found
-            ids += found
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
-        return ids
+        return array("i", self.packed(text)).tolist()
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        rows = [self.packed(text) for text in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(row) // 4 for row in rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each id; null where no token has it."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    return pa.array(tokens, pa.large_binary())
+
+
+def decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """Each row's bytes: all tokens lie one after the other, so a row is a slice of them."""
+    values = ids.flatten()
+    taken = tokens.take(values)
+    if taken.null_count:
+        raise ValueError("an id that the vocabulary doesn't have")
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    offsets = at[np.concatenate([[0], np.cumsum(sizes)])]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -135,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         encoder = Encoder(ranks.value, pattern)
         for batch in batches:
             for part in _parts(batch):
-                yield _with(part, ids_col, pa.array([encoder.encode(t) for t in part[text_col].to_pylist()], pa.list_(pa.int32())))
+                yield _with(part, ids_col, encoder.column(part[text_col]))
 
     return docs.mapInArrow(run, _schema_with(docs, ids_col, T.ArrayType(T.IntegerType())))
 
@@ -145,10 +184,10 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: st
     ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        tokens = {i: token for token, i in ranks.value.items()}
+        tokens = token_bytes(ranks.value)
         for batch in batches:
             for part in _parts(batch):
-                yield _with(part, bytes_col, pa.array([None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in part[ids_col].to_pylist()], pa.binary()))
+                yield _with(part, bytes_col, decoded(part[ids_col], tokens))
 
     return rows.mapInArrow(run, _schema_with(rows, bytes_col, T.BinaryType()))
 
