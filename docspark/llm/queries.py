@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .html_text import main_texts
 from .jaccard import jaccard_components
 from .language import languages
+from .warc import archived_pages
 
 
 def op2_bpe_round_trip(spark, sf_dir):
@@ -21,6 +22,10 @@ def op3_html_extraction(spark, sf_dir):
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op4_warc_archives(spark, sf_dir):
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -40,6 +45,7 @@ def op9_jaccard_join(spark, sf_dir):
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_html_extraction": op3_html_extraction,
+    "op4_warc_archives": op4_warc_archives,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
@@ -47,6 +53,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_warc_archives": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT html, max(page_id) AS response FROM t WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+        SELECT page_id, octet_length(encode(t.html)) AS payload_bytes, sha1(t.html) AS payload_digest,
+               CASE WHEN page_id <> response THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+        FROM t LEFT JOIN g ON t.html = g.html""",
     "op5_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
