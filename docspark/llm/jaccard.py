@@ -5,8 +5,8 @@
 3. The matrix has a row for each (token, group) of the group's token union, as far as the overlap bound needs it: to reach the threshold a document must share a token
    of its prefix (its first n - ceil(t n) + 1 tokens in one global order) with a member, so a query whose prefix meets none of a group's union
    can't overlap enough with any member, and the group stays closed. Only documents of different groups that meet are compared.
-4. Tokens that very many groups share (a common line) go to the end of the global order, and prefixes that held them are made anew, until no prefix
-   token spans many groups. The order changes the cost, never the result.
+4. The order is by hash, except that tokens which very many documents share (a common line) come last. Counted are the documents of every token in the lowest quarter of
+   the hash range, where nearly all prefixes lie. The order changes the cost, never the result.
 5. Candidates are verified on the whole sets; links of both kinds give the components.
 """
 
@@ -14,21 +14,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mixed, shingles, written
 from .components import components
+from .sieve import passing, sieved
 
 BANDS, ROWS = 6, 4
-#: A prefix token that more groups share goes to the end of the order,
+#: Tokens below this hash are kept for each document (and its prefix at least); their documents are counted.
+LOW = np.uint64(1 << 62)
+#: A token that more documents have comes last in the order,
 WIDE = 64
-#: as long as no more than this many tokens do (they are broadcast); if there were more, WIDE would be raised, not a token dropped.
+#: or, if there are more of them, the widest this many (4 bytes each, broadcast).
 WIDE_LIMIT = 200_000
-#: Bits of the broadcast sieve that spares reading the sets of documents without candidates (1 MB).
-SIEVE_BITS = 1 << 23
-_ODD = [int(x) | 1 for x in mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7)]
+_KEY_SHIFT = np.uint64(30)
+_ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
 
 
 def needed(n: int, percent: int) -> int:
@@ -45,42 +48,40 @@ def token_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(shingles(words, n))
 
 
-def _prefix(tokens: np.ndarray, percent: int, wide: np.ndarray | None = None) -> np.ndarray:
-    if not len(tokens):
-        return tokens
-    size = prefix_sizes(len(tokens), percent)[0]
-    if wide is not None and len(wide):
-        at = np.minimum(np.searchsorted(wide, tokens), len(wide) - 1)
-        last = wide[at] == tokens
-        tokens = np.concatenate([tokens[~last], tokens[last]])
-    return tokens[:size]
+def _is_wide(tokens: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    if not len(wide):
+        return np.zeros(len(tokens), bool)
+    keys = (tokens >> _KEY_SHIFT).astype(np.uint32)
+    return (wide[np.minimum(np.searchsorted(wide, keys), len(wide) - 1)] == keys) & (tokens < LOW)
 
 
 def _bands(tokens: np.ndarray) -> list[int]:
-    least = np.array([(tokens * np.uint64(odd)).min() for odd in _ODD], np.uint64).reshape(BANDS, ROWS)
+    least = np.array([(tokens * odd).min() for odd in _ODD], np.uint64).reshape(BANDS, ROWS)
     return [xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least)]
 
 
 def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, sig (16 bytes that name the set), prefix tokens, bands."""
+    """id, n_shingles, sig (16 bytes that name the set), low (its lowest tokens, in order), bands (of those tokens: a sample of the set that is the same in similar sets)."""
 
     def run(batches):
         words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, sigs, prefixes, bands = [], [], [], []
+                sizes, sigs, lows, bands = [], [], [], []
                 for text in part["text"].to_pylist():
                     tokens = token_set(words.hashes(text), n)
-                    sizes.append(len(tokens))
+                    size = len(tokens)
+                    sizes.append(size)
                     sigs.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                    links = _can_link(len(tokens), percent)
-                    prefixes.append(_prefix(tokens, percent).view(np.int64) if links else None)
-                    bands.append(_bands(tokens) if links else None)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "sig", "prefix", "bands"])
+                    links = size > 0 and _can_link(size, percent)
+                    low = tokens[: max(prefix_sizes(size, percent)[0], int(np.searchsorted(tokens, LOW)))] if links else None
+                    lows.append(low.view(np.int64) if links else None)
+                    bands.append(_bands(low) if links else None)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lows, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "sig", "low", "bands"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, n_shingles long, sig binary, prefix array<long>, bands array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, n_shingles long, sig binary, low array<long>, bands array<long>")
 
 
 def _can_link(n: int, percent: int) -> bool:
@@ -88,50 +89,85 @@ def _can_link(n: int, percent: int) -> bool:
     return 100 * n >= percent * (n + 1) or (n > 1 and 100 * (n - 1) >= percent * n)
 
 
-def _sieved(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
-    """docs with their sieve slot, and the broadcast sieve: a bitmap of the ids' slots. It lets all of ids pass, and few others."""
-    slot = F.xxhash64("id").bitwiseAND(SIEVE_BITS - 1)
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
-    sieve = np.zeros(SIEVE_BITS // 64, np.uint64)
-    for word, bits in words.collect():  # SIEVE_BITS / 64 rows at most
-        sieve[word] = bits & (2**64 - 1)
-    return docs.withColumn("slot", slot), docs.sparkSession.sparkContext.broadcast(sieve)
-
-
-def _passing(batch: pa.RecordBatch, sieve: np.ndarray) -> pa.RecordBatch:
-    slots = batch["slot"].to_numpy().astype(np.uint64)
-    return batch.filter(pa.array((sieve[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)))
-
-
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """id and the whole token set (packed) of the documents that ids names, and a few more."""
-    rows, sieve = _sieved(docs, ids)
+    rows, sieve = sieved(docs, ids)
 
     def run(batches):
         words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = _passing(batch.slice(at, 500), sieve.value)
+                part = passing(batch.slice(at, 500), sieve.value)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([token_set(words.hashes(t), n).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "tokens"])
 
     return rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens binary")
 
 
-def _new_prefixes(docs: DataFrame, ids: DataFrame, n: int, percent: int, wide: np.ndarray) -> DataFrame:
-    """id, n_shingles and prefix of the documents that ids names, with the wide tokens last in the order."""
-    rows, sieve = _sieved(docs, ids)
-    last = docs.sparkSession.sparkContext.broadcast(wide)
+def _wide(reps: DataFrame) -> np.ndarray:
+    """Keys (32 bits of a hash below LOW) of the tokens that more than WIDE documents have. Tasks deal out packed keys by slices of the range."""
+    slices = 1 << max(8, (4 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
 
-    def run(batches):
+    def pack(batches):
+        for batch in batches:
+            tokens = batch["low"].flatten().to_numpy().view(np.uint64)
+            keys = np.sort((tokens[tokens < LOW] >> _KEY_SHIFT).astype(np.uint32))
+            cuts = np.searchsorted(keys, np.arange(slices + 1, dtype=np.uint64) * np.uint64((1 << 32) // slices))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], ["slice", "keys"])
+
+    def count(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, keys in zip(batch["slice"].to_pylist(), batch["keys"].to_pylist()):
+                held.setdefault(k, []).append(keys)
+        for parts in held.values():
+            keys, n = np.unique(np.frombuffer(b"".join(parts), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > WIDE].astype(np.int64)), pa.array(n[n > WIDE])], ["key", "n"])
+
+    counts = reps.select("low").mapInArrow(pack, "slice long, keys binary").repartition("slice").mapInArrow(count, "key long, n long")
+    return np.sort(counts.orderBy(F.desc("n"), "key").limit(WIDE_LIMIT).toPandas()["key"].to_numpy(np.int64).astype(np.uint32))
+
+
+def _split_prefix(tokens: np.ndarray, size: int, percent: int, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The prefix of a set of `size` tokens, of which `tokens` are the lowest: the part that counts for the smaller of a pair, and the rest. None if more tokens are needed."""
+    probe, index = prefix_sizes(size, percent)
+    last = _is_wide(tokens, wide)
+    if len(tokens) < size and len(tokens) - last.sum() < probe:
+        return None
+    tokens = np.concatenate([tokens[~last], tokens[last]])[:probe]
+    return tokens[:index].view(np.int64), tokens[index:].view(np.int64)
+
+
+def _prefixes(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n_shingles, index, rest of the classes: from their low tokens, or from the whole text where those don't suffice."""
+    wide = docs.sparkSession.sparkContext.broadcast(_wide(reps))
+    id_type = docs.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, n_shingles long, index array<long>, rest array<long>"
+
+    def out(ids, sizes, found):
+        lists = [pa.array([f and f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *lists], ["id", "n_shingles", "index", "rest"])
+
+    def from_low(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                low, sizes = part["low"], part["n_shingles"].to_pylist()
+                flat, ends = low.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(low).to_pylist()])
+                yield out(part["id"], sizes, [_split_prefix(flat[i:j], size, percent, wide.value) for i, j, size in zip(ends[:-1], ends[1:], sizes)])
+
+    def from_text(batches):
         words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = _passing(batch.slice(at, 500), sieve.value)
+                part = passing(batch.slice(at, 500), sieve.value)
                 sets = [token_set(words.hashes(t), n) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_prefix(s, percent, last.value).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "n_shingles", "prefix"])
+                yield out(part["id"], [len(x) for x in sets], [_split_prefix(x, len(x), percent, wide.value) for x in sets])
 
-    found = rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, prefix array<long>")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id", "n_shingles"])
+    first = written(reps.select("id", "n_shingles", "low").mapInArrow(from_low, schema), "jaccard-prefixes")
+    short = first.where(F.col("index").isNull()).select("id").distinct()
+    rows, sieve = sieved(docs, short)
+    more = rows.mapInArrow(from_text, schema).join(short, "id", "left_semi").dropDuplicates(["id", "n_shingles"])
+    return first.where(F.col("index").isNotNull()).unionByName(more)
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -154,25 +190,15 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return written(both.mapInArrow(run, f"a {id_type}, b {id_type}"), "jaccard-links")
 
 
-def _wide_tokens(met: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Tokens of met (token, grp) that more than WIDE groups share, or the WIDE_LIMIT widest, and those known before."""
-    spans = met.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("span")).where(F.col("span") > WIDE)
-    found = spans.orderBy(F.desc("span"), "token").limit(WIDE_LIMIT).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.setdiff1d(found.view(np.uint64), known)
-
-
-def _met(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(token, id, n, pos, grp) of the prefix tokens that at least two groups have."""
-    rows = prefixes.join(groups, "id", "left").select("id", F.col("n_shingles").alias("n"), F.coalesce("grp", "id").alias("grp"), F.posexplode("prefix").alias("pos", "token"))
-    matrix = rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where(F.col("low") < F.col("high")).select("token")
-    return written(rows.join(matrix, "token"), "jaccard-met")
-
-
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different groups that share a prefix token, and whose sizes allow a link."""
-    index_size = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different groups that meet at a prefix token, and whose sizes allow a link."""
+    tokens = prefixes.select("id", F.explode("index").alias("token"), F.lit(True).alias("small")).unionByName(prefixes.select("id", F.explode("rest").alias("token"), F.lit(False).alias("small")))
+    matrix = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high")).select("token")
+    open_rows = written(tokens.join(matrix, "token"), "jaccard-met")
+    sized = prefixes.select("id", F.col("n_shingles").alias("n")).join(groups, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp"))
+    met = written(open_rows.join(sized, "id"), "jaccard-met")
     left = met.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grp").alias("g_a"))
-    right = met.where(F.col("pos") < index_size).select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("g_b"))
+    right = met.where("small").select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("g_b"))
     fits = (F.col("g_a") != F.col("g_b")) & ((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     return left.join(right, (left["token"] == right["token"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -190,7 +216,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = heads.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("sig").agg(F.min("id").alias("rep"))
     same = written(known.select("id", "sig").join(classes, "sig").select("id", "rep").distinct(), "jaccard-classes")
-    reps = known.join(same.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi").where(F.col("prefix").isNotNull()).dropDuplicates(["id", "sig"])
+    reps = known.join(same.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi").where(F.col("low").isNotNull()).dropDuplicates(["id", "sig"])
+    reps = written(reps, "jaccard-reps")
 
     # Groups of similar documents.
     banded = reps.select("id", F.explode("bands").alias("band"))
@@ -199,17 +226,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _linked(docs, stars, n, percent)
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("grp"))
 
-    # The token-group matrix, under an order without wide tokens.
-    prefixes, wide = reps.select("id", "n_shingles", "prefix"), np.empty(0, np.uint64)
-    met = _met(prefixes, groups)
-    while len(more := _wide_tokens(met, wide)):
-        wide = np.union1d(wide, more)
-        tokens = docs.sparkSession.createDataFrame([(int(t),) for t in more.view(np.int64)], "token long")
-        stale = written(met.join(F.broadcast(tokens), "token", "left_semi").select("id").distinct(), "jaccard-stale")
-        fresh = _new_prefixes(docs, stale, n, percent, wide)
-        prefixes = written(prefixes.join(stale, "id", "left_anti").unionByName(fresh), "jaccard-prefixes")
-        met = _met(prefixes, groups)
-    more_links = _linked(docs, _candidates(met, percent), n, percent)
+    more_links = _linked(docs, _candidates(_prefixes(docs, reps, n, percent), groups, percent), n, percent)
 
     # An id with several texts is one node, so it ties its classes together.
     least = same.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("id", "a")

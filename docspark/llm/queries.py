@@ -11,9 +11,14 @@ from .exact_dedup import exact_groups
 from .html_text import main_texts
 from .jaccard import jaccard_components
 from .language import languages
+from .passages import repeated_passages
 from .warc import archived_pages
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,6 +48,7 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_html_extraction": op3_html_extraction,
     "op4_warc_archives": op4_warc_archives,
