@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from . import license_scan, secret_scan
 from .bpe import round_trip_digests
 from .common import table
 from .contamination import contained_items
@@ -35,6 +37,11 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.labelled_examples(spark), path_col="source")
+    return found.select("doc_id", "start", "n_chars", F.sha2("secret", 256).alias("secret_sha256"), F.round("probability", 6).alias("probability"))
+
+
 def op7_language_id(spark, sf_dir):
     return languages(table(spark, sf_dir, "documents"))
 
@@ -47,15 +54,26 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op10_license_scan(spark, sf_dir):
+    """Documents have no paths: they are laid out as /source/lang/doc_id.txt, and texts of at most 400 characters as licence files."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.length("text") <= 400, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    files = docs.select(F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), name).alias("path"), "text")
+    found = license_scan.scan(files, license_scan.template_table(spark))
+    return found.select(F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "path", "license_id", F.round("score", 6).alias("score"), "how", "from_path")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_html_extraction": op3_html_extraction,
     "op4_warc_archives": op4_warc_archives,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
