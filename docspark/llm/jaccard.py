@@ -3,9 +3,9 @@
 1. Every document becomes its set of distinct n-word shingle hashes. Equal sets are one class, represented by its smallest id.
 2. Similar classes are put into groups: MinHash bands name a leader, the pair (class, leader) is verified exactly, verified links make groups.
 3. The matrix has a row for each (token, group) of the group's token union, as far as the overlap bound needs it: to reach the threshold a document must share a token
-   of its prefix (its first n - ceil(t n) + 1 tokens in one global order) with a member, so a query whose prefix meets none of a group's union
-   can't overlap enough with any member, and the group stays closed. Only documents of different groups that meet are compared.
-4. The order is by hash, except that tokens which very many documents share (a common line) come last. Counted are the documents of every token in the lowest quarter of
+   of its prefix (its first n - ceil(t n) + k tokens in one global order) at k places with a member, so a query whose prefix meets a group's union at fewer places
+   can't overlap enough with any member, and the group stays closed. Only documents of different groups that meet so often are compared.
+4. The order is by hash, except that tokens which very many documents share (a common line) come last. Counted are the documents of every token in the lowest 22 % of
    the hash range, where nearly all prefixes lie. The order changes the cost, never the result.
 5. Candidates are verified on the whole sets; links of both kinds give the components.
 """
@@ -18,14 +18,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, mixed, shingles, written
 from .components import components
 from .sieve import passing, sieved
 
 BANDS, ROWS = 6, 4
+#: Prefixes are longer than one common token needs by this percentage of the set, so that as many tokens must be common: a shared line doesn't make candidates.
+EXTRA = 5
 #: Tokens below this hash are kept for each document (and its prefix at least); their documents are counted.
-LOW = np.uint64(1 << 62)
+LOW = np.uint64(2**64 // 100 * 22)
 #: A token that more documents have comes last in the order,
 WIDE = 64
 #: or, if there are more of them, the widest this many (4 bytes each, broadcast).
@@ -39,9 +42,18 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n: int) -> int:
+    """Prefix tokens that a set of n shares at least with a set that it links to (of both sets the lower number)."""
+    return max(1, n * EXTRA // 100)
+
+
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
-    """Prefix lengths of a set as the larger and as the smaller one of a pair."""
-    return n - needed(n, percent) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    """Prefix lengths of a set as the larger and as the smaller one of a pair.
+
+    Sets that share o tokens share at least k of their first n - o + k, in any common order.
+    """
+    k = shared_least(n)
+    return n - needed(n, percent) + k, n - -(-2 * percent * n // (100 + percent)) + k
 
 
 def token_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -80,8 +92,7 @@ def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     bands.append(_bands(low) if links else None)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lows, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "sig", "low", "bands"])
 
-    id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, n_shingles long, sig binary, low array<long>, bands array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, sig binary, low array<long>, bands array<long>")
 
 
 def _can_link(n: int, percent: int) -> bool:
@@ -100,12 +111,12 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 part = passing(batch.slice(at, 500), sieve.value)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([token_set(words.hashes(t), n).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "tokens"])
 
-    return rows.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens binary")
+    return rows.mapInArrow(run, "id long, tokens binary")
 
 
-def _wide(reps: DataFrame) -> np.ndarray:
+def _wide(heads: DataFrame) -> np.ndarray:
     """Keys (32 bits of a hash below LOW) of the tokens that more than WIDE documents have. Tasks deal out packed keys by slices of the range."""
-    slices = 1 << max(8, (4 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    slices = _slices(heads.sparkSession)
 
     def pack(batches):
         for batch in batches:
@@ -123,7 +134,7 @@ def _wide(reps: DataFrame) -> np.ndarray:
             keys, n = np.unique(np.frombuffer(b"".join(parts), np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > WIDE].astype(np.int64)), pa.array(n[n > WIDE])], ["key", "n"])
 
-    counts = reps.select("low").mapInArrow(pack, "slice long, keys binary").repartition("slice").mapInArrow(count, "key long, n long")
+    counts = heads.where(F.col("low").isNotNull()).select("low").mapInArrow(pack, "slice long, keys binary").repartition("slice").mapInArrow(count, "key long, n long")
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(WIDE_LIMIT).toPandas()["key"].to_numpy(np.int64).astype(np.uint32))
 
 
@@ -137,11 +148,10 @@ def _split_prefix(tokens: np.ndarray, size: int, percent: int, wide: np.ndarray)
     return tokens[:index].view(np.int64), tokens[index:].view(np.int64)
 
 
-def _prefixes(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """id, n_shingles, index, rest of the classes: from their low tokens, or from the whole text where those don't suffice."""
-    wide = docs.sparkSession.sparkContext.broadcast(_wide(reps))
-    id_type = docs.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_shingles long, index array<long>, rest array<long>"
+    wide = docs.sparkSession.sparkContext.broadcast(_wide(heads))
+    schema = "id long, n_shingles long, index array<long>, rest array<long>"
 
     def out(ids, sizes, found):
         lists = [pa.array([f and f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
@@ -163,10 +173,11 @@ def _prefixes(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFra
                 sets = [token_set(words.hashes(t), n) for t in part["text"].to_pylist()]
                 yield out(part["id"], [len(x) for x in sets], [_split_prefix(x, len(x), percent, wide.value) for x in sets])
 
-    first = written(reps.select("id", "n_shingles", "low").mapInArrow(from_low, schema), "jaccard-prefixes")
+    of_reps = heads.where(F.col("low").isNotNull()).select("id", "n_shingles", "low").join(reps, "id", "left_semi")
+    first = written(of_reps.mapInArrow(from_low, schema), "jaccard-prefixes")
     short = first.where(F.col("index").isNull()).select("id").distinct()
     rows, sieve = sieved(docs, short)
-    more = rows.mapInArrow(from_text, schema).join(short, "id", "left_semi").dropDuplicates(["id", "n_shingles"])
+    more = written(rows.mapInArrow(from_text, schema).join(short, "id", "left_semi"), "jaccard-prefixes")
     return first.where(F.col("index").isNotNull()).unionByName(more)
 
 
@@ -184,23 +195,66 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    id_type = docs.schema["id"].dataType.simpleString()
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(both.mapInArrow(run, f"a {id_type}, b {id_type}"), "jaccard-links")
+    return written(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+
+
+def _slices(spark) -> int:
+    """Slices of the token range that packed tokens are dealt out by: some for each shuffle partition."""
+    return 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+
+def _met(prefixes: DataFrame) -> DataFrame:
+    """token, id, small of the prefix tokens that at least two documents have. small: the token counts where the document is the smaller of a pair.
+
+    Tasks deal out packed columns by slices of the token range; a slice is sorted and its single tokens go. Wide tokens come last in the order, so
+    a token is in few prefixes.
+    """
+    bits = _slices(prefixes.sparkSession).bit_length() - 1
+
+    def pack(batches):
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            tokens, owners, smalls = [], [], []
+            for name, small in (("index", True), ("rest", False)):
+                tokens.append(batch[name].flatten().to_numpy().view(np.uint64))
+                owners.append(np.repeat(ids, pc.list_value_length(batch[name]).to_numpy()))
+                smalls.append(np.full(len(tokens[-1]), small))
+            tokens, owners, smalls = np.concatenate(tokens), np.concatenate(owners), np.concatenate(smalls)
+            order = np.argsort(tokens)
+            tokens, owners, smalls = tokens[order], owners[order], smalls[order]
+            slices, starts = np.unique(tokens >> np.uint64(64 - bits), return_index=True)
+            ends = [*starts[1:], len(tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for x in (tokens, owners, smalls))], ["slice", "tokens", "owners", "smalls"])
+
+    def meet(batches):
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for k, *packed in zip(*(batch[c].to_pylist() for c in ("slice", "tokens", "owners", "smalls"))):
+                held.setdefault(k, []).append(packed)
+        for parts in held.values():
+            tokens, owners, smalls = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts), (np.uint64, np.int64, bool)))
+            order = np.lexsort((owners, tokens))
+            tokens, owners, smalls = tokens[order], owners[order], smalls[order]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            sizes = np.diff([*starts, len(tokens)])
+            keep = np.repeat(owners[starts] != owners[starts + sizes - 1], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(owners[keep]), pa.array(smalls[keep])], ["token", "id", "small"])
+
+    return prefixes.mapInArrow(pack, "slice long, tokens binary, owners binary, smalls binary").repartition("slice").mapInArrow(meet, "token long, id long, small boolean")
 
 
 def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents of different groups that meet at a prefix token, and whose sizes allow a link."""
-    tokens = prefixes.select("id", F.explode("index").alias("token"), F.lit(True).alias("small")).unionByName(prefixes.select("id", F.explode("rest").alias("token"), F.lit(False).alias("small")))
-    matrix = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high")).select("token")
-    open_rows = written(tokens.join(matrix, "token"), "jaccard-met")
     sized = prefixes.select("id", F.col("n_shingles").alias("n")).join(groups, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp"))
-    met = written(open_rows.join(sized, "id"), "jaccard-met")
-    left = met.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grp").alias("g_a"))
-    right = met.where("small").select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("g_b"))
+    met = written(_met(prefixes).join(sized, "id"), "jaccard-met")
+    k = F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA / 100))
+    left = met.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grp").alias("g_a"), k.alias("k_a"))
+    right = met.where("small").select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("g_b"), k.alias("k_b"))
     fits = (F.col("g_a") != F.col("g_b")) & ((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return left.join(right, (left["token"] == right["token"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meetings = left.join(right, (left["token"] == right["token"]) & fits).groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("k_a", "k_b")).alias("k"))
+    return meetings.where(F.col("common") >= F.col("k")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -211,29 +265,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     link with nothing. Shingles are compared by 64-bit hashes. Rows with a null id have a null component_id and link with nothing; rows that share an id are one node.
     An empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    if not isinstance(id_type, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     heads = written(_heads(docs, n, percent), "jaccard-heads")
     known = heads.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("sig").agg(F.min("id").alias("rep"))
     same = written(known.select("id", "sig").join(classes, "sig").select("id", "rep").distinct(), "jaccard-classes")
-    reps = known.join(same.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi").where(F.col("low").isNotNull()).dropDuplicates(["id", "sig"])
-    reps = written(reps, "jaccard-reps")
+    reps = same.where(F.col("id") == F.col("rep")).select("id")
 
     # Groups of similar documents.
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = known.where(F.col("bands").isNotNull()).select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("other")).where(F.col("leader") < F.col("other")).select("band", "leader")
     stars = banded.join(leaders, "band").where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = _linked(docs, stars, n, percent)
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("grp"))
 
-    more_links = _linked(docs, _candidates(_prefixes(docs, reps, n, percent), groups, percent), n, percent)
+    more_links = _linked(docs, _candidates(_prefixes(docs, known, reps, n, percent), groups, percent), n, percent)
 
     # An id with several texts is one node, so it ties its classes together.
     least = same.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("id", "a")
     tied = same.join(least, "id").select("a", F.col("rep").alias("b"))
     joined = components(links.unionByName(more_links).unionByName(tied))
     named = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    return heads.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return heads.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(id_type).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
