@@ -1,6 +1,7 @@
 """Filters: dictionaries in MongoDB's query language become one boolean Column.
 
-Logic is two-valued: a comparison with a missing value is false, `$ne`, `$nin`, `$not` and `$nor` of it are true. Every leaf is made so, so negation is safe.
+Logic is two-valued: a comparison with a missing value is false, `$ne`, `$nin`, `$not` and `$nor` of it are true. Below a negation every leaf is made so;
+elsewhere in a filter of rows leaves stay plain comparisons, which sources can evaluate.
 Unknown operators raise ValueError.
 """
 
@@ -58,43 +59,47 @@ def generation_params(query: dict) -> tuple[dict, dict]:
     return params, {k: v for k, v in query.items() if k not in GENERATION_KEYS}
 
 
-def compile_filter(query: dict | None, schema: T.StructType) -> Column:
-    """The filter as a Column that is never null. An empty filter is true."""
-    terms = [_term(key, value, schema) for key, value in generation_params(query or {})[1].items()]
-    return reduce(lambda a, b: a & b, terms, F.lit(True))
+def compile_filter(query: dict | None, schema: T.StructType, total: bool = True) -> Column:
+    """The filter as a Column that is never null (without total, null may stand for false). An empty filter is true."""
+    terms = [_term(key, value, schema, total) for key, value in generation_params(query or {})[1].items()]
+    return reduce(lambda a, b: a & b, terms) if terms else F.lit(True)
+
+
+def _sure(test: Column, total: bool) -> Column:
+    return F.coalesce(test, F.lit(False)) if total else test
 
 
-def _all(queries: list[dict], schema: T.StructType) -> list[Column]:
+def _all(queries: list[dict], schema: T.StructType, total: bool) -> list[Column]:
     if not isinstance(queries, (list, tuple)) or not queries:
         raise ValueError("$and, $or and $nor take a list of filters")
-    return [compile_filter(q, schema) for q in queries]
+    return [compile_filter(q, schema, total) for q in queries]
 
 
-def _term(key: str, value, schema: T.StructType) -> Column:
+def _term(key: str, value, schema: T.StructType, total: bool) -> Column:
     if key == "$and":
-        return reduce(lambda a, b: a & b, _all(value, schema))
+        return reduce(lambda a, b: a & b, _all(value, schema, total))
     if key == "$or":
-        return reduce(lambda a, b: a | b, _all(value, schema))
+        return reduce(lambda a, b: a | b, _all(value, schema, total))
     if key == "$nor":
-        return ~reduce(lambda a, b: a | b, _all(value, schema))
+        return ~reduce(lambda a, b: a | b, _all(value, schema, True))
     if key == "$not":
         return ~compile_filter(value, schema)
     if key.startswith("$"):
         raise ValueError(f"unknown operator in a filter: {key}")
     kind = field_type(key, schema)
     if kind is None:  # no document has it
-        return _condition(F.lit(None), value, None)
-    return _condition(field(key, schema), value, kind)
+        return _condition(F.lit(None), value, None, total)
+    return _condition(field(key, schema), value, kind, total)
 
 
 def is_operators(value) -> bool:
     return isinstance(value, dict) and bool(value) and all(k.startswith("$") for k in value)
 
 
-def _condition(c: Column, value, kind: T.DataType | None) -> Column:
+def _condition(c: Column, value, kind: T.DataType | None, total: bool) -> Column:
     if not is_operators(value):
-        return _equals(c, value, kind)
-    terms = [_operator(c, op, arg, kind, value) for op, arg in value.items() if op != "$options"]
+        return _equals(c, value, kind, total)
+    terms = [_operator(c, op, arg, kind, value, total) for op, arg in value.items() if op != "$options"]
     return reduce(lambda a, b: a & b, terms)
 
 
@@ -126,29 +131,29 @@ def _comparable(kind: T.DataType | None, value) -> bool:
     return True
 
 
-def _equals(c: Column, value, kind: T.DataType | None) -> Column:
+def _equals(c: Column, value, kind: T.DataType | None, total: bool = True) -> Column:
     if value is None:
         return c.isNull()
     if not _comparable(kind, value):
         return F.lit(False)
     if isinstance(value, (list, tuple)) and not value:
-        return F.coalesce(F.size(c) == 0, F.lit(False))
-    return F.coalesce(c == literal(value), F.lit(False))
+        return _sure(F.size(c) == 0, total)
+    return _sure(c == literal(value), total)
 
 
-def _order(c: Column, value, kind, test) -> Column:
+def _order(c: Column, value, kind, test, total: bool) -> Column:
     if value is None or not _comparable(kind, value):
         return F.lit(False)
-    return F.coalesce(test(c, literal(value)), F.lit(False))
+    return _sure(test(c, literal(value)), total)
 
 
-def _in(c: Column, values, kind) -> Column:
+def _in(c: Column, values, kind, total: bool = True) -> Column:
     if not isinstance(values, (list, tuple)):
         raise ValueError("$in and $nin take a list")
     plain = [v for v in values if v is not None and _comparable(kind, v)]
     found = F.lit(False)
     if plain:
-        found = F.coalesce(c.isin(plain), F.lit(False)) if not any(isinstance(v, (dict, list, tuple)) for v in plain) else reduce(lambda a, b: a | b, [_equals(c, v, kind) for v in plain])
+        found = _sure(c.isin(plain), total) if not any(isinstance(v, (dict, list, tuple)) for v in plain) else reduce(lambda a, b: a | b, [_equals(c, v, kind, total) for v in plain])
     return found | c.isNull() if any(v is None for v in values) else found
 
 
@@ -171,24 +176,24 @@ def _has_type(c: Column, names, kind: T.DataType | None) -> Column:
     return reduce(lambda a, b: a | b, terms)
 
 
-def _operator(c: Column, op: str, arg, kind: T.DataType | None, whole: dict) -> Column:
+def _operator(c: Column, op: str, arg, kind: T.DataType | None, whole: dict, total: bool) -> Column:
     array = isinstance(kind, T.ArrayType)
     if op == "$eq":
-        return _equals(c, arg, kind)
+        return _equals(c, arg, kind, total)
     if op == "$ne":
         return ~_equals(c, arg, kind)
     if op == "$gt":
-        return _order(c, arg, kind, lambda a, b: a > b)
+        return _order(c, arg, kind, lambda a, b: a > b, total)
     if op == "$gte":
-        return _order(c, arg, kind, lambda a, b: a >= b)
+        return _order(c, arg, kind, lambda a, b: a >= b, total)
     if op == "$lt":
-        return _order(c, arg, kind, lambda a, b: a < b)
+        return _order(c, arg, kind, lambda a, b: a < b, total)
     if op == "$lte":
-        return _order(c, arg, kind, lambda a, b: a <= b)
+        return _order(c, arg, kind, lambda a, b: a <= b, total)
     if op == "$between":
-        return _order(c, arg[0], kind, lambda a, b: a >= b) & _order(c, arg[1], kind, lambda a, b: a <= b)
+        return _order(c, arg[0], kind, lambda a, b: a >= b, total) & _order(c, arg[1], kind, lambda a, b: a <= b, total)
     if op == "$in":
-        return _in(c, arg, kind)
+        return _in(c, arg, kind, total)
     if op == "$nin":
         return ~_in(c, arg, kind)
     if op == "$exists":
@@ -206,23 +211,23 @@ def _operator(c: Column, op: str, arg, kind: T.DataType | None, whole: dict) ->
     if op == "$elemMatch":
         if not array:
             return F.lit(False)
-        return F.coalesce(F.exists(c, lambda x: _element(x, arg, kind.elementType)), F.lit(False))
+        return _sure(F.exists(c, lambda x: _element(x, arg, kind.elementType)), total)
     if op == "$not":
-        return ~_condition(c, arg, kind)
+        return ~_condition(c, arg, kind, True)
     raise ValueError(f"unknown operator in a filter: {op}")
 
 
 def _element(x: Column, query, kind: T.DataType) -> Column:
     if is_operators(query) or not isinstance(query, dict):
-        return _condition(x, query, kind)
+        return _condition(x, query, kind, True)
     terms = []
     for path, value in query.items():
         inner = field_type(path, kind) if isinstance(kind, T.StructType) else None
         if inner is None:
-            terms.append(_condition(F.lit(None), value, None))
+            terms.append(_condition(F.lit(None), value, None, True))
             continue
         at = x
         for step in path.split("."):
             at = at.getField(step)
-        terms.append(_condition(at, value, inner))
+        terms.append(_condition(at, value, inner, True))
     return reduce(lambda a, b: a & b, terms, F.lit(True))

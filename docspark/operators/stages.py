@@ -93,7 +93,7 @@ def projected(df: DataFrame, spec: dict, keep_id: bool = False) -> DataFrame:
 
 
 def match(df, spec, context):
-    return df.where(compile_filter(spec, df.schema))
+    return df.where(compile_filter(spec, df.schema, total=False))
 
 
 def project(df, spec, context):

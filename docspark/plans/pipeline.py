@@ -13,7 +13,7 @@ from ..operators.stages import STAGES, Context, lookup_filtered, lookup_joined,
 
 def find(df: DataFrame, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
     """Filter, then sort, then skip and limit, then project. limit None (or 0) means all."""
-    out = df.where(compile_filter(query, df.schema)) if query else df
+    out = df.where(compile_filter(query, df.schema, total=False)) if query else df
     if sort:
         out = out.orderBy(*sort_columns(out, sort))
     if skip:
