@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
 from . import profile as P
 
 #: Values kept with their frequencies in a model; the rest is only counted.
@@ -35,79 +36,123 @@ def infer(df: DataFrame, options: Options | None = None) -> dict:
     return model
 
 
+@dataclass
+class _Branch:
+    """The values of one scalar field that have one logical type, as a column of a view."""
+
+    field: str
+    kind: str
+    column: str
+    values: F.Column
+
+
 def _object(df: DataFrame, options: Options) -> dict:
     found = {r["path"]: r for r in P.fields(df).collect()} if df.columns else {}
-    properties = {}
+    properties: dict[str, dict] = {}
+    branches: list[_Branch] = []
     for f in df.schema.fields:
-        stats = found[f.name]
+        stats, c = found[f.name], F.col(f"`{f.name}`")
         if not stats["n_present"]:
             continue  # nothing is known of a field that is always null
-        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StructType):
             properties[f.name] = _object(df.where(c.isNotNull()).select(f"`{f.name}`.*"), options)
         elif isinstance(f.dataType, T.ArrayType):
             properties[f.name] = _array(df, f, options)
         else:
-            properties[f.name] = _scalar(df.select(c.alias("v")), list(stats["types"]), f.dataType, options)
-        properties[f.name] |= {"count": stats["n"], "present": stats["n_present"]}
+            properties[f.name] = {}
+            branches += _branches(f, c, list(stats["types"]), len(branches))
+    models = _scalars(df.select(*[b.values.alias(b.column) for b in branches]), df.schema, branches, options) if branches else {}
+    for name in properties:
+        mine = [models[b.column] for b in branches if b.field == name]
+        if mine:
+            properties[name] = mine[0] if len(mine) == 1 else {"anyOf": mine}
+        properties[name] |= {"count": found[name]["n"], "present": found[name]["n_present"]}
     return {"type": "object", "properties": properties, "required": sorted(n for n, r in found.items() if r["required"] and r["n"])}
 
 
+def _branches(f: T.StructField, c: F.Column, kinds: list[str], first: int) -> list[_Branch]:
+    one = len(kinds) == 1
+    return [_Branch(f.name, k, f"c{first + i}", c if one else F.when(P.logical_type(c, f.dataType) == k, c)) for i, k in enumerate(kinds)]
+
+
 def _array(df: DataFrame, f: T.StructField, options: Options) -> dict:
     stats = P.arrays(df, f"`{f.name}`").first()
-    items = df.select(F.explode(f"`{f.name}`").alias("v"))
     out = {"type": "array", "minItems": stats["min_items"], "maxItems": stats["max_items"]}
     if stats["unique_items"]:
         out["uniqueItems"] = True
-    if isinstance(f.dataType.elementType, T.StructType):
+    element = f.dataType.elementType
+    items = df.select(F.explode(f"`{f.name}`").alias("v"))
+    if isinstance(element, T.StructType):
         out["items"] = _object(items.where("v IS NOT NULL").select("v.*"), options)
-    elif not isinstance(f.dataType.elementType, T.ArrayType):
-        kinds = [r[0] for r in items.where("v IS NOT NULL").select(P.logical_type(F.col("v"), f.dataType.elementType)).distinct().collect()]
-        if kinds:
-            out["items"] = _scalar(items, sorted(kinds), f.dataType.elementType, options)
+    elif not isinstance(element, T.ArrayType):
+        known = _object(items, options)["properties"].get("v")
+        if known:
+            out["items"] = {k: v for k, v in known.items() if k not in ("count", "present")}
     return out
 
 
-def _scalar(values: DataFrame, kinds: list[str], kind: T.DataType, options: Options) -> dict:
-    """A model of column v. Several logical types become an anyOf, each over its own values."""
-    if len(kinds) > 1:
-        return {"anyOf": [_scalar(values.where(P.logical_type(F.col("v"), kind) == k), [k], kind, options) for k in kinds]}
-    name = kinds[0]
-    out: dict = {"type": name}
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):  # a date is an object; its range in seconds
-        seconds = values.agg(*[f(F.unix_timestamp(F.col("v").cast("timestamp"))) for f in (F.min, F.max)]).first()
-        return out | {"temporal": True, "minimum": seconds[0], "maximum": seconds[1]}
-    if name in ("integer", "number"):
-        stats = P.numbers(values, ["v"]).first()
-        whole = name == "integer"
-        out |= {"minimum": int(stats["minimum"]) if whole else stats["minimum"], "maximum": int(stats["maximum"]) if whole else stats["maximum"]}
-        if whole and (m := P.multiple_of(values, ["v"]).first()["multiple_of"]):
-            out["multipleOf"] = m
-        if options.histograms and stats["n"] >= P.HISTOGRAM_LEAST:
-            out["histogram"] = histogram_model(P.histogram(values, "v"), stats)
-    elif name == "string":
-        stats = P.lengths(values, ["v"]).first()
-        out |= {"minLength": stats["min_length"], "maxLength": stats["max_length"]}
-        if options.formats and (fmt := P.format_of(values, ["v"]).first()["format"]):
-            out["format"] = fmt
-        if options.patterns and (pattern := P.pattern_of(values, ["v"]).first()["pattern"]):
-            out["pattern"] = pattern
+def _scalars(view: DataFrame, schema: T.StructType, branches: list[_Branch], options: Options) -> dict[str, dict]:
+    """Models by column of the view. All numbers share three passes over the data, all texts two; each text column is counted once, and the rest comes from the counts."""
+    out: dict[str, dict] = {b.column: {"type": b.kind} for b in branches}
+    dates = [b.column for b in branches if isinstance(schema[b.field].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    numeric = [b.column for b in branches if b.kind in ("integer", "number")]
+    whole = [b.column for b in branches if b.kind == "integer"]
+    texts = [b.column for b in branches if b.kind == "string"]
+    if dates:  # a date is an object; its range is kept in seconds
+        row = view.agg(*[f(F.unix_timestamp(F.col(c).cast("timestamp"))).alias(f"{c}_{name}") for c in dates for name, f in (("minimum", F.min), ("maximum", F.max))]).first()
+        for c in dates:
+            out[c] |= {"temporal": True, "minimum": row[f"{c}_minimum"], "maximum": row[f"{c}_maximum"]}
+    if numeric:
+        stats = {r["path"]: r for r in P.numbers(view, numeric).collect()}
+        for c in numeric:
+            cast = int if c in whole else float
+            out[c] |= {"minimum": cast(stats[c]["minimum"]), "maximum": cast(stats[c]["maximum"])}
+        if whole:
+            for r in P.multiple_of(view, whole).collect():
+                if r["multiple_of"]:
+                    out[r["path"]]["multipleOf"] = r["multiple_of"]
+        if options.histograms:
+            bounds = {c: (stats[c]["minimum"], stats[c]["maximum"]) for c in numeric if stats[c]["n"] >= P.HISTOGRAM_LEAST}
+            for c, counts in P.histograms(view, bounds).items():
+                out[c]["histogram"] = histogram_model(counts, stats[c])
+    if texts and options.formats:
+        for r in P.format_of(view, texts).collect():
+            if r["format"]:
+                out[r["path"]]["format"] = r["format"]
+    if texts and options.patterns:
+        for r in P.pattern_of(view, texts).collect():
+            if r["pattern"]:
+                out[r["path"]]["pattern"] = r["pattern"]
+    for c in texts:
+        counts = written(P.value_counts(view, c), "value-counts")
+        stats = P.lengths(counts, ["value"], "n").first()
+        out[c] |= {"minLength": stats["min_length"], "maxLength": stats["max_length"]}
         if options.string_models:
-            out["stringModel"] = string_model(values, stats)
-    if name in ("string", "integer"):
-        enum = P.enum_of(values, "v", options.enum_threshold).first()
-        if enum["is_enum"]:
-            out["enum"] = list(enum["values"])
+            out[c]["stringModel"] = string_model(counts, stats)
+        _add_enum(out[c], P.enum_of(counts, "value", options.enum_threshold, "n").first())
+    for c in whole:
+        if out[c]["maximum"] - out[c]["minimum"] < 20 or not options.histograms:  # only few whole numbers can make an enum
+            _add_enum(out[c], P.enum_of(view, c, options.enum_threshold).first())
     return out
 
 
-def histogram_model(bins: DataFrame, stats) -> dict:
-    rows = [{"rangeStart": r["range_start"], "rangeEnd": r["range_end"], "count": r["n"], "freqStart": r["freq_start"], "freqEnd": r["freq_end"]} for r in bins.orderBy("bin").collect()]
-    total = sum(r["count"] for r in rows)
+def _add_enum(m: dict, enum) -> None:
+    if enum["is_enum"]:
+        m["enum"] = list(enum["values"])
+
+
+def histogram_model(counts: list[int], stats) -> dict:
+    """The bins of counts over the range of stats; empty bins are left out."""
+    total, low, high = sum(counts), float(stats["minimum"]), float(stats["maximum"])
+    width, before, rows = (high - low) / len(counts), 0, []
+    for i, n in enumerate(counts):
+        if n:
+            rows.append({"rangeStart": _four(low + width * i), "rangeEnd": _four(low + width * (i + 1)), "count": n, "freqStart": math.floor(before * 10_000 / total + 0.5) / 100, "freqEnd": math.floor((before + n) * 10_000 / total + 0.5) / 100})
+        before += n
     entropy = _four(-sum(r["count"] / total * math.log2(r["count"] / total) for r in rows) or 0.0)
     return {
-        "bins": rows, "totalCount": total, "minValue": stats["minimum"], "maxValue": stats["maximum"], "standardDeviation": stats["standard_deviation"], "entropyScore": entropy, "maxEntropy": _four(math.log2(len(rows))),
-        "complexity": P.histogram_complexity(rows, total, stats["minimum"], stats["maximum"], stats["standard_deviation"], entropy),
+        "bins": rows, "totalCount": total, "minValue": low, "maxValue": high, "standardDeviation": stats["standard_deviation"], "entropyScore": entropy, "maxEntropy": _four(math.log2(len(rows))),
+        "complexity": P.histogram_complexity(rows, total, low, high, stats["standard_deviation"], entropy),
     }
 
 
@@ -115,17 +160,17 @@ def _four(x: float) -> float:
     return math.floor(x * 10_000 + 0.5) / 10_000
 
 
-def string_model(values: DataFrame, stats) -> dict:
-    counts = P.value_counts(values, "v")
+def string_model(counts: DataFrame, stats) -> dict:
+    """From the values and their numbers (value, n)."""
     kept = {r["value"]: r["n"] for r in P.top(counts, KEPT_VALUES, "n", "value").collect()}
-    chars = {r["ch"]: r for r in P.character_counts(values, "v").collect()}
+    chars = {r["ch"]: r for r in P.character_counts(counts, "value", "n").collect()}
     entropy = P.entropy(counts).first()["entropy"]
     tops = lambda rows, key: {r[key]: r["n"] for r in rows.collect()}
     samples = list(kept)[: P.TOP_SAMPLES]
     model = {
         "minLength": stats["min_length"], "maxLength": stats["max_length"], "averageLength": stats["average_length"], "totalSamples": stats["n"], "uniqueValueCount": stats["n_distinct"],
         "characterFrequency": {c: r["n"] for c, r in chars.items()}, "characterProbability": {c: r["probability"] for c, r in chars.items()}, "uniqueCharacters": sorted(chars),
-        "patterns": tops(P.shapes(values, "v"), "pattern"), "nGrams": tops(P.ngrams(values, "v"), "gram"), "prefixes": tops(P.affixes(values, "v", "prefix"), "affix"), "suffixes": tops(P.affixes(values, "v", "suffix"), "affix"),
+        "patterns": tops(P.shapes(counts, "value", "n"), "pattern"), "nGrams": tops(P.ngrams(counts, "value", weight="n"), "gram"), "prefixes": tops(P.affixes(counts, "value", "prefix", "n"), "affix"), "suffixes": tops(P.affixes(counts, "value", "suffix", "n"), "affix"),
         "valueFrequency": kept, "sampleValues": samples, "entropyScore": entropy,
     }
     model["maxEntropy"] = _four(max([entropy, *map(_entropy_of, samples), math.log2(len(chars)) if chars else 0.0]))

@@ -38,9 +38,9 @@ def half_up(c: Column, digits: int) -> Column:
     return F.floor(c * 10**digits + 0.5) / 10**digits
 
 
-def present(df: DataFrame, path: str, name: str = "v") -> DataFrame:
-    """The values of one field that aren't null, as column `name`."""
-    return df.select(F.col(path).alias(name)).where(F.col(name).isNotNull())
+def present(df: DataFrame, path: str, weight: str | None = None) -> DataFrame:
+    """The values v of one field that aren't null, and how often each row counts (w: a column, else 1)."""
+    return df.select(F.col(path).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).where(F.col("v").isNotNull())
 
 
 def top(df: DataFrame, n: int, count: str, key: str) -> DataFrame:
@@ -117,6 +117,19 @@ def histogram(df: DataFrame, path: str, bins: int = BINS) -> DataFrame:
     return binned.select("bin", half_up(F.when(one, F.col("lo")).otherwise(edge(F.col("bin"))), 4).alias("range_start"), half_up(F.when(one, F.col("hi")).otherwise(edge(F.col("bin") + 1)), 4).alias("range_end"), "n", half_up(running * 100.0 / F.col("total") - share, 2).alias("freq_start"), half_up(running * 100.0 / F.col("total"), 2).alias("freq_end"), "total")
 
 
+def histograms(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: int = BINS) -> dict[str, list[int]]:
+    """Counts per bin of many fields, whose least and greatest values are known, in one pass."""
+    aggregates, names = [], list(bounds)
+    for i, name in enumerate(names):
+        c, (low, high) = F.col(name).cast("double"), bounds[name]
+        edges = [F.lit(low) + (high - low) / bins * k for k in range(bins)]
+        for k in range(bins if high > low else 1):
+            upper = c < edges[k + 1] if high > low and k + 1 < bins else F.lit(True)
+            aggregates.append(F.count_if((c >= edges[k]) & upper).alias(f"h{i}_{k}"))
+    row = df.agg(*aggregates).first() if aggregates else {}
+    return {name: [row[f"h{i}_{k}"] for k in range(bins if bounds[name][1] > bounds[name][0] else 1)] for i, name in enumerate(names)}
+
+
 def histogram_entropy(bins: DataFrame) -> DataFrame:
     """entropy, max_entropy (four digits) of a histogram's bins."""
     p = F.col("n") / F.col("total")
@@ -164,22 +177,23 @@ def multiple_of(df: DataFrame, paths: list[str]) -> DataFrame:
 # Strings
 
 
-def lengths(df: DataFrame, paths: list[str]) -> DataFrame:
+def lengths(df: DataFrame, paths: list[str], weight: str | None = None) -> DataFrame:
     """Per field: path, n, n_distinct, min_length, max_length, average_length (two digits), in code points. n_distinct by a map-side combined count."""
     parts = []
     for p in paths:
-        values = present(df, p)
-        parts.append(values.groupBy("v").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.min(F.length("v")).alias("min_length"), F.max(F.length("v")).alias("max_length"), half_up(F.sum(F.length("v") * F.col("c")) / F.sum("c"), 2).alias("average_length")).select(F.lit(p).alias("path"), "*"))
+        counts = value_counts(df, p, weight)
+        size = F.length("value")
+        parts.append(counts.agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), half_up(F.sum(size * F.col("n")) / F.sum("n"), 2).alias("average_length")).select(F.lit(p).alias("path"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def value_counts(df: DataFrame, path: str) -> DataFrame:
-    return present(df, path, "value").groupBy("value").agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, path: str, weight: str | None = None) -> DataFrame:
+    return present(df, path, weight).groupBy(F.col("v").alias("value")).agg(F.sum("w").alias("n"))
 
 
-def character_counts(df: DataFrame, path: str) -> DataFrame:
+def character_counts(df: DataFrame, path: str, weight: str | None = None) -> DataFrame:
     """ch, n, probability (four digits) of every code point."""
-    counts = present(df, path).select(F.explode(F.split("v", "")).alias("ch")).where(F.col("ch") != "").groupBy("ch").agg(F.count("*").alias("n"))
+    counts = present(df, path, weight).select(F.explode(F.split("v", "")).alias("ch"), "w").where(F.col("ch") != "").groupBy("ch").agg(F.sum("w").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("ch", "n", half_up(F.col("n") / F.col("total"), 4).alias("probability"))
 
@@ -191,25 +205,25 @@ def shape(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.substring(r, 1, 1), F.when(F.length(r) > 1, F.concat(F.lit("{"), F.length(r).cast("string"), F.lit("}"))).otherwise(""))), "")
 
 
-def shapes(df: DataFrame, path: str) -> DataFrame:
+def shapes(df: DataFrame, path: str, weight: str | None = None) -> DataFrame:
     """pattern, n of the most frequent shapes."""
-    return top(present(df, path).groupBy(shape(F.col("v")).alias("pattern")).agg(F.count("*").alias("n")), TOP_PATTERNS, "n", "pattern")
+    return top(present(df, path, weight).groupBy(shape(F.col("v")).alias("pattern")).agg(F.sum("w").alias("n")), TOP_PATTERNS, "n", "pattern")
 
 
-def affixes(df: DataFrame, path: str, kind: str) -> DataFrame:
+def affixes(df: DataFrame, path: str, kind: str, weight: str | None = None) -> DataFrame:
     """affix, n: prefixes or suffixes of one to three characters (no longer than the shortest value) that occur more than once."""
-    values = present(df, path)
+    values = present(df, path, weight)
     longest = values.agg(F.least(F.lit(3), F.min(F.length("v"))).alias("k"))
-    rows = values.join(F.broadcast(longest)).where("k > 0").select("v", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("size"))
+    rows = values.join(F.broadcast(longest)).where("k > 0").select("v", "w", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("size"))
     cut = F.left(F.col("v"), F.col("size")) if kind == "prefix" else F.right(F.col("v"), F.col("size"))
-    return top(rows.groupBy(cut.alias("affix")).agg(F.count("*").alias("n")).where("n > 1"), TOP_AFFIXES, "n", "affix")
+    return top(rows.groupBy(cut.alias("affix")).agg(F.sum("w").alias("n")).where("n > 1"), TOP_AFFIXES, "n", "affix")
 
 
-def ngrams(df: DataFrame, path: str, sizes: tuple[int, ...] = (2, 3), limit: int | None = TOP_NGRAMS) -> DataFrame:
+def ngrams(df: DataFrame, path: str, sizes: tuple[int, ...] = (2, 3), limit: int | None = TOP_NGRAMS, weight: str | None = None) -> DataFrame:
     """gram, n: character n-grams that occur more than once."""
-    values = present(df, path)
+    values = present(df, path, weight)
     each = [_grams(F.col("v"), k) for k in sizes]
-    counts = values.select(F.explode(F.concat(*each)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    counts = values.select(F.explode(F.concat(*each)).alias("gram"), "w").groupBy("gram").agg(F.sum("w").alias("n")).where("n > 1")
     return top(counts, limit, "n", "gram") if limit else counts
 
 
@@ -251,12 +265,12 @@ def pattern_of(df: DataFrame, paths: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"p{i}").alias("pattern")) for i, p in enumerate(paths)])).alias("f")).select("f.*")
 
 
-def enum_of(df: DataFrame, path: str, threshold: float = 0.5) -> DataFrame:
+def enum_of(df: DataFrame, path: str, threshold: float = 0.5, weight: str | None = None) -> DataFrame:
     """path, n, n_distinct, is_enum, values (sorted; null if no enum): few distinct values for the number of values.
 
     At most 21 values are gathered, more can't be an enum.
     """
-    counts = value_counts(df, path)
+    counts = value_counts(df, path, weight)
     stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_distinct"))
     few = counts.select("value").orderBy("value").limit(21).agg(F.array_sort(F.collect_list("value")).alias("first_values"))
     d, n = F.col("n_distinct"), F.col("n")

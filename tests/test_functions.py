@@ -94,7 +94,7 @@ def test_generated_documents_are_valid(spark, things):
 
 @pytest.mark.parametrize("entropy", [0.0, 0.6, 1.0])
 def test_entropy_levels_keep_lengths(spark, entropy):
-    m = {"properties": {"s": {"type": "string", "minLength": 2, "maxLength": 6, "stringModel": model.string_model(spark.createDataFrame([("ab12",), ("Xy",), ("q-9zzz",)], "v string"), {"min_length": 2, "max_length": 6, "average_length": 4.0, "n": 3, "n_distinct": 3})}}, "required": ["s"]}
+    m = {"properties": {"s": {"type": "string", "minLength": 2, "maxLength": 6, "stringModel": model.string_model(spark.createDataFrame([("ab12", 1), ("Xy", 1), ("q-9zzz", 1)], "value string, n long"), {"min_length": 2, "max_length": 6, "average_length": 4.0, "n": 3, "n_distinct": 3})}}, "required": ["s"]}
     out = [r["s"] for r in generate.generate(spark, m, 100, seed=1, entropy=entropy).collect()]
     assert all(2 <= len(s) <= 6 for s in out)
     assert entropy or set(out) <= {"ab12", "Xy", "q-9zzz"}
