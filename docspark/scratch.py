@@ -30,10 +30,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back. The folder goes when the driver exits."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession, path)
+    """df, written to the shared folder and read back: lost executors don't lose it."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
