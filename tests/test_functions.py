@@ -231,3 +231,18 @@ def test_quality_and_coverage(spark, things):
     assert 0 < q["overall"] <= 1 and not math.isnan(q["overall"])
     assert {r["path"]: r["coverage"] for r in model.coverage(things, m).collect()}["price"] == 0.75
     assert model.recommendations({"properties": {}}, 3)
+
+
+def test_metrics(spark, things):
+    from docspark.metrics import Metrics, explain, observed, percentiles
+
+    m = Metrics()
+    for _ in range(3):
+        with m.timed("q"):
+            pass
+    assert m.summary("q")["n"] == 3 and m.counters["q"] == 3 and m.summary("none") == {}
+    df, watch = observed(things)
+    df.write.format("noop").mode("overwrite").save()
+    assert watch.get["n"] == 40
+    assert "HashAggregate" in explain(things, [{"$group": {"_id": "$code", "n": {"$sum": 1}}}])
+    assert percentiles(things, "k").first()["median"] == 19
