@@ -86,12 +86,45 @@ def _term(key: str, value, schema: T.StructType, total: bool) -> Column:
         return ~compile_filter(value, schema)
     if key.startswith("$"):
         raise ValueError(f"unknown operator in a filter: {key}")
+    top = key.partition(".")[0]
+    if isinstance(field_type(top, schema), T.VariantType):
+        return _variant_condition(top, key[len(top) + 1 :], value, total)
     kind = field_type(key, schema)
     if kind is None:  # no document has it
         return _condition(F.lit(None), value, None, total)
     return _condition(field(key, schema), value, kind, total)
 
 
+_VARIANT_TYPES = {"int": ["BIGINT"], "long": ["BIGINT"], "double": ["DOUBLE", "DECIMAL"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "string": ["STRING"], "bool": ["BOOLEAN"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"]}
+
+
+def _variant_condition(top: str, path: str, value, total: bool) -> Column:
+    """A condition on a place in a VARIANT column, where null and missing differ: `$exists` holds for null, equality with null for both."""
+    place = "$" + "".join(f"[{s}]" if s.isdigit() else f".{s}" for s in path.split(".") if s)
+    raw = F.try_variant_get(F.col(f"`{top}`"), place, "variant")
+    terms = []
+    for op, arg in (value if is_operators(value) else {"$eq": value}).items():
+        if op == "$options":
+            continue
+        if op == "$exists":
+            terms.append(raw.isNotNull() if arg else raw.isNull())
+        elif op == "$type":
+            names = [n for name in (arg if isinstance(arg, (list, tuple)) else [arg]) for n in _VARIANT_TYPES[name]]
+            terms.append(F.coalesce(F.schema_of_variant(raw).rlike(f"^(?:{'|'.join(names)})"), F.lit(False)))
+        elif op == "$not":
+            terms.append(~_variant_condition(top, path, arg, True))
+        elif arg is None and op in ("$eq", "$ne"):
+            null = raw.isNull() | F.coalesce(F.is_variant_null(raw), F.lit(False))
+            terms.append(null if op == "$eq" else ~null)
+        else:
+            first = next((x for x in (arg if isinstance(arg, (list, tuple)) else [arg]) if x is not None), None)
+            kind = T.BooleanType() if isinstance(first, bool) else T.DoubleType() if isinstance(first, (int, float)) else T.StringType()
+            typed = F.try_variant_get(F.col(f"`{top}`"), place, kind.simpleString())
+            same = F.schema_of_variant(raw).rlike({"boolean": "^BOOLEAN", "double": "^(?:BIGINT|DOUBLE|DECIMAL)", "string": "^STRING"}[kind.simpleString()])
+            terms.append(_operator(F.when(same, typed), op, arg, kind, value, total))
+    return reduce(lambda a, b: a & b, terms)
+
+
 def is_operators(value) -> bool:
     return isinstance(value, dict) and bool(value) and all(k.startswith("$") for k in value)
 

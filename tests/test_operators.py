@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from docspark.operators import updates
 from docspark.plans import aggregate, find
@@ -135,3 +136,13 @@ def test_filter_reaches_the_scan(spark):
     plan = aggregate(orders, [{"$match": {"o_orderkey": {"$gt": 5}}}, {"$project": {"o_orderkey": 1}}])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,5)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+@pytest.mark.parametrize(
+    ("query", "expected"),
+    [({"doc.a": 5}, [1]), ({"doc.a": {"$gt": 4.5}}, [1, 4]), ({"doc.a": {"$exists": True}}, [1, 2, 4, 5]), ({"doc.a": {"$exists": False}}, [3]), ({"doc.a": None}, [2, 3]), ({"doc.a": {"$type": "number"}}, [1, 4]), ({"doc.a": "5"}, [5]), ({"doc.a": {"$ne": 5}}, [2, 3, 4, 5]), ({"doc.b.0": "x"}, [3])],
+)
+def test_variant_columns_tell_null_from_missing(spark, query, expected):
+    rows = [(1, '{"a": 5}'), (2, '{"a": null}'), (3, '{"b": ["x"]}'), (4, '{"a": 7.5}'), (5, '{"a": "5"}')]
+    df = spark.createDataFrame(rows, "_id int, s string").select("_id", F.parse_json("s").alias("doc"))
+    assert ids(find(df, query)) == expected
