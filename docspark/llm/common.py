@@ -2,52 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folders: dict[str, str] = {}
+from ..scratch import new_folder, shared_dir, written
+
+__all__ = ["Words", "few_rows_a_batch", "mixed", "new_folder", "shared_dir", "shingles", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_folders[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int):
+    """While an action runs, Arrow batches of at most `rows` rows: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
     try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM has gone already
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back. Lost executors don't lose the table."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +36,7 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 class Words:
     """Word sequences of texts as 64-bit hashes. Words are runs of characters other than ASCII white space; A-Z are lower-cased."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
         self.known: dict[bytes, int] = {}
 

@@ -1,13 +1,14 @@
 """N-gram Jaccard join with a token-group matrix; exact.
 
 1. Every document becomes its set of distinct n-word shingle hashes. Equal sets are one class, represented by its smallest id.
-2. Similar classes are put into groups: MinHash bands name a leader, the pair (class, leader) is verified exactly, verified links make groups.
-3. The matrix has a row for each (token, group) of the group's token union, as far as the overlap bound needs it: to reach the threshold a document must share a token
-   of its prefix (its first n - ceil(t n) + k tokens in one global order) at k places with a member, so a query whose prefix meets a group's union at fewer places
-   can't overlap enough with any member, and the group stays closed. Only documents of different groups that meet so often are compared.
-4. The order is by hash, except that tokens which very many documents share (a common line) come last. Counted are the documents of every token in the lowest 22 % of
-   the hash range, where nearly all prefixes lie. The order changes the cost, never the result.
-5. Candidates are verified on the whole sets; links of both kinds give the components.
+2. Similar classes are partitioned into groups: of the MinHash bands of a class the most shared one names its cluster, and clusters are cut into
+   groups of bounded size; a class that shares no band is a group of its own.
+3. The matrix has a row for each (token, group) of the group's token union, as far as the overlap bound needs it: to link, two documents must share k tokens
+   of their prefixes (the first n - ceil(t n) + k tokens in one global order), so two groups whose unions of prefixes share fewer can't hold a link and stay closed.
+   Pairs of groups that share enough are opened: their members are compared with each other, whole sets, in one step.
+4. The order is by hash, except that tokens which many documents share (a common line) come last. Counted are the documents of every token in the part of the
+   hash range where prefixes lie, and of all tokens of documents whose prefixes reach further. The order changes the cost, never the result.
+5. An opened pair (and each group in itself) gives no more links than tie its members together; all links give the components.
 """
 
 from __future__ import annotations
@@ -20,20 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mixed, shingles, written
+from .common import Words, few_rows_a_batch, mixed, shingles, written
 from .components import components
+from .meeting import slices
 from .sieve import passing, sieved
 
-BANDS, ROWS = 6, 4
-#: Prefixes are longer than one common token needs by this percentage of the set, so that as many tokens must be common: a shared line doesn't make candidates.
-EXTRA = 5
-#: Tokens below this hash are kept for each document (and its prefix at least); their documents are counted.
-LOW = np.uint64(2**64 // 100 * 22)
+BANDS, ROWS = 8, 2
+#: Documents and tokens of a group, about.
+GROUP_DOCS, GROUP_TOKENS = 256, 32_768
+#: Prefixes are longer than one common token needs by this percentage of the set and as many tokens more, so that as many must be common: a shared line doesn't make candidates.
+EXTRA, MORE = 3, 4
+#: Of each document the tokens in the lowest part of the hash range are kept: what a prefix takes on average, and this percentage more.
+SPARE = 5
 #: A token that more documents have comes last in the order,
-WIDE = 64
+WIDE = 32
 #: or, if there are more of them, the widest this many (4 bytes each, broadcast).
 WIDE_LIMIT = 200_000
-_KEY_SHIFT = np.uint64(30)
+_KEY_SHIFT = np.uint64(32)
 _ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
 
 
@@ -42,9 +46,9 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shared_least(n: int) -> int:
+def shared_least(n: int, percent: int) -> int:
     """Prefix tokens that a set of n shares at least with a set that it links to (of both sets the lower number)."""
-    return max(1, n * EXTRA // 100)
+    return min(needed(n, percent), n * EXTRA // 100 + MORE)
 
 
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
@@ -52,8 +56,8 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
 
     Sets that share o tokens share at least k of their first n - o + k, in any common order.
     """
-    k = shared_least(n)
-    return n - needed(n, percent) + k, n - -(-2 * percent * n // (100 + percent)) + k
+    k = shared_least(n, percent)
+    return n - needed(n, percent) + k, min(n, n - -(-2 * percent * n // (100 + percent)) + k)
 
 
 def token_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -64,7 +68,7 @@ def _is_wide(tokens: np.ndarray, wide: np.ndarray) -> np.ndarray:
     if not len(wide):
         return np.zeros(len(tokens), bool)
     keys = (tokens >> _KEY_SHIFT).astype(np.uint32)
-    return (wide[np.minimum(np.searchsorted(wide, keys), len(wide) - 1)] == keys) & (tokens < LOW)
+    return (wide[np.minimum(np.searchsorted(wide, keys), len(wide) - 1)] == keys)
 
 
 def _bands(tokens: np.ndarray) -> list[int]:
@@ -75,6 +79,8 @@ def _bands(tokens: np.ndarray) -> list[int]:
 def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """id, n_shingles, sig (16 bytes that name the set), low (its lowest tokens, in order), bands (of those tokens: a sample of the set that is the same in similar sets)."""
 
+    until = np.uint64((1 << 64) // 100 * (100 - percent + EXTRA + SPARE))
+
     def run(batches):
         words = Words()
         for batch in batches:
@@ -87,7 +93,7 @@ def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     sizes.append(size)
                     sigs.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                     links = size > 0 and _can_link(size, percent)
-                    low = tokens[: max(prefix_sizes(size, percent)[0], int(np.searchsorted(tokens, LOW)))] if links else None
+                    low = tokens[: max(prefix_sizes(size, percent)[0], int(np.searchsorted(tokens, until)))] if links else None
                     lows.append(low.view(np.int64) if links else None)
                     bands.append(_bands(low) if links else None)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lows, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "sig", "low", "bands"])
@@ -114,16 +120,113 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, tokens binary")
 
 
+def _groups(known: DataFrame, reps: DataFrame) -> DataFrame:
+    """id, n, grp of the classes: clusters by their most shared band, cut into groups; the rest alone under its id."""
+    sized = known.where(F.col("low").isNotNull()).select("id", F.col("n_shingles").alias("n"), "bands").join(reps, "id", "left_semi")
+    banded = sized.select("id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    chosen = banded.join(shared, "band").groupBy("id").agg(F.max_by("leader", F.struct("members", -F.col("leader"))).alias("cluster"))
+    member = written(sized.select("id", "n").join(chosen, "id", "left"), "jaccard-clusters")
+    cuts = member.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
+    cuts = cuts.select("cluster", F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("tokens") / GROUP_TOKENS)).alias("parts"))
+    grp = F.when(F.col("parts").isNotNull(), -F.shiftrightunsigned(F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.col("parts"))), 2) - 1).otherwise(F.col("id"))
+    return written(member.join(cuts, "cluster", "left").select("id", "n", grp.alias("grp")), "jaccard-groups")
+
+
+_PACKED = "grp long, ids array<long>, sizes array<int>, tokens binary"
+_LINKS = "a long, b long"
+
+
+def _packed_groups(sets: DataFrame) -> DataFrame:
+    """One row for each group of sets (grp, id, tokens)."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        tokens = group["tokens"].to_pylist()
+        return pa.table({"grp": group["grp"][:1].combine_chunks(), "ids": pa.array([group["id"].to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([[len(t) // 8 for t in tokens]], pa.list_(pa.int32())), "tokens": pa.array([b"".join(tokens)], pa.binary())})
+
+    return sets.groupBy("grp").applyInArrow(pack, _PACKED)
+
+
+def spanning_links(ids_a, sizes_a, tokens_a, ids_b, sizes_b, tokens_b, percent: int) -> list[tuple[int, int]]:
+    """Links between the documents of two packed groups, no more than tie together what they link."""
+    sizes_a, sizes_b = np.array(sizes_a), np.array(sizes_b)
+    rows_b = np.repeat(np.arange(len(sizes_b)), sizes_b)
+    order = np.argsort(tokens_b, kind="stable")
+    tokens_b, rows_b = tokens_b[order], rows_b[order]
+    shared = np.zeros((len(sizes_a), len(sizes_b)), np.int64)
+    at = 0
+    for i, size in enumerate(sizes_a):
+        mine = tokens_a[at : at + size]
+        at += size
+        low, high = np.searchsorted(tokens_b, mine, "left"), np.searchsorted(tokens_b, mine, "right")
+        n = high - low
+        hits = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        shared[i] = np.bincount(rows_b[hits], minlength=len(sizes_b))
+    links = np.argwhere(100 * shared >= percent * (sizes_a[:, None] + sizes_b[None, :] - shared))
+    found, parent = [], {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in links:
+        a, b = root(ids_a[i]), root(ids_b[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            found.append((ids_a[i], ids_b[j]))
+    return found
+
+
+def _links_within(packed: DataFrame, percent: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = []
+            for ids, sizes, tokens in zip(*(batch[c].to_pylist() for c in ("ids", "sizes", "tokens"))):
+                tokens = np.frombuffer(tokens, np.uint64)
+                found += spanning_links(ids, sizes, tokens, ids, sizes, tokens, percent)
+            yield _as_links(found)
+
+    return packed.select("ids", "sizes", "tokens").mapInArrow(run, _LINKS)
+
+
+def _as_links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _links_between(docs: DataFrame, pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Opens the pairs (g, h) of groups and compares their members."""
+    pairs = written(pairs, "jaccard-pairs")
+    wanted = written(pairs.select(F.col("g").alias("grp")).union(pairs.select("h")).distinct(), "jaccard-opened")
+    known = packed.join(wanted, "grp", "left_semi")
+    alone = wanted.join(packed.select("grp"), "grp", "left_anti").withColumnRenamed("grp", "id")
+    singles = written(_sets(docs, alone, n).join(alone, "id", "left_semi"), "jaccard-sets")
+    all_groups = singles.select(F.col("id").alias("grp"), F.array("id").alias("ids"), F.array((F.octet_length("tokens") / 8).cast("int")).alias("sizes"), "tokens").unionByName(known)
+    side = lambda k, s: all_groups.select(F.col("grp").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "sizes", "tokens")])
+    # Groups of many have the smaller numbers: they are g, and join last, after which nothing is shuffled.
+    opened = pairs.join(side("h", "b"), "h").join(side("g", "a"), "g")
+    columns = [f"{c}_{s}" for s in "ab" for c in ("ids", "sizes", "tokens")]
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for ids_a, sizes_a, a, ids_b, sizes_b, b in zip(*(batch[c].to_pylist() for c in columns)):
+                found += spanning_links(ids_a, sizes_a, np.frombuffer(a, np.uint64), ids_b, sizes_b, np.frombuffer(b, np.uint64), percent)
+            yield _as_links(found)
+
+    return opened.select(*columns).mapInArrow(run, _LINKS)
+
+
 def _wide(heads: DataFrame) -> np.ndarray:
-    """Keys (32 bits of a hash below LOW) of the tokens that more than WIDE documents have. Tasks deal out packed keys by slices of the range."""
-    slices = _slices(heads.sparkSession)
+    """Keys (the upper 32 bits) of the tokens that more than WIDE documents have among `low`. Tasks deal out packed keys by slices of the range."""
+    count_slices = slices(heads.sparkSession)
 
     def pack(batches):
         for batch in batches:
             tokens = batch["low"].flatten().to_numpy().view(np.uint64)
-            keys = np.sort((tokens[tokens < LOW] >> _KEY_SHIFT).astype(np.uint32))
-            cuts = np.searchsorted(keys, np.arange(slices + 1, dtype=np.uint64) * np.uint64((1 << 32) // slices))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], ["slice", "keys"])
+            keys = np.sort((tokens >> _KEY_SHIFT).astype(np.uint32))
+            cuts = np.searchsorted(keys, np.arange(count_slices + 1, dtype=np.uint64) * np.uint64((1 << 32) // count_slices))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(count_slices)), pa.array([keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], ["slice", "keys"])
 
     def count(batches):
         held: dict[int, list[bytes]] = {}
@@ -150,59 +253,49 @@ def _split_prefix(tokens: np.ndarray, size: int, percent: int, wide: np.ndarray)
 
 def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """id, n_shingles, index, rest of the classes: from their low tokens, or from the whole text where those don't suffice."""
-    wide = docs.sparkSession.sparkContext.broadcast(_wide(heads))
     schema = "id long, n_shingles long, index array<long>, rest array<long>"
 
     def out(ids, sizes, found):
         lists = [pa.array([f and f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *lists], ["id", "n_shingles", "index", "rest"])
 
-    def from_low(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                low, sizes = part["low"], part["n_shingles"].to_pylist()
-                flat, ends = low.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(low).to_pylist()])
-                yield out(part["id"], sizes, [_split_prefix(flat[i:j], size, percent, wide.value) for i, j, size in zip(ends[:-1], ends[1:], sizes)])
-
-    def from_text(batches):
-        words = Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = passing(batch.slice(at, 500), sieve.value)
-                sets = [token_set(words.hashes(t), n) for t in part["text"].to_pylist()]
-                yield out(part["id"], [len(x) for x in sets], [_split_prefix(x, len(x), percent, wide.value) for x in sets])
-
+    def from_low(rows, wide):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    low, sizes = part["low"], part["n_shingles"].to_pylist()
+                    flat, ends = low.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(low).to_pylist()])
+                    yield out(part["id"], sizes, [_split_prefix(flat[i:j], size, percent, wide.value) for i, j, size in zip(ends[:-1], ends[1:], sizes)])
+
+        return rows.select("id", "n_shingles", "low").mapInArrow(run, schema)
+
+    def from_text(ids, wide):
+        rows, sieve = sieved(docs, ids)
+
+        def run(batches):
+            words = Words()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = passing(batch.slice(at, 500), sieve.value)
+                    sets = [token_set(words.hashes(t), n) for t in part["text"].to_pylist()]
+                    if wide is None:  # whole sets, to be counted
+                        yield pa.RecordBatch.from_arrays([part["id"], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "low"])
+                    else:
+                        yield out(part["id"], [len(x) for x in sets], [_split_prefix(x, len(x), percent, wide.value) for x in sets])
+
+        return rows.mapInArrow(run, "id long, low array<long>" if wide is None else schema).join(ids, "id", "left_semi")
+
+    share = docs.sparkSession.sparkContext.broadcast
     of_reps = heads.where(F.col("low").isNotNull()).select("id", "n_shingles", "low").join(reps, "id", "left_semi")
-    first = written(of_reps.mapInArrow(from_low, schema), "jaccard-prefixes")
-    short = first.where(F.col("index").isNull()).select("id").distinct()
-    rows, sieve = sieved(docs, short)
-    more = written(rows.mapInArrow(from_text, schema).join(short, "id", "left_semi"), "jaccard-prefixes")
-    return first.where(F.col("index").isNotNull()).unionByName(more)
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets reach the threshold; written."""
-    pairs = written(pairs, "jaccard-pairs")
-    sets = written(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), n), "jaccard-sets")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["left"].to_pylist(), batch["right"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(both.mapInArrow(run, "a long, b long"), "jaccard-links")
-
-
-def _slices(spark) -> int:
-    """Slices of the token range that packed tokens are dealt out by: some for each shuffle partition."""
-    return 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    known = _wide(heads)
+    reach = written(from_low(heads.where(F.col("low").isNotNull()), share(known)).where(F.col("index").isNull()).select("id").distinct(), "jaccard-reach")
+    more = _wide(from_text(reach, None).select("low")) if not reach.isEmpty() else known[:0]
+    wide = share(np.union1d(known, more))
+    first = written(from_low(of_reps, wide), "jaccard-prefixes")
+    short = lambda rows: rows.where(F.col("index").isNull()).select("id").distinct()
+    rest = written(from_text(written(short(first), "jaccard-reach"), wide), "jaccard-prefixes")
+    return first.where(F.col("index").isNotNull()).unionByName(rest)
 
 
 def _met(prefixes: DataFrame) -> DataFrame:
@@ -211,7 +304,7 @@ def _met(prefixes: DataFrame) -> DataFrame:
     Tasks deal out packed columns by slices of the token range; a slice is sorted and its single tokens go. Wide tokens come last in the order, so
     a token is in few prefixes.
     """
-    bits = _slices(prefixes.sparkSession).bit_length() - 1
+    bits = slices(prefixes.sparkSession).bit_length() - 1
 
     def pack(batches):
         for batch in batches:
@@ -224,9 +317,9 @@ def _met(prefixes: DataFrame) -> DataFrame:
             tokens, owners, smalls = np.concatenate(tokens), np.concatenate(owners), np.concatenate(smalls)
             order = np.argsort(tokens)
             tokens, owners, smalls = tokens[order], owners[order], smalls[order]
-            slices, starts = np.unique(tokens >> np.uint64(64 - bits), return_index=True)
+            which, starts = np.unique(tokens >> np.uint64(64 - bits), return_index=True)
             ends = [*starts[1:], len(tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for x in (tokens, owners, smalls))], ["slice", "tokens", "owners", "smalls"])
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for x in (tokens, owners, smalls))], ["slice", "tokens", "owners", "smalls"])
 
     def meet(batches):
         held: dict[int, list[tuple]] = {}
@@ -246,15 +339,15 @@ def _met(prefixes: DataFrame) -> DataFrame:
 
 
 def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different groups that meet at a prefix token, and whose sizes allow a link."""
-    sized = prefixes.select("id", F.col("n_shingles").alias("n")).join(groups, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp"))
-    met = written(_met(prefixes).join(sized, "id"), "jaccard-met")
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA / 100))
-    left = met.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grp").alias("g_a"), k.alias("k_a"))
-    right = met.where("small").select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("g_b"), k.alias("k_b"))
-    fits = (F.col("g_a") != F.col("g_b")) & ((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    meetings = left.join(right, (left["token"] == right["token"]) & fits).groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("k_a", "k_b")).alias("k"))
-    return meetings.where(F.col("common") >= F.col("k")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs (g, h) of groups whose unions of prefixes share enough tokens for a link, and whose sizes allow one."""
+    k = F.least(F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * EXTRA / 100) + MORE)
+    matrix = _met(prefixes).join(groups, "id").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(k).alias("k"), F.bool_or("small").alias("small"))
+    matrix = written(matrix, "jaccard-matrix")
+    side = lambda g, s: matrix.select("token", F.col("grp").alias(g), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "k", "small")])
+    left, right = side("g", "a"), side("h", "b")
+    fits = (F.col("g") < F.col("h")) & (F.col("small_a") | F.col("small_b")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    meetings = left.join(right, (left["token"] == right["token"]) & fits).groupBy("g", "h").agg(F.count("*").alias("common"), F.min(F.least("k_a", "k_b")).alias("k"))
+    return meetings.where(F.col("common") >= F.col("k")).select("g", "h")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -269,25 +362,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not isinstance(id_type, T.IntegralType):
         raise TypeError(f"{id_col} must be an integer column")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    heads = written(_heads(docs, n, percent), "jaccard-heads")
-    known = heads.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = known.groupBy("sig").agg(F.min("id").alias("rep"))
-    same = written(known.select("id", "sig").join(classes, "sig").select("id", "rep").distinct(), "jaccard-classes")
-    reps = same.where(F.col("id") == F.col("rep")).select("id")
-
-    # Groups of similar documents.
-    banded = known.where(F.col("bands").isNotNull()).select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("other")).where(F.col("leader") < F.col("other")).select("band", "leader")
-    stars = banded.join(leaders, "band").where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(docs, stars, n, percent)
-    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-
-    more_links = _linked(docs, _candidates(_prefixes(docs, known, reps, n, percent), groups, percent), n, percent)
+    with few_rows_a_batch(docs.sparkSession, 1000):  # bounds the memory of Python workers
+        heads = written(_heads(docs, n, percent), "jaccard-heads")
+        known = heads.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+        classes = known.groupBy("sig").agg(F.min("id").alias("rep"))
+        same = written(known.select("id", "sig").join(classes, "sig").select("id", "rep").distinct(), "jaccard-classes")
+        reps = same.where(F.col("id") == F.col("rep")).select("id")
+
+        groups = _groups(known, reps)
+        grouped = groups.where("grp < 0 OR grp <> id")
+        sets = _sets(docs, grouped.select("id"), n).join(grouped.select("id", "grp"), "id")
+        packed = written(_packed_groups(sets), "jaccard-packed")
+        between = _links_between(docs, _candidates(_prefixes(docs, known, reps, n, percent), groups, percent), packed, n, percent)
+        with few_rows_a_batch(docs.sparkSession, 64):
+            links = written(_links_within(packed, percent).unionByName(between), "jaccard-links")
 
     # An id with several texts is one node, so it ties its classes together.
     least = same.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("id", "a")
     tied = same.join(least, "id").select("a", F.col("rep").alias("b"))
-    joined = components(links.unionByName(more_links).unionByName(tied))
+    joined = components(links.unionByName(tied))
     named = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return heads.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(id_type).alias("component_id"))
 
