@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Children of a tree node: min() of a short slice is one fast call.
 FAN = 16
 NONE = 1 << 62
@@ -176,7 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             for part in _parts(batch):
                 yield _with(part, ids_col, encoder.column(part[text_col]))
 
-    return docs.mapInArrow(run, _schema_with(docs, ids_col, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(tidy(run), _schema_with(docs, ids_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -189,7 +191,7 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: st
             for part in _parts(batch):
                 yield _with(part, bytes_col, decoded(part[ids_col], tokens))
 
-    return rows.mapInArrow(run, _schema_with(rows, bytes_col, T.BinaryType()))
+    return rows.mapInArrow(tidy(run), _schema_with(rows, bytes_col, T.BinaryType()))
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import new_folder, shared_dir, written
 
-__all__ = ["Words", "few_rows_a_batch", "mixed", "new_folder", "shared_dir", "shingles", "table", "written"]
+__all__ = ["Words", "few_rows_a_batch", "mixed", "new_folder", "shared_dir", "shingles", "table", "tidy", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,21 @@ def few_rows_a_batch(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def tidy(run):
+    """run, a function of Arrow batches, that hands its memory back to the system when its task ends: idle Python workers are kept, and so would be what they hold."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 

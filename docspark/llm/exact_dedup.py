@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import tidy, written
 
 PREFIX = 64
 #: Whether the text was null; a name that no table of documents uses.
@@ -41,7 +41,7 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, carry:
     fields = [T.StructField("summary", T.BooleanType()), T.StructField("part", T.LongType()), T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("edge", T.BooleanType())]
     if carry:
         fields += [T.StructField("text", T.StringType()), T.StructField("row", rows.schema["row"].dataType)]
-    return dealt.mapInArrow(lambda batches: _runs(batches, carry), T.StructType(fields))
+    return dealt.mapInArrow(tidy(lambda batches: _runs(batches, carry)), T.StructType(fields))
 
 
 def _runs(batches, carry: bool):

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]|"[^"]*"|'[^']*'|["'])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -229,7 +231,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
                 texts = pa.array([extract(x) for x in part[html_col].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), texts], [*keep, text_col])
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, few_rows_a_batch, mixed, shingles, written
+from .common import Words, few_rows_a_batch, mixed, shingles, tidy, written
 from .components import components
 from .meeting import slices
 from .sieve import passing, sieved
@@ -98,7 +98,7 @@ def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     bands.append(_bands(low) if links else None)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(lows, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "sig", "low", "bands"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, sig binary, low array<long>, bands array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n_shingles long, sig binary, low array<long>, bands array<long>")
 
 
 def _can_link(n: int, percent: int) -> bool:
@@ -117,7 +117,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 part = passing(batch.slice(at, 500), sieve.value)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([token_set(words.hashes(t), n).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "tokens"])
 
-    return rows.mapInArrow(run, "id long, tokens binary")
+    return rows.mapInArrow(tidy(run), "id long, tokens binary")
 
 
 def _groups(known: DataFrame, reps: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _links_within(packed: DataFrame, percent: int) -> DataFrame:
                 found += spanning_links(ids, sizes, tokens, ids, sizes, tokens, percent)
             yield _as_links(found)
 
-    return packed.select("ids", "sizes", "tokens").mapInArrow(run, _LINKS)
+    return packed.select("ids", "sizes", "tokens").mapInArrow(tidy(run), _LINKS)
 
 
 def _as_links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -214,7 +214,7 @@ def _links_between(docs: DataFrame, pairs: DataFrame, packed: DataFrame, n: int,
                 found += spanning_links(ids_a, sizes_a, np.frombuffer(a, np.uint64), ids_b, sizes_b, np.frombuffer(b, np.uint64), percent)
             yield _as_links(found)
 
-    return opened.select(*columns).mapInArrow(run, _LINKS)
+    return opened.select(*columns).mapInArrow(tidy(run), _LINKS)
 
 
 def _wide(heads: DataFrame) -> np.ndarray:
@@ -237,7 +237,7 @@ def _wide(heads: DataFrame) -> np.ndarray:
             keys, n = np.unique(np.frombuffer(b"".join(parts), np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > WIDE].astype(np.int64)), pa.array(n[n > WIDE])], ["key", "n"])
 
-    counts = heads.where(F.col("low").isNotNull()).select("low").mapInArrow(pack, "slice long, keys binary").repartition("slice").mapInArrow(count, "key long, n long")
+    counts = heads.where(F.col("low").isNotNull()).select("low").mapInArrow(tidy(pack), "slice long, keys binary").repartition("slice").mapInArrow(tidy(count), "key long, n long")
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(WIDE_LIMIT).toPandas()["key"].to_numpy(np.int64).astype(np.uint32))
 
 
@@ -268,7 +268,7 @@ def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percen
                     flat, ends = low.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(low).to_pylist()])
                     yield out(part["id"], sizes, [_split_prefix(flat[i:j], size, percent, wide.value) for i, j, size in zip(ends[:-1], ends[1:], sizes)])
 
-        return rows.select("id", "n_shingles", "low").mapInArrow(run, schema)
+        return rows.select("id", "n_shingles", "low").mapInArrow(tidy(run), schema)
 
     def from_text(ids, wide):
         rows, sieve = sieved(docs, ids)
@@ -284,7 +284,7 @@ def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percen
                     else:
                         yield out(part["id"], [len(x) for x in sets], [_split_prefix(x, len(x), percent, wide.value) for x in sets])
 
-        return rows.mapInArrow(run, "id long, low array<long>" if wide is None else schema).join(ids, "id", "left_semi")
+        return rows.mapInArrow(tidy(run), "id long, low array<long>" if wide is None else schema).join(ids, "id", "left_semi")
 
     share = docs.sparkSession.sparkContext.broadcast
     of_reps = heads.where(F.col("low").isNotNull()).select("id", "n_shingles", "low").join(reps, "id", "left_semi")
@@ -335,7 +335,7 @@ def _met(prefixes: DataFrame) -> DataFrame:
             keep = np.repeat(owners[starts] != owners[starts + sizes - 1], sizes)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(owners[keep]), pa.array(smalls[keep])], ["token", "id", "small"])
 
-    return prefixes.mapInArrow(pack, "slice long, tokens binary, owners binary, smalls binary").repartition("slice").mapInArrow(meet, "token long, id long, small boolean")
+    return prefixes.mapInArrow(tidy(pack), "slice long, tokens binary, owners binary, smalls binary").repartition("slice").mapInArrow(tidy(meet), "token long, id long, small boolean")
 
 
 def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

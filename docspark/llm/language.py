@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed
+from .common import mixed, tidy
 
 #: Labelled rows that the filters are fitted on, about: the one bounded sample.
 TRAIN_ROWS = 20_000
@@ -129,7 +129,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 names = langs.dictionary.take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([names, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))  # a row a language
     shares = shares.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= MIN_SHARE) & (F.col("share") >= MIN_PART * F.col("top")))
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
                 langs, scores = model.predict(part[text_col])
                 yield pa.RecordBatch.from_arrays([*(part[f.name] for f in fields), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in fields), lang_col, score_col])
 
-    told = docs.mapInArrow(run, T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    told = docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
     known = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.col(lang_col).isNotNull()
     return told.withColumns({lang_col: F.when(known, F.col(lang_col)).otherwise("und"), score_col: F.when(known, F.col(score_col)).otherwise(0.0)})
 

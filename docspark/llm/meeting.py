@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Bits of the broadcast bitmap of keys (8 MB), whatever their number.
 KEY_BITS = 1 << 26
 
@@ -56,8 +58,8 @@ def first_ids(rows: DataFrame, key: str) -> DataFrame:
             keep = starts[ids[starts] != ids[ends]]
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep])], [key, "first_id"])
 
-    packed = rows.select("id", key).mapInArrow(pack, "slice long, keys binary, ids binary")
-    return packed.repartition("slice").mapInArrow(meet, f"{key} long, first_id long")
+    packed = rows.select("id", key).mapInArrow(tidy(pack), "slice long, keys binary, ids binary")
+    return packed.repartition("slice").mapInArrow(tidy(meet), f"{key} long, first_id long")
 
 
 def sieve_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -73,4 +75,4 @@ def sieve_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
             bits = batch[key].to_numpy().view(np.uint64) >> np.uint64(38)
             yield batch.filter(pa.array((shared.value[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import new_folder, tidy, written
 
 #: Payloads of fewer bytes are never made revisits.
 REVISIT_BYTES = 1000
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if archive:
             yield archive.close()
 
-    return written(told.mapInArrow(run, "path string, length long, records long"), "archives")
+    return written(told.mapInArrow(tidy(run), "path string, length long, records long"), "archives")
 
 
 class _Archive:
@@ -257,8 +257,8 @@ def read_records(archives: DataFrame) -> DataFrame:
                 for i in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[i : i + 500], _RECORDS)
 
-    places = archives.select("path", "length").mapInArrow(ranges, "path string, start long, lengths array<long>")
-    return places.repartition("path", "start").mapInArrow(records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    places = archives.select("path", "length").mapInArrow(tidy(ranges), "path string, start long, lengths array<long>")
+    return places.repartition("path", "start").mapInArrow(tidy(records), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
