@@ -6,7 +6,8 @@ wide enough for a passage matter, so the tree is only built down to that width.
 least length can begin: for one hash these intervals are disjoint, and passages that are alike lie, for most hashes, in windows of one least hash.
 Windows whose hash no other document has are dropped; the rest is joined by interval within each document: where the intervals of two hashes overlap there is
 a joint signature, and documents with one joint signature (two agreeing hashes) are candidates. The candidate pairs
-(document, smallest id of the signature) are verified on the words.
+(document, smallest id of the signature) are verified on the words. Documents that have no passage with that smallest id where they have the signature are
+keyed anew by finer keys, which exact repeats always share, and paired with the smallest id of those.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SIMILARITY = 0.8
 HASHES = 3
 #: Shingles between two shared ones that a passage may bridge: three changed words.
 GAP = 15
+#: Keys of three further hashes for places that a first pair left unverified: at similarity 0.8 at least one agrees with a chance of 1 - (1 - 0.8^3)^6 = 0.986.
+FINER = 6
 
 
 def compact_windows(hashes: np.ndarray, width: int) -> tuple[list[int], list[int], list[int]]:
@@ -63,8 +66,13 @@ def compact_windows(hashes: np.ndarray, width: int) -> tuple[list[int], list[int
 
 
 def joint_signatures(keys: np.ndarray, ps: np.ndarray, qs: np.ndarray, fns: np.ndarray) -> np.ndarray:
-    """Signatures of the pairs of windows of different hashes whose intervals overlap: an interval join of disjoint intervals for each two hashes."""
-    by_fn, found = [], []
+    """Signatures of the pairs of windows of different hashes whose intervals overlap."""
+    return np.unique(joint_places(keys, ps, qs, fns)[0])
+
+
+def joint_places(keys: np.ndarray, ps: np.ndarray, qs: np.ndarray, fns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures and where the intervals overlap (first << 32 | last place): an interval join of disjoint intervals for each two hashes."""
+    by_fn, found, places = [], [], []
     for fn in range(HASHES):
         mine = np.flatnonzero(fns == fn)
         by_fn.append(mine[np.argsort(ps[mine], kind="stable")])
@@ -76,7 +84,8 @@ def joint_signatures(keys: np.ndarray, ps: np.ndarray, qs: np.ndarray, fns: np.n
             a = np.repeat(x, n)
             b = y[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
             found.append(mixed(keys[a]) + keys[b])
-    return np.unique(np.concatenate(found))
+            places.append(np.maximum(ps[a], ps[b]).astype(np.int64) << 32 | np.minimum(qs[a], qs[b]).astype(np.int64))
+    return np.concatenate(found), np.concatenate(places)
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -111,7 +120,7 @@ def _key(hashes: np.ndarray, fn: int) -> np.ndarray:
 
 
 def _signatures(shared: DataFrame) -> DataFrame:
-    """id, signature of documents from their shared windows (id, key, span)."""
+    """id, signature, place of documents from their shared windows (id, key, span)."""
 
     def run(batches):
         for batch in batches:
@@ -119,14 +128,15 @@ def _signatures(shared: DataFrame) -> DataFrame:
             ends = lists.offsets.to_numpy()
             keys, spans = lists.values.field("key").to_numpy().view(np.uint64), lists.values.field("span").to_numpy()
             for i, j in zip(ends[:-1], ends[1:]):
-                found.append(joint_signatures(keys[i:j], spans[i:j] >> 32, spans[i:j] & 0xFFFFFFFF, keys[i:j] & np.uint64(3)))
-            sizes = [len(x) for x in found]
+                found.append(joint_places(keys[i:j], spans[i:j] >> 32, spans[i:j] & 0xFFFFFFFF, keys[i:j] & np.uint64(3)))
+            sizes = [len(x) for x, _ in found]
             if sum(sizes):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.concatenate(found).view(np.int64))], ["id", "signature"])
+                signatures, places = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(signatures.view(np.int64)), pa.array(places)], ["id", "signature", "place"])
 
     # A document's own windows: as many as its length allows, never a corpus-wide group.
     gathered = shared.groupBy("id").agg(F.collect_list(F.struct("key", "span")).alias("windows"))
-    return gathered.mapInArrow(tidy(run), "id long, signature long")
+    return gathered.mapInArrow(tidy(run), "id long, signature long, place long")
 
 
 def _in_step(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
@@ -186,8 +196,9 @@ def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_W
     return found
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    rows, sieve = sieved(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, words of the documents of ids, and few others."""
+    rows, sieve = sieved(docs, ids)
 
     def pack(batches):
         words = Words()
@@ -197,29 +208,80 @@ def _verified(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
                 # 32 bits a word: a shingle of five compares 160.
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([words.hashes(t).astype(np.uint32).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "words"])
 
+    return rows.mapInArrow(tidy(pack), "id long, words binary")
+
+
+def _verified(packed: DataFrame, members: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages of the pairs of members (a, b, signature, place in b), and a row for each member (id is b): verified tells if a passage of b with a begins at its place."""
+
     def compare(batches):
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "x", "y"))):
+            lists = batch["members"]
+            ends = lists.offsets.to_numpy()
+            signatures, places = (lists.values.field(c).to_numpy() for c in ("signature", "place"))
+            for a, b, x, y, i, j in zip(*(batch[c].to_pylist() for c in ("a", "b", "x", "y")), ends[:-1].tolist(), ends[1:].tolist()):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 for s, e, s2, e2, score in similar_passages(x, y, min_words, similarity):
-                    out.append((a, s, e, b, s2, e2, score))
+                    out.append((a, s, e, b, s2, e2, score, None, None, None))
+                low, high = places[i:j] >> 32, places[i:j] & 0xFFFFFFFF
+                verified = np.zeros(j - i, bool)
                 for s, e, s2, e2, score in similar_passages(y, x, min_words, similarity):
-                    out.append((b, s, e, a, s2, e2, score))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names)
-
-    names = ["id", "start_word", "end_word", "other_id", "other_start", "other_end", "jaccard"]
-    types = [pa.int64()] * 6 + [pa.float64()]
-    packed = written(rows.mapInArrow(tidy(pack), "id long, words binary"), "passage-words")
+                    out.append((b, s, e, a, s2, e2, score, None, None, None))
+                    verified |= (s <= high) & (low <= e - min_words)
+                out += [(b, None, None, a, None, None, None, *m) for m in zip(signatures[i:j].tolist(), places[i:j].tolist(), verified.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 10, types)], names)
+
+    names = ["id", "start_word", "end_word", "other_id", "other_start", "other_end", "jaccard", "signature", "place", "verified"]
+    types = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    # A pair's members: as many as the length of b allows.
+    pairs = members.groupBy("a", "b").agg(F.collect_list(F.struct("signature", "place")).alias("members"))
     both = pairs.join(packed.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(tidy(compare), "id long, start_word long, end_word long, other_id long, other_start long, other_end long, jaccard double")
+    return both.select("a", "b", "x", "y", "members").mapInArrow(tidy(compare), "id long, start_word long, end_word long, other_id long, other_start long, other_end long, jaccard double, signature long, place long, verified boolean")
+
+
+def _finer_keys(packed: DataFrame, left: DataFrame, min_words: int) -> DataFrame:
+    """id, key: for the places of left (id, place) what tells passages apart that agree in two hashes only by a part.
+
+    A key for the shingles of each whole passage, which exact repeats always share, and keys of three further hashes that agree, FINER times, for near ones.
+    """
+    width = min_words - SHINGLE + 1
+
+    def run(batches):
+        for batch in batches:
+            owners, keys = [], []
+            ends, places = batch["places"].offsets.to_numpy(), batch["places"].values.to_numpy()
+            for k, (raw, i, j) in enumerate(zip(batch["words"].to_pylist(), ends[:-1], ends[1:])):
+                tokens = shingles(np.frombuffer(raw, np.uint32).astype(np.uint64), SHINGLE)
+                if len(tokens) < width:
+                    continue
+                n = len(tokens) - width + 1
+                steps = np.zeros(n + 1, np.int64)
+                np.add.at(steps, np.minimum(places[i:j] >> 32, n), 1)
+                np.add.at(steps, np.minimum((places[i:j] & 0xFFFFFFFF) + 1, n), -1)
+                starts = np.flatnonzero(np.cumsum(steps)[:-1])
+                least = lambda seed: np.lib.stride_tricks.sliding_window_view(mixed(tokens, seed), width)[starts].min(1)  # noqa: E731, B023
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens, 100), dtype=np.uint64)])
+                mine = [mixed(sums[starts + width] - sums[starts], 101)]
+                for t in range(FINER):
+                    mine.append(mixed(mixed(mixed(least(110 + 3 * t), t) + least(111 + 3 * t)) + least(112 + 3 * t)))
+                mine = np.unique(np.concatenate(mine))
+                owners.append(np.full(len(mine), k))
+                keys.append(mine)
+            if owners:
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(keys).view(np.int64))], ["id", "key"])
+
+    # A document's own places: as many as its length allows.
+    gathered = left.groupBy("id").agg(F.collect_set("place").alias("places"))
+    return packed.join(gathered, "id").mapInArrow(tidy(run), "id long, key long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Passages of at least min_words words that another document has too, or nearly (Jaccard of the 5-word shingles at least `similarity`).
 
-    A row per passage: id, start_word, end_word (exclusive), other_id, other_start, other_end, jaccard. Within a class of documents that share a passage, every document is
-    paired with the class's smallest id, in both directions. Words are runs of characters other than ASCII white space, A-Z lower-cased. Null, empty and
+    A row per passage: id, start_word, end_word (exclusive), other_id, other_start, other_end, jaccard. Within a class of documents that may share a passage, every document is
+    paired with the class's smallest id, in both directions, and those that don't share it with that id are
+    classes anew by keys of the whole passage (all exact repeats) and of three further hashes (near ones, with a chance of 0.986 at similarity 0.8). Words are runs of characters other than ASCII white space, A-Z lower-cased. Null, empty and
     shorter texts, and rows with a null id, have no passages; rows that share an id are one document, in which repeats don't count. An empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType
@@ -231,7 +293,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = sieve_keys(windows, known, "key").join(known, "key")
     signatures = written(_signatures(shared), "passage-signatures")
     classes = first_ids(signatures, "signature")
-    pairs = signatures.join(classes, "signature").where(F.col("first_id") < F.col("id")).select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
+    members = signatures.join(classes, "signature").where(F.col("first_id") < F.col("id")).select(F.col("first_id").alias("a"), F.col("id").alias("b"), "signature", "place")
+    members = written(members.distinct(), "passage-members")
+    packed = written(_packed(docs, members.select(F.col("a").alias("id")).union(members.select(F.col("b").alias("id")))), "passage-words")
+    passages = lambda rows: rows.where(F.col("signature").isNull()).drop("signature", "place", "verified")
     with few_rows_a_batch(docs.sparkSession, 500):  # a row holds the words of two documents
-        found = written(_verified(docs, written(pairs, "passage-pairs"), min_words, similarity), "passages")
+        checked = written(_verified(packed, members, min_words, similarity), "passages")
+        left = checked.where(~F.col("verified")).select("id", "place")
+        keys = written(_finer_keys(packed, left, min_words), "passage-finer-keys")
+        finer = written(first_ids(keys, "key"), "passage-finer-classes")
+        pairs = sieve_keys(keys, finer, "key").join(finer, "key").where(F.col("first_id") < F.col("id")).select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = written(pairs.join(members.select("a", "b").distinct(), ["a", "b"], "left_anti").withColumns({"signature": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}), "passage-finer-pairs")
+        found = passages(checked).unionByName(passages(written(_verified(packed, pairs, min_words, similarity), "finer-passages")))
     return found.select(F.col("id").cast(id_type).alias(id_col), "start_word", "end_word", F.col("other_id").cast(id_type).alias("other_id"), "other_start", "other_end", "jaccard")

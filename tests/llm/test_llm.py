@@ -296,6 +296,15 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_beside_a_partial_hub(spark):
+    """A line of the smallest ids that ends short of a passage must not hide the passage of the others."""
+    for seed in range(4):
+        passage = words(100 + seed, 50)
+        texts = [" ".join([*words(1000 * seed + i, 40), *(passage[:44] if i < 3 else passage), *words(2000 * seed + 7 + i, 40)]) for i in range(6)]
+        found = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(documents(spark, texts)).collect()}
+        assert {i for i, _ in found} == {3, 4, 5}
+
+
 # 6 secrets
 
 
