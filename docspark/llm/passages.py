@@ -154,7 +154,7 @@ def _in_step(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
 def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
     """Passages of left's words that right has: (start, end, start in right, end in right, Jaccard similarity), ends exclusive, in words.
 
-    Runs of shared shingles are bridged over GAP shingles; a bridged run that isn't similar enough as a whole (or repeats itself) is taken apart again.
+    Runs of shared shingles are bridged over GAP shingles; a bridged run that isn't similar enough as a whole (or repeats itself) is taken apart into its similar stretches and those in step.
     """
     a, b = shingles(left.astype(np.uint64), SHINGLE), shingles(right.astype(np.uint64), SHINGLE)
     if len(left) < SHINGLE or len(right) < SHINGLE:
@@ -185,14 +185,51 @@ def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_W
         for run in np.split(hit, np.flatnonzero(np.diff(hit) > GAP) + 1):
             if not check(run):
                 # Take apart where the two texts stop running in step, and follow each part in step as far as it goes.
-                until = -1
+                until, parts = -1, []
                 for part in np.split(run, np.flatnonzero((np.diff(run) > 1) | (np.diff(where[run]) != 1)) + 1):
                     if part[0] < until:
                         continue
                     start, place = int(part[0]), int(where[part[0]])
                     until = start + _in_step(a, start, b, place)
-                    if until - start >= width:
-                        found.append((start, until + SHINGLE - 1, place, place + until - start + SHINGLE - 1, 1.0))
+                    parts.append((start, place, until - start))
+                similar = _similar_parts(a, b, parts, width, similarity)
+                found += [(s, e + SHINGLE - 1, s2, e2 + SHINGLE - 1, score) for s, e, s2, e2, score in similar]
+                for start, place, n in parts:
+                    if n >= width and not any(s <= start and start + n <= e for s, e, *_ in similar):
+                        found.append((start, start + n + SHINGLE - 1, place, place + n + SHINGLE - 1, 1.0))
+    return found
+
+
+def _similar_parts(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], width: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """Of parts in step (start in a, start in b, length): the stretches of at least `width` shingles, from a shared one to a shared one, that are similar, as few as cover all of them.
+
+    Parts are aligned while both texts go on by GAP shingles at most. A stretch of m shared shingles, la and lb long, is similar if (1 + similarity) m >= similarity (la + lb): a value for
+    its end less one for its start, so the farthest end of every start is found by a binary search.
+    """
+    found, chain = [], []
+    for part in [*parts, None]:
+        if chain and (part is None or not (0 <= part[0] - chain[-1][0] - chain[-1][2] <= GAP and 0 <= part[1] - chain[-1][1] - chain[-1][2] <= GAP)):
+            x, y = (np.concatenate([np.arange(p[side], p[side] + p[2]) for p in chain]) for side in (0, 1))
+            k = np.arange(len(x))
+            begin, end = (1 + similarity) * k - similarity * (x + y), (1 + similarity) * (k + 1) - similarity * (x + y + 2)
+            best = np.maximum.accumulate(end[::-1])  # of the ends from the last back to each
+            last = len(x) - 1 - np.searchsorted(best, begin - 1e-9)
+            good = np.flatnonzero((last >= k) & (x[np.minimum(last, len(x) - 1)] + 1 - x >= width))
+            covered, at = -1, 0
+            while (more := np.flatnonzero(last[good[at:]] > covered)).size:
+                first = at + int(more[0])
+                stop = max(int(np.searchsorted(good, covered, side="right")), first + 1)
+                pick = first + int(np.argmax(last[good[first:stop]]))
+                i, j = int(good[pick]), int(last[good[pick]])
+                u, v = np.unique(a[x[i] : x[j] + 1]), np.unique(b[y[i] : y[j] + 1])
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                score = shared / (len(u) + len(v) - shared)
+                if score >= similarity:
+                    found.append((int(x[i]), int(x[j]) + 1, int(y[i]), int(y[j]) + 1, float(score)))
+                covered, at = j, pick + 1
+            chain = []
+        if part is not None:
+            chain.append(part)
     return found
 
 

@@ -305,6 +305,29 @@ def test_passages_beside_a_partial_hub(spark):
         assert {i for i, _ in found} == {3, 4, 5}
 
 
+def test_similar_parts_of_a_failing_run_equal_brute_force():
+    """A passage of one changed word between template text in which every eighth word differs, in random variants, against all windows."""
+    width = passages.MIN_WORDS - passages.SHINGLE + 1
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 1 << 32, 300).astype(np.uint32)
+        y = x.copy()
+        y[4:100:8] += 1
+        y[204:300:8] += 1
+        y[[146, 146 + 5 * seed]] += 1
+        for left, right in ((x, y), (y, x), (x, np.delete(y, 120))):
+            a, b = (shingles(t.astype(np.uint64), passages.SHINGLE).tolist() for t in (left, right))
+            place = {h: j for j, h in enumerate(b)}
+            hits = [i for i, h in enumerate(a) if h in place]
+            brute = set()
+            for n, i in enumerate(hits):
+                for m, k in enumerate(hits[n:], 1):
+                    if k + 1 - i >= width and m / (k + 1 - i + place[a[k]] + 1 - place[a[i]] - m) >= passages.SIMILARITY:
+                        brute.update(range(i, k + 1))
+            found = passages.similar_passages(left, right)
+            assert brute and set().union(*(range(s, e - passages.SHINGLE + 1) for s, e, *_ in found)) == brute
+
+
 # 6 secrets
 
 
