@@ -25,7 +25,7 @@ from .sieve import passing, sieved
 SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
-HASHES = 3
+HASHES = 4
 #: Shingles between two shared ones that a passage may bridge: three changed words.
 GAP = 15
 #: Keys of three further hashes for places that a first pair left unverified: at similarity 0.8 at least one agrees with a chance of 1 - (1 - 0.8^3)^6 = 0.986.
