@@ -41,17 +41,21 @@ def dictionary(docs: DataFrame, text_col: str = "text", least: int = DICTIONARY_
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """id, path, value, start (characters from 1), before, after: one row per distinct candidate of a row, at its first place.
+    """id, path, value, start (characters from 1), before, after: a row per occurrence of a candidate, with its own place and context.
 
     Long runs without a digit count only where they are assigned to a secret's name.
     """
     rows = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    found = F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda m: m.rlike("[0-9]") | m.rlike(ASSIGNED))
-    rows = rows.where(F.col("text").rlike(CANDIDATE)).select("id", "path", "text", F.explode(F.array_distinct(found)).alias("match"))
+    # The parts between the matches and the matches themselves make up the text: their lengths, added up, are the places.
+    rows = rows.where(F.col("text").rlike(CANDIDATE)).select("id", "path", "text", F.split("text", CANDIDATE, -1).alias("parts"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("matches"))
+    steps = F.zip_with("parts", "matches", lambda part, match: F.struct(F.length(part).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("n")))
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
+    added = lambda done, step: F.struct((done["next"] + step["gap"] + step["n"]).alias("next"), F.concat(done["starts"], F.array(done["next"] + step["gap"])).alias("starts"))
+    rows = rows.withColumn("starts", F.aggregate(steps, none, added, lambda done: done["starts"]))
+    found = F.filter(F.arrays_zip("matches", "starts"), lambda m: m["matches"].rlike("[0-9]") | m["matches"].rlike(ASSIGNED))
+    rows = rows.select("id", "path", "text", F.explode(found).alias("at")).select("id", "path", "text", F.col("at.matches").alias("match"), F.col("at.starts").alias("at"))
     value = F.regexp_replace("match", r"""(?i)^(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?\s{0,3}(?:=>|:=|[:=]|\s)\s{0,3}["']?""", "")
-    rows = rows.withColumn("value", F.regexp_replace(value, r"[.,;:!?)\]}]+$", "")).where(F.length("value") >= 8)
-    at = F.expr("locate(match, text)")
-    rows = rows.withColumn("start", at + F.expr("locate(value, match)") - 1)
+    rows = rows.withColumn("start", F.col("at") + F.length("match") - F.length(value)).withColumn("value", F.regexp_replace(value, r"[.,;:!?)\]}]+$", "")).where(F.length("value") >= 8)
     return rows.select("id", "path", "value", "start", F.expr(f"substring(text, greatest(1, start - {BEFORE}), least({BEFORE}, start - 1))").alias("before"), F.expr(f"substring(text, start + length(value), {AFTER})").alias("after"))
 
 
@@ -124,7 +128,7 @@ def train(labelled: DataFrame, words: DataFrame, seed: int = 17) -> PipelineMode
 def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, keep: float = KEEP) -> DataFrame:
     """The findings that the forest keeps: id, path, start, n_chars, secret, probability.
 
-    Null and empty texts have none; rows with a null id are scanned too; repeated rows give repeated findings, a candidate repeated in one text one finding. An empty
+    Null and empty texts have none; rows with a null id are scanned too; repeated rows give repeated findings, and a candidate repeated in one text a finding for each place. An empty
     table gives an empty result. Other columns are ignored, whatever their names.
     """
     words = written(dictionary(docs, text_col), "dictionary")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import os
+import re
 import zipfile
 
 import numpy as np
@@ -352,6 +353,18 @@ def test_secrets(spark):
     assert secret_scan.candidates(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_secrets_at_each_place(spark):
+    """A secret twice in a text, after a checksum's name first, and as part of an earlier longer run."""
+    value = hashlib.sha1(b"y").hexdigest()
+    texts = [f'é😀 token = "{value}" and\ntoken = "{value}" end', f'checksum sha256 {value} and later token = "{value}"', f'run x{value}y then token = "{value}"']
+    places = [(i, m.start() + 1) for i, t in enumerate(texts) for m in re.finditer(rf"(?<![a-z0-9]){value}(?![a-z0-9])", t)]
+    rows = {(r["id"], r["start"]): r for r in secret_scan.candidates(documents(spark, texts)).collect() if r["value"] == value}
+    assert sorted(rows) == places and len(rows) == 5
+    assert all(texts[i][: s - 1].endswith(r["before"]) and texts[i][s - 1 + len(value) :].startswith(r["after"]) for (i, s), r in rows.items())
+    found = {(r["doc_id"], r["start"]) for r in secret_scan.scan(documents(spark, texts), secret_scan.labelled_examples(spark)).collect() if r["secret"] == value}
+    assert found == set(places) - {places[2]}
+
+
 # 10 licences
 
 
