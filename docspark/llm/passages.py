@@ -248,33 +248,29 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(pack), "id long, words binary")
 
 
-def _verified(packed: DataFrame, members: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """The passages of the pairs of members (a, b, signature, place in b), and a row for each member (id is b): verified tells if a passage of b with a begins at its place."""
+def _verified(packed: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages of pairs (a, b, places in b), and a row (id is b) for each place where no passage of b with a begins."""
 
     def compare(batches):
         for batch in batches:
             out = []
-            lists = batch["members"]
-            ends = lists.offsets.to_numpy()
-            signatures, places = (lists.values.field(c).to_numpy() for c in ("signature", "place"))
+            ends, places = batch["places"].offsets.to_numpy(), batch["places"].values.to_numpy()
             for a, b, x, y, i, j in zip(*(batch[c].to_pylist() for c in ("a", "b", "x", "y")), ends[:-1].tolist(), ends[1:].tolist()):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 for s, e, s2, e2, score in similar_passages(x, y, min_words, similarity):
-                    out.append((a, s, e, b, s2, e2, score, None, None, None))
+                    out.append((a, s, e, b, s2, e2, score, None))
                 low, high = places[i:j] >> 32, places[i:j] & 0xFFFFFFFF
                 verified = np.zeros(j - i, bool)
                 for s, e, s2, e2, score in similar_passages(y, x, min_words, similarity):
-                    out.append((b, s, e, a, s2, e2, score, None, None, None))
+                    out.append((b, s, e, a, s2, e2, score, None))
                     verified |= (s <= high) & (low <= e - min_words)
-                out += [(b, None, None, a, None, None, None, *m) for m in zip(signatures[i:j].tolist(), places[i:j].tolist(), verified.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 10, types)], names)
+                out += [(b, None, None, a, None, None, None, place) for place in places[i:j][~verified].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, types)], names)
 
-    names = ["id", "start_word", "end_word", "other_id", "other_start", "other_end", "jaccard", "signature", "place", "verified"]
-    types = [pa.int64()] * 6 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
-    # A pair's members: as many as the length of b allows.
-    pairs = members.groupBy("a", "b").agg(F.collect_list(F.struct("signature", "place")).alias("members"))
+    names = ["id", "start_word", "end_word", "other_id", "other_start", "other_end", "jaccard", "place"]
+    types = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
     both = pairs.join(packed.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y", "members").mapInArrow(tidy(compare), "id long, start_word long, end_word long, other_id long, other_start long, other_end long, jaccard double, signature long, place long, verified boolean")
+    return both.select("a", "b", "x", "y", "places").mapInArrow(tidy(compare), "id long, start_word long, end_word long, other_id long, other_start long, other_end long, jaccard double, place long")
 
 
 def _finer_keys(packed: DataFrame, left: DataFrame, min_words: int) -> DataFrame:
@@ -330,16 +326,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = sieve_keys(windows, known, "key").join(known, "key")
     signatures = written(_signatures(shared), "passage-signatures")
     classes = first_ids(signatures, "signature")
-    members = signatures.join(classes, "signature").where(F.col("first_id") < F.col("id")).select(F.col("first_id").alias("a"), F.col("id").alias("b"), "signature", "place")
-    members = written(members.distinct(), "passage-members")
-    packed = written(_packed(docs, members.select(F.col("a").alias("id")).union(members.select(F.col("b").alias("id")))), "passage-words")
-    passages = lambda rows: rows.where(F.col("signature").isNull()).drop("signature", "place", "verified")
+    first = signatures.join(classes, "signature").where(F.col("first_id") < F.col("id")).select(F.col("first_id").alias("a"), F.col("id").alias("b"), "place")
+    # A pair's places: as many as the length of b allows.
+    first = written(first.groupBy("a", "b").agg(F.collect_set("place").alias("places")), "passage-pairs")
+    packed = written(_packed(docs, first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id")))), "passage-words")
+    passages = lambda rows: rows.where(F.col("place").isNull()).drop("place")
     with few_rows_a_batch(docs.sparkSession, 500):  # a row holds the words of two documents
-        checked = written(_verified(packed, members, min_words, similarity), "passages")
-        left = checked.where(~F.col("verified")).select("id", "place")
+        checked = written(_verified(packed, first, min_words, similarity), "passages")
+        left = checked.where(F.col("place").isNotNull()).select("id", "place")
         keys = written(_finer_keys(packed, left, min_words), "passage-finer-keys")
         finer = written(first_ids(keys, "key"), "passage-finer-classes")
         pairs = sieve_keys(keys, finer, "key").join(finer, "key").where(F.col("first_id") < F.col("id")).select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = written(pairs.join(members.select("a", "b").distinct(), ["a", "b"], "left_anti").withColumns({"signature": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}), "passage-finer-pairs")
+        pairs = written(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").withColumn("places", F.array().cast("array<long>")), "passage-finer-pairs")
         found = passages(checked).unionByName(passages(written(_verified(packed, pairs, min_words, similarity), "finer-passages")))
     return found.select(F.col("id").cast(id_type).alias(id_col), "start_word", "end_word", F.col("other_id").cast(id_type).alias("other_id"), "other_start", "other_end", "jaccard")
