@@ -4,34 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import new_folder, shared_dir, written
+from ..scratch import discard, new_folder, shared_dir, written
 
-__all__ = ["Words", "few_rows_a_batch", "mixed", "new_folder", "shared_dir", "shingles", "table", "tidy", "written"]
+__all__ = ["Words", "discard", "mixed", "new_folder", "shared_dir", "shingles", "table", "tidy", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def few_rows_a_batch(spark: SparkSession, rows: int):
-    """While an action runs, Arrow batches of at most `rows` rows: for rows that are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def tidy(run):
     """run, a function of Arrow batches, that hands its memory back to the system when its task ends: idle Python workers are kept, and so would be what they hold."""
 

@@ -7,20 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap (1 MB), whatever the number of ids: with more ids it lets more rows pass, and the joins that follow drop them.
-BITS = 1 << 23
+from .meeting import Bitmap, bitmap
 
 
 def sieved(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
-    """docs with their slot, and the broadcast bitmap of the ids' slots. All of ids pass, and few others."""
-    slot = F.xxhash64("id").bitwiseAND(BITS - 1)
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
-    bitmap = np.zeros(BITS // 64, np.uint64)
-    for word, bits in words.collect():  # BITS / 64 rows at most
-        bitmap[word] = bits & (2**64 - 1)
-    return docs.withColumn("slot", slot), docs.sparkSession.sparkContext.broadcast(bitmap)
+    """docs with a hash of the id (slot), and the broadcast bitmap of the ids' hashes. All of ids pass, and few others."""
+    slot = F.xxhash64("id")
+    return docs.withColumn("slot", slot), bitmap(ids.select(slot.alias("slot")), "slot")
 
 
-def passing(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
-    slots = batch["slot"].to_numpy().astype(np.uint64)
-    return batch.filter(pa.array((bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)))
+def passing(batch: pa.RecordBatch, ids: Bitmap) -> pa.RecordBatch:
+    return batch.filter(pa.array(ids.passes(batch["slot"].to_numpy().view(np.uint64))))

@@ -306,6 +306,75 @@ def test_passages_beside_a_partial_hub(spark):
         assert {i for i, _ in found} == {3, 4, 5}
 
 
+def every_repeat(texts, n=passages.MIN_WORDS):
+    """For each text, the starts of runs of n words that another text has."""
+    runs = [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in ((t or "").lower().split() for t in texts)]
+    owners = {}
+    for i, found in enumerate(runs):
+        for run in found:
+            owners.setdefault(run, set()).add(i)
+    return [{k for k, run in enumerate(found) if len(owners[run]) > 1} for found in runs]
+
+
+def uncovered(texts, rows, n=passages.MIN_WORDS):
+    """Starts of repeated runs that no found passage of their text holds."""
+    wanted = every_repeat(texts)
+    for r in rows:
+        wanted[r["doc_id"]] -= set(range(r["start_word"], r["end_word"] - n + 1))
+    return [w for w in wanted if w]
+
+
+def test_a_passage_whose_half_stands_twice(spark):
+    passage = words(77, 90)
+    texts = [" ".join(passage), " ".join([*words(78, 30), *passage[:45], *words(79, 60), *passage, *words(80, 20)])]
+    rows = passages.repeated_passages(documents(spark, texts)).collect()
+    assert {r["doc_id"] for r in rows} == {0, 1} and not uncovered(texts, rows)
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_a_further_row_hides_no_exact_repeat(spark, hub):
+    passage = words(177, 50)
+    changed = [*passage[:17], "x1", *passage[18:33], "x2", *passage[34:]]
+    texts = [" ".join([*words(180 + i, 40), *p, *words(190 + i, 40)]) for i, p in enumerate([changed if hub else words(999, 50), passage, passage])]
+    rows = passages.repeated_passages(documents(spark, texts)).collect()
+    assert {r["doc_id"] for r in rows} >= {1, 2} and not uncovered(texts, rows)
+
+
+def test_every_exact_repeat_lies_in_a_passage(spark):
+    """Texts pasted together from overlapping pieces of a few sources, with edits: near copies, hubs and repeats beside each other; and all documents of the small table."""
+    rng = np.random.default_rng(41)
+    sources, texts = [words(500 + k, 400) for k in range(6)], []
+    for _ in range(150):
+        text = []
+        for _ in range(int(rng.integers(1, 5))):
+            piece = sources[rng.integers(6)]
+            i = int(rng.integers(0, 340))
+            part = list(piece[i : i + int(rng.integers(30, 130))])
+            for k in rng.integers(0, len(part), int(rng.integers(0, 4))):
+                part[k] = "edit%d" % rng.integers(1000)
+            text += [*part, *words(int(rng.integers(1 << 30)), int(rng.integers(0, 40)))]
+        texts.append(" ".join(text))
+    rows = passages.repeated_passages(documents(spark, texts)).collect()
+    assert sum(map(len, every_repeat(texts))) > 1000 and not uncovered(texts, rows)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    given = [r["text"] for r in table.orderBy("doc_id").collect()]
+    ids = {r["doc_id"]: i for i, r in enumerate(table.orderBy("doc_id").collect())}
+    rows = [r.asDict() | {"doc_id": ids[r["doc_id"]]} for r in passages.repeated_passages(table).collect()]
+    assert rows and not uncovered(given, rows)
+
+
+def test_passages_of_odd_tables(spark):
+    """Null and repeated ids, columns that clash with inner names, and a very long text."""
+    passage, long_one = " ".join(words(1, 60)), " ".join(words(2, 120_000))
+    rows = [(None, passage), (1, passage), (1, "other " + passage), (2, passage), (3, long_one), (4, long_one), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("id", "key", "place", "signature", "a", "words", "slice"):
+        df = df.withColumn(name, F.lit(1))
+    out = passages.repeated_passages(df).collect()
+    assert {r["doc_id"] for r in out} == {1, 2, 3, 4} and all(r["other_id"] != r["doc_id"] for r in out)
+    assert any((r["doc_id"], r["start_word"], r["end_word"], r["other_id"]) == (3, 0, 120_000, 4) for r in out)
+
+
 def test_similar_parts_of_a_failing_run_equal_brute_force():
     """A passage of one changed word between template text in which every eighth word differs, in random variants, against all windows."""
     width = passages.MIN_WORDS - passages.SHINGLE + 1
