@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
+
+#: Salts by which the rows of one label are dealt out: one component may hold most nodes.
+SALTS = 32
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,11 +21,18 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
         # The least label of the neighbours, then that label's own label.
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        labels_now = labels.select("node", "component")
+        near = edges.join(labels_now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = labels_now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
         lower = written(lower, "labels")
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = written(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old"), "labels")
+        # Only labels that are no longer their own: a finished component's isn't among them. Each stands once for each salt.
+        moved = lower.where(F.col("component") < F.col("node")).select(F.col("node").alias("component"), F.col("component").alias("next"))
+        jump = lower.select("component").distinct().join(moved, "component").select("component", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        jumped = written(lower.join(jump, ["component", "salt"], "left").select("node", F.coalesce("next", "component").alias("component"), "old"), "labels")
+        discard(labels, lower)
+        labels = jumped
         if labels.where(F.col("old") != F.col("component")).isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+            discard(edges)
+            out = labels.select("node", "component")
+            out.shared_path = labels.shared_path
+            return out

@@ -2,13 +2,14 @@
 
 1. Every document becomes its set of distinct n-word shingle hashes. Equal sets are one class, represented by its smallest id.
 2. Similar classes are partitioned into groups: of the MinHash bands of a class the most shared one names its cluster, and clusters are cut into
-   groups of bounded size; a class that shares no band is a group of its own.
-3. The matrix has a row for each (token, group) of the group's token union, as far as the overlap bound needs it: to link, two documents must share k tokens
-   of their prefixes (the first n - ceil(t n) + k tokens in one global order), so two groups whose unions of prefixes share fewer can't hold a link and stay closed.
-   Pairs of groups that share enough are opened: their members are compared with each other, whole sets, in one step.
+   groups of bounded size. The members of a group are compared with each other and with the cluster's leader, whole sets, and what this ties together is a subgroup;
+   a class that shares no band is a subgroup of its own. Through the leaders, subgroups of one cluster mostly fall into one component at once.
+3. The matrix has a row for each (token, subgroup) of the subgroup's token union, as far as the overlap bound needs it: to link, two documents must share k tokens
+   of their prefixes (the first n - ceil(t n) + k tokens in one global order), so two subgroups whose unions of prefixes share fewer can't hold a link and stay closed.
+   So do subgroups of one component. Pairs that share enough are opened: their members are compared with each other, whole sets, in one step.
 4. The order is by hash, except that tokens which many documents share (a common line) come last. Counted are the documents of every token in the part of the
    hash range where prefixes lie, and of all tokens of documents whose prefixes reach further. The order changes the cost, never the result.
-5. An opened pair (and each group in itself) gives no more links than tie its members together; all links give the components.
+5. An opened pair gives no more links than tie its members together; all links give the components.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, few_rows_a_batch, mixed, shingles, tidy, written
+from .common import Words, discard, mixed, shingles, tidy, written
 from .components import components
-from .meeting import slices
+from .meeting import HELD_KEYS, by_slice, runs, slice_groups, slices
 from .sieve import passing, sieved
 
 BANDS, ROWS = 8, 2
@@ -37,6 +38,8 @@ SPARE = 5
 WIDE = 32
 #: or, if there are more of them, the widest this many (4 bytes each, broadcast).
 WIDE_LIMIT = 200_000
+#: Salts by which the rows of one cluster are dealt out for a join.
+SALTS = 16
 _KEY_SHIFT = np.uint64(32)
 _ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
 
@@ -121,32 +124,64 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def _groups(known: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, n, grp of the classes: clusters by their most shared band, cut into groups; the rest alone under its id."""
+    """id, grp, leader of the classes in clusters of several: clusters by their most shared band, cut into groups. leader is set in clusters of more groups than one."""
     sized = known.where(F.col("low").isNotNull()).select("id", F.col("n_shingles").alias("n"), "bands").join(reps, "id", "left_semi")
     banded = sized.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     chosen = banded.join(shared, "band").groupBy("id").agg(F.max_by("leader", F.struct("members", -F.col("leader"))).alias("cluster"))
-    member = written(sized.select("id", "n").join(chosen, "id", "left"), "jaccard-clusters")
-    cuts = member.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
-    cuts = cuts.select("cluster", F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("tokens") / GROUP_TOKENS)).alias("parts"))
-    grp = F.when(F.col("parts").isNotNull(), -F.shiftrightunsigned(F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.col("parts"))), 2) - 1).otherwise(F.col("id"))
-    return written(member.join(cuts, "cluster", "left").select("id", "n", grp.alias("grp")), "jaccard-groups")
+    member = written(sized.select("id", "n").join(chosen, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), "jaccard-clusters")
+    cuts = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
+    cuts = cuts.select("cluster", F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("tokens") / GROUP_TOKENS)).alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    grp = F.xxhash64("cluster", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")))
+    found = written(member.join(cuts, ["cluster", "salt"]).select("id", grp.alias("grp"), F.when(F.col("parts") > 1, F.col("cluster")).alias("leader")), "jaccard-groups")
+    discard(member)
+    return found
 
 
-_PACKED = "grp long, ids array<long>, sizes array<int>, tokens binary"
+_PACKED = "sub long, ids array<long>, sizes array<int>, tokens binary, index array<long>, rest array<long>, low int, high int, k int, a array<long>, b array<long>"
 _LINKS = "a long, b long"
 
 
-def _packed_groups(sets: DataFrame) -> DataFrame:
-    """One row for each group of sets (grp, id, tokens)."""
+def _packed_groups(sets: DataFrame, percent: int, wide) -> DataFrame:
+    """The subgroups of groups of sets (grp, id, guest, tokens): sub (the smallest id), its members' ids, sizes and tokens, the union of their prefixes, and the links found so far.
+
+    A guest (a leader) is compared with the group's members, but isn't one of them.
+    """
 
     def pack(group: pa.Table) -> pa.Table:
-        tokens = group["tokens"].to_pylist()
-        return pa.table({"grp": group["grp"][:1].combine_chunks(), "ids": pa.array([group["id"].to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([[len(t) // 8 for t in tokens]], pa.list_(pa.int32())), "tokens": pa.array([b"".join(tokens)], pa.binary())})
+        ids, guests = group["id"].to_pylist(), group["guest"].to_pylist()
+        sets = [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()]
+        sizes = [len(t) for t in sets]
+        links = spanning_links(ids, sizes, np.concatenate(sets), ids, sizes, np.concatenate(sets), percent)
+        root = {i: i for i in ids}
+
+        def find(i):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, j in links:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+        parts: dict[int, list[int]] = {}
+        for k in sorted(range(len(ids)), key=lambda k: ids[k]):
+            if not guests[k]:
+                parts.setdefault(find(ids[k]), []).append(k)
+        rows = []
+        for n, mine in enumerate(parts.values()):
+            index, rest = (np.unique(np.concatenate(x)) for x in zip(*(_split_prefix(sets[k], sizes[k], percent, wide.value) for k in mine)))
+            own = [(i, j) for i, j in links if i != j] if not n else []
+            rows.append({
+                "sub": ids[mine[0]], "ids": [ids[k] for k in mine], "sizes": [sizes[k] for k in mine], "tokens": b"".join(sets[k].tobytes() for k in mine), "index": index, "rest": np.setdiff1d(rest, index),
+                "low": min(sizes[k] for k in mine), "high": max(sizes[k] for k in mine), "k": min(shared_least(sizes[k], percent) for k in mine), "a": [i for i, _ in own], "b": [j for _, j in own],
+            })
+        return pa.Table.from_pylist(rows, _PACKED_ARROW)
 
     return sets.groupBy("grp").applyInArrow(pack, _PACKED)
 
 
+_PACKED_ARROW = pa.schema([("sub", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("index", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64())), ("low", pa.int32()), ("high", pa.int32()), ("k", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+
 def spanning_links(ids_a, sizes_a, tokens_a, ids_b, sizes_b, tokens_b, percent: int) -> list[tuple[int, int]]:
     """Links between the documents of two packed groups, no more than tie together what they link."""
     sizes_a, sizes_b = np.array(sizes_a), np.array(sizes_b)
@@ -178,66 +213,68 @@ def spanning_links(ids_a, sizes_a, tokens_a, ids_b, sizes_b, tokens_b, percent:
     return found
 
 
-def _links_within(packed: DataFrame, percent: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            found = []
-            for ids, sizes, tokens in zip(*(batch[c].to_pylist() for c in ("ids", "sizes", "tokens"))):
-                tokens = np.frombuffer(tokens, np.uint64)
-                found += spanning_links(ids, sizes, tokens, ids, sizes, tokens, percent)
-            yield _as_links(found)
-
-    return packed.select("ids", "sizes", "tokens").mapInArrow(tidy(run), _LINKS)
-
-
 def _as_links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _links_between(docs: DataFrame, pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Opens the pairs (g, h) of groups and compares their members."""
-    pairs = written(pairs, "jaccard-pairs")
-    wanted = written(pairs.select(F.col("g").alias("grp")).union(pairs.select("h")).distinct(), "jaccard-opened")
-    known = packed.join(wanted, "grp", "left_semi")
-    alone = wanted.join(packed.select("grp"), "grp", "left_anti").withColumnRenamed("grp", "id")
+    """Opens the pairs (g, h) of subgroups and compares their members."""
+    wanted = written(pairs.select(F.col("g").alias("sub")).union(pairs.select("h")).distinct(), "jaccard-opened")
+    known = packed.join(wanted, "sub", "left_semi").select("sub", "ids", "sizes", "tokens")
+    alone = wanted.join(packed.select("sub"), "sub", "left_anti").withColumnRenamed("sub", "id")
     singles = written(_sets(docs, alone, n).join(alone, "id", "left_semi"), "jaccard-sets")
-    all_groups = singles.select(F.col("id").alias("grp"), F.array("id").alias("ids"), F.array((F.octet_length("tokens") / 8).cast("int")).alias("sizes"), "tokens").unionByName(known)
-    side = lambda k, s: all_groups.select(F.col("grp").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "sizes", "tokens")])
-    # Groups of many have the smaller numbers: they are g, and join last, after which nothing is shuffled.
-    opened = pairs.join(side("h", "b"), "h").join(side("g", "a"), "g")
+    subgroups = singles.select(F.col("id").alias("sub"), F.array("id").alias("ids"), F.array((F.octet_length("tokens") / 8).cast("int")).alias("sizes"), "tokens").unionByName(known)
+    side = lambda k, s: subgroups.select(F.col("sub").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "sizes", "tokens")])
+    opened = pairs.join(side("g", "a"), "g").join(side("h", "b"), "h")
     columns = [f"{c}_{s}" for s in "ab" for c in ("ids", "sizes", "tokens")]
 
     def run(batches):
         for batch in batches:
-            found = []
-            for ids_a, sizes_a, a, ids_b, sizes_b, b in zip(*(batch[c].to_pylist() for c in columns)):
-                found += spanning_links(ids_a, sizes_a, np.frombuffer(a, np.uint64), ids_b, sizes_b, np.frombuffer(b, np.uint64), percent)
-            yield _as_links(found)
+            for at in range(0, batch.num_rows, 64):
+                found = []
+                for ids_a, sizes_a, a, ids_b, sizes_b, b in zip(*(batch[c].slice(at, 64).to_pylist() for c in columns)):
+                    found += spanning_links(ids_a, sizes_a, np.frombuffer(a, np.uint64), ids_b, sizes_b, np.frombuffer(b, np.uint64), percent)
+                yield _as_links(found)
 
-    return opened.select(*columns).mapInArrow(tidy(run), _LINKS)
+    links = written(opened.select(*columns).mapInArrow(tidy(run), _LINKS), "jaccard-links")
+    discard(wanted, singles)
+    return links
 
 
 def _wide(heads: DataFrame) -> np.ndarray:
-    """Keys (the upper 32 bits) of the tokens that more than WIDE documents have among `low`. Tasks deal out packed keys by slices of the range."""
-    count_slices = slices(heads.sparkSession)
+    """Keys (the upper 32 bits) of the tokens that more than WIDE documents have among `low`. Tasks add up the keys they have gathered and deal them out, packed, by slices of the range."""
+    n = slices(heads.sparkSession)
+    shift = np.uint32(32 - (n.bit_length() - 1))
+
+    def dealt(held):
+        keys, sums = np.unique(np.concatenate(held), return_counts=True)
+        which, starts = np.unique(keys >> shift, return_index=True)
+        ends = [*starts[1:], len(keys)]
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for x in (keys, sums.astype(np.uint32)))], ["slice", "keys", "sums"])
 
     def pack(batches):
+        held, size = [], 0
         for batch in batches:
-            tokens = batch["low"].flatten().to_numpy().view(np.uint64)
-            keys = np.sort((tokens >> _KEY_SHIFT).astype(np.uint32))
-            cuts = np.searchsorted(keys, np.arange(count_slices + 1, dtype=np.uint64) * np.uint64((1 << 32) // count_slices))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(count_slices)), pa.array([keys[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], ["slice", "keys"])
+            held.append((batch["low"].flatten().to_numpy().view(np.uint64) >> _KEY_SHIFT).astype(np.uint32))
+            size += len(held[-1])
+            if size >= HELD_KEYS:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
 
     def count(batches):
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for k, keys in zip(batch["slice"].to_pylist(), batch["keys"].to_pylist()):
-                held.setdefault(k, []).append(keys)
-        for parts in held.values():
-            keys, n = np.unique(np.frombuffer(b"".join(parts), np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > WIDE].astype(np.int64)), pa.array(n[n > WIDE])], ["key", "n"])
-
-    counts = heads.where(F.col("low").isNotNull()).select("low").mapInArrow(tidy(pack), "slice long, keys binary").repartition("slice").mapInArrow(tidy(count), "key long, n long")
+        for parts in slice_groups(batches, ["keys", "sums"]):
+            keys, sums = (np.frombuffer(b"".join(x), np.uint32) for x in parts)
+            order = np.argsort(keys, kind="stable")
+            keys, sums = keys[order], np.concatenate([[0], np.cumsum(sums[order], dtype=np.int64)])
+            starts, ends = runs(keys)
+            total = sums[ends + 1] - sums[starts]
+            keep = total > WIDE
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts][keep].astype(np.int64)), pa.array(total[keep])], ["key", "n"])
+
+    packed = heads.where(F.col("low").isNotNull()).select("low").mapInArrow(tidy(pack), "slice long, keys binary, sums binary")
+    counts = by_slice(packed).mapInArrow(tidy(count), "key long, n long")
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(WIDE_LIMIT).toPandas()["key"].to_numpy(np.int64).astype(np.uint32))
 
 
@@ -251,15 +288,28 @@ def _split_prefix(tokens: np.ndarray, size: int, percent: int, wide: np.ndarray)
     return tokens[:index].view(np.int64), tokens[index:].view(np.int64)
 
 
-def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, index, rest of the classes: from their low tokens, or from the whole text where those don't suffice."""
-    schema = "id long, n_shingles long, index array<long>, rest array<long>"
+class _Prefixes:
+    """Prefixes of sets in the order that puts the wide tokens (broadcast) last."""
+
+    def __init__(self, docs: DataFrame, heads: DataFrame, n: int, percent: int):
+        self.docs, self.heads, self.n, self.percent = docs, heads.where(F.col("low").isNotNull()), n, percent
+        share = docs.sparkSession.sparkContext.broadcast
+        known = _wide(self.heads)
+        reach = written(self._from_low(self.heads, share(known)).where(F.col("index").isNull()).select("id").distinct(), "jaccard-reach")
+        more = _wide(self._from_text(reach, None).select("low")) if not reach.isEmpty() else known[:0]
+        discard(reach)
+        self.wide = share(np.union1d(known, more))
+
+    _schema = "id long, n_shingles long, index array<long>, rest array<long>"
 
-    def out(ids, sizes, found):
+    @staticmethod
+    def _out(ids, sizes, found):
         lists = [pa.array([f and f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *lists], ["id", "n_shingles", "index", "rest"])
 
-    def from_low(rows, wide):
+    def _from_low(self, rows, wide):
+        percent, out = self.percent, self._out
+
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
@@ -268,10 +318,11 @@ def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percen
                     flat, ends = low.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(low).to_pylist()])
                     yield out(part["id"], sizes, [_split_prefix(flat[i:j], size, percent, wide.value) for i, j, size in zip(ends[:-1], ends[1:], sizes)])
 
-        return rows.select("id", "n_shingles", "low").mapInArrow(tidy(run), schema)
+        return rows.select("id", "n_shingles", "low").mapInArrow(tidy(run), self._schema)
 
-    def from_text(ids, wide):
-        rows, sieve = sieved(docs, ids)
+    def _from_text(self, ids, wide):
+        percent, n, out = self.percent, self.n, self._out
+        rows, sieve = sieved(self.docs, ids)
 
         def run(batches):
             words = Words()
@@ -284,31 +335,26 @@ def _prefixes(docs: DataFrame, heads: DataFrame, reps: DataFrame, n: int, percen
                     else:
                         yield out(part["id"], [len(x) for x in sets], [_split_prefix(x, len(x), percent, wide.value) for x in sets])
 
-        return rows.mapInArrow(tidy(run), "id long, low array<long>" if wide is None else schema).join(ids, "id", "left_semi")
+        return rows.mapInArrow(tidy(run), "id long, low array<long>" if wide is None else self._schema).join(ids, "id", "left_semi")
 
-    share = docs.sparkSession.sparkContext.broadcast
-    of_reps = heads.where(F.col("low").isNotNull()).select("id", "n_shingles", "low").join(reps, "id", "left_semi")
-    known = _wide(heads)
-    reach = written(from_low(heads.where(F.col("low").isNotNull()), share(known)).where(F.col("index").isNull()).select("id").distinct(), "jaccard-reach")
-    more = _wide(from_text(reach, None).select("low")) if not reach.isEmpty() else known[:0]
-    wide = share(np.union1d(known, more))
-    first = written(from_low(of_reps, wide), "jaccard-prefixes")
-    short = lambda rows: rows.where(F.col("index").isNull()).select("id").distinct()
-    rest = written(from_text(written(short(first), "jaccard-reach"), wide), "jaccard-prefixes")
-    return first.where(F.col("index").isNotNull()).unionByName(rest)
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id, n_shingles, index, rest: from the low tokens, or from the whole text where those don't suffice."""
+        first = written(self._from_low(self.heads.select("id", "n_shingles", "low").join(ids, "id", "left_semi"), self.wide), "jaccard-prefixes")
+        short = written(first.where(F.col("index").isNull()).select("id").distinct(), "jaccard-reach")
+        return first.where(F.col("index").isNotNull()).unionByName(self._from_text(short, self.wide))
 
 
 def _met(prefixes: DataFrame) -> DataFrame:
-    """token, id, small of the prefix tokens that at least two documents have. small: the token counts where the document is the smaller of a pair.
+    """token, sub, small of the prefix tokens that at least two subgroups have. small: the token counts where a document of the subgroup is the smaller of a pair.
 
     Tasks deal out packed columns by slices of the token range; a slice is sorted and its single tokens go. Wide tokens come last in the order, so
-    a token is in few prefixes.
+    a token is in few prefixes, and near copies by the thousand are few subgroups.
     """
     bits = slices(prefixes.sparkSession).bit_length() - 1
 
     def pack(batches):
         for batch in batches:
-            ids = batch["id"].to_numpy()
+            ids = batch["sub"].to_numpy()
             tokens, owners, smalls = [], [], []
             for name, small in (("index", True), ("rest", False)):
                 tokens.append(batch[name].flatten().to_numpy().view(np.uint64))
@@ -322,32 +368,34 @@ def _met(prefixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for x in (tokens, owners, smalls))], ["slice", "tokens", "owners", "smalls"])
 
     def meet(batches):
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for k, *packed in zip(*(batch[c].to_pylist() for c in ("slice", "tokens", "owners", "smalls"))):
-                held.setdefault(k, []).append(packed)
-        for parts in held.values():
-            tokens, owners, smalls = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts), (np.uint64, np.int64, bool)))
+        for parts in slice_groups(batches, ["tokens", "owners", "smalls"]):
+            tokens, owners, smalls = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, (np.uint64, np.int64, bool)))
             order = np.lexsort((owners, tokens))
             tokens, owners, smalls = tokens[order], owners[order], smalls[order]
-            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            sizes = np.diff([*starts, len(tokens)])
-            keep = np.repeat(owners[starts] != owners[starts + sizes - 1], sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(owners[keep]), pa.array(smalls[keep])], ["token", "id", "small"])
+            starts, ends = runs(tokens)
+            keep = np.repeat(owners[starts] != owners[ends], ends - starts + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(owners[keep]), pa.array(smalls[keep])], ["token", "sub", "small"])
 
-    return prefixes.mapInArrow(tidy(pack), "slice long, tokens binary, owners binary, smalls binary").repartition("slice").mapInArrow(tidy(meet), "token long, id long, small boolean")
+    packed = prefixes.select("sub", "index", "rest").mapInArrow(tidy(pack), "slice long, tokens binary, owners binary, smalls binary")
+    return by_slice(packed).mapInArrow(tidy(meet), "token long, sub long, small boolean")
 
 
-def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h) of groups whose unions of prefixes share enough tokens for a link, and whose sizes allow one."""
-    k = F.least(F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * EXTRA / 100) + MORE)
-    matrix = _met(prefixes).join(groups, "id").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(k).alias("k"), F.bool_or("small").alias("small"))
-    matrix = written(matrix, "jaccard-matrix")
-    side = lambda g, s: matrix.select("token", F.col("grp").alias(g), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "k", "small")])
-    left, right = side("g", "a"), side("h", "b")
-    fits = (F.col("g") < F.col("h")) & (F.col("small_a") | F.col("small_b")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    meetings = left.join(right, (left["token"] == right["token"]) & fits).groupBy("g", "h").agg(F.count("*").alias("common"), F.min(F.least("k_a", "k_b")).alias("k"))
-    return meetings.where(F.col("common") >= F.col("k")).select("g", "h")
+def _candidates(met: DataFrame, subgroups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, h) of subgroups (sub, low, high, k, component) of different components whose unions of prefixes share enough tokens for a link, and whose sizes allow one.
+
+    Under each token the component with most subgroups doesn't meet itself: only the others meet all.
+    """
+    matrix = written(met.join(subgroups, "sub"), "jaccard-matrix")
+    most = matrix.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("most")).where("components > 1")
+    meeting = written(matrix.join(most.select("token", "most"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "jaccard-meeting")
+    side = lambda s: meeting.select("token", *[F.col(c).alias(f"{c}_{s}") for c in meeting.columns if c != "token"])
+    fits = (F.col("component_a") != F.col("component_b")) & (~F.col("other_b") | (F.col("sub_a") < F.col("sub_b"))) & (F.col("small_a") | F.col("small_b"))
+    fits &= (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    left, right = side("a").where("other_a"), side("b")
+    meetings = left.join(right, (left["token"] == right["token"]) & fits).groupBy(F.least("sub_a", "sub_b").alias("g"), F.greatest("sub_a", "sub_b").alias("h")).agg(F.count("*").alias("common"), F.min(F.least("k_a", "k_b")).alias("k"))
+    pairs = written(meetings.where(F.col("common") >= F.col("k")).select("g", "h"), "jaccard-pairs")
+    discard(matrix, meeting)
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -362,25 +410,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not isinstance(id_type, T.IntegralType):
         raise TypeError(f"{id_col} must be an integer column")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    with few_rows_a_batch(docs.sparkSession, 1000):  # bounds the memory of Python workers
-        heads = written(_heads(docs, n, percent), "jaccard-heads")
-        known = heads.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-        classes = known.groupBy("sig").agg(F.min("id").alias("rep"))
-        same = written(known.select("id", "sig").join(classes, "sig").select("id", "rep").distinct(), "jaccard-classes")
-        reps = same.where(F.col("id") == F.col("rep")).select("id")
-
-        groups = _groups(known, reps)
-        grouped = groups.where("grp < 0 OR grp <> id")
-        sets = _sets(docs, grouped.select("id"), n).join(grouped.select("id", "grp"), "id")
-        packed = written(_packed_groups(sets), "jaccard-packed")
-        between = _links_between(docs, _candidates(_prefixes(docs, known, reps, n, percent), groups, percent), packed, n, percent)
-        with few_rows_a_batch(docs.sparkSession, 64):
-            links = written(_links_within(packed, percent).unionByName(between), "jaccard-links")
+    heads = written(_heads(docs, n, percent), "jaccard-heads")
+    known = heads.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = known.groupBy("sig").agg(F.min("id").alias("rep"))
+    same = written(known.select("id", "sig").join(classes, "sig").select("id", "rep").distinct(), "jaccard-classes")
+    reps = same.where(F.col("id") == F.col("rep")).select("id")
+
+    prefixes = _Prefixes(docs, known, n, percent)
+    groups = _groups(known, reps)
+    seats = groups.select("id", "grp", F.lit(False).alias("guest")).union(groups.where("leader IS NOT NULL").select("leader", "grp", F.lit(True)).distinct())
+    seats = seats.groupBy("id", "grp").agg(F.min("guest").alias("guest"))
+    packed = written(_packed_groups(_sets(docs, groups.select("id").union(groups.select("leader").dropna()).distinct(), n).join(seats, "id"), percent, prefixes.wide), "jaccard-packed")
+    within = packed.select(F.explode(F.arrays_zip("a", "b")).alias("link")).select("link.a", "link.b")
+    labels = components(within)
+    alone = prefixes.of(reps.join(groups.select("id"), "id", "left_anti"))
+    k = F.least(F.ceil(F.col("n_shingles") * percent / 100), F.floor(F.col("n_shingles") * EXTRA / 100) + MORE).cast("int")
+    size = F.col("n_shingles").cast("int")
+    rows = packed.select("sub", "index", "rest", "low", "high", "k").unionByName(alone.select(F.col("id").alias("sub"), "index", "rest", size.alias("low"), size.alias("high"), k.alias("k")))
+    rows = written(rows, "jaccard-unions")
+    subgroups = rows.select("sub", "low", "high", "k").join(labels.withColumnRenamed("node", "sub"), "sub", "left").withColumn("component", F.coalesce("component", "sub"))
+    pairs = _candidates(_met(rows), subgroups, percent)
+    discard(rows)
+    links = _links_between(docs, pairs, packed, n, percent)
+    discard(pairs, packed, groups)
 
     # An id with several texts is one node, so it ties its classes together.
     least = same.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("id", "a")
     tied = same.join(least, "id").select("a", F.col("rep").alias("b"))
-    joined = components(links.unionByName(tied))
+    joined = components(links.unionByName(tied).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return heads.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(id_type).alias("component_id"))
 
