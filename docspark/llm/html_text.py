@@ -1,9 +1,10 @@
 """Main-text extraction by composite text density.
 
-Every page becomes a small DOM. Parts that can't be article text (scripts, menus, forms, page headers and footers, adverts,
-notices, reader comments) are cut. For each node that is left the composite text density is the characters per tag, adjusted by the links below
-it; a node's density sum adds its children's densities. The node with the largest density sum among those whose density reaches the
-threshold (the least density on the path from that node to the body) holds the article.
+Every page becomes a small DOM, in one pass. Scripts, styles and other parts that hold no text of the page are cut at once; menus, page headers and footers, forms, and
+containers whose class, id or role names an advert, a notice, reader comments or the like are cut unless they hold most of the page's text. For each node that is left the composite text
+density is the characters per tag, adjusted by the links below it; a node's density sum adds its children's densities. The node of the largest density sum is the
+heart of the article, and the threshold is the least density on the path from it to the body. An article element around the heart is taken whole. Without one, what stands beside
+the path counts where its density reaches the threshold (a further section), where it is of the same kind as the path's node beside it, or where it is a heading right before what counts.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 
 from .common import tidy
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]|"[^"]*"|'[^']*'|["'])*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: The rest of a tag after its name, with quoted values; it never goes back.
+_TAG_REST = re.compile(r"""(?>[^"'>]+|"[^"]*"|'[^']*')*+>""")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -28,101 +31,176 @@ _NAME = re.compile(r"[a-z]+")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-_CLOSES_P = _BLOCK - frozenset("body html caption dd dt legend li option optgroup tbody td tfoot th thead tr".split()) | {"li", "dd", "dt"}
-_CUT_TAGS = frozenset("head script style noscript template iframe object embed svg canvas audio video textarea title nav footer aside form button select input label dialog menu search xmp noembed noframes".split())
-_CUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead banner cookie cookies consent notice notices alert popup modal overlay comment comments respond disqus share sharing social related recommended newsletter subscribe signup login pagination pager widget complementary contentinfo dialog search".split())
-_SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Tags that hold one whole article.
-_ARTICLE = frozenset(["article", "main"])
+_CLOSES_P = _BLOCK - frozenset("body html caption legend option optgroup tbody td tfoot th thead tr".split())
+_P_SCOPE = ("td", "th", "button", "caption", "table", "div", "article", "section", "blockquote", "main")
+#: A start tag of the first kind ends an open element of the second, within the third.
+_SIBLING_ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_CUT_TAGS = frozenset("head script style noscript template iframe object embed svg canvas audio video textarea title button select input xmp noembed noframes".split())
+_SOFT_TAGS = frozenset("nav footer aside form dialog menu search header".split())
+#: Of these only what holds the article itself is ever kept.
+_OUTER_TAGS = frozenset("nav footer aside dialog menu search".split())
+_CUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices alert popup modal comment comments commentlist respond disqus share sharing social related recommended newsletter subscribe signup login pagination pager complementary contentinfo dialog search".split())
+_HEADER_WORDS = frozenset("header masthead banner widget overlay".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist respond disqus".split())
+_ARTICLE_WORDS = frozenset("article post story entry content main body text title headline page".split())
+#: A class that begins so tells what else is on the page.
+_MODIFIERS = ("has-", "with-", "no-", "without-", "is-", "has_", "with_", "no_")
+#: Names count on containers only, not on a paragraph or a quotation.
+_CONTAINERS = frozenset("div section ul ol dl table center fieldset figure details article span".split()) - {"article"}
+_ARTICLE = ("article", "main")
+_MARKERS = frozenset("article main h1".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Share of the page's text from which an article element is believed to be the page's article.
+_ARTICLE_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("children", "cut", "density", "density_sum", "link_chars", "link_tags", "n_chars", "n_tags", "parent", "tag")
+    __slots__ = ("children", "cut", "density", "density_sum", "kind", "link_chars", "link_tags", "marked", "n_chars", "n_tags", "parent", "soft", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, soft: str = "", kind: str = ""):
+        self.tag, self.parent, self.cut, self.soft, self.kind, self.children = tag, parent, cut, soft, kind, []
+
+
+def _kept(node: Node) -> list[Node]:
+    return [c for c in node.children if type(c) is Node and not c.cut]
+
+
+class _Open:
+    """The open elements, and for each tag the depths at which it is open, so that no look-up walks up."""
+
+    def __init__(self):
+        self.stack = [Node("#document", None)]
+        self.depths: dict[str, list[int]] = {}
+        self.block_depths: list[int] = []
+
+    def last(self, tags) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in _BLOCK:
+            self.block_depths.append(depth)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.depths[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.block_depths.pop()
+
+    def end_tag(self, tag: str) -> None:
+        depth = self.last((tag,))
+        # An inline end tag doesn't reach out of its block.
+        if depth and (tag in _BLOCK or not self.block_depths or depth > self.block_depths[-1]):
+            self.close(depth)
+
+    def start_tag(self, tag: str) -> None:
+        if tag in _CLOSES_P and (depth := self.last(("p",))) > self.last(_P_SCOPE):
+            self.close(depth)
+        if tag in _SIBLING_ENDS:
+            ends, within = _SIBLING_ENDS[tag]
+            bound = self.last(within)
+            if (depth := self.last(ends)) > bound:
+                # The outermost of them below the bound: a row ends its cell too.
+                self.close(min(next(d for d in self.depths[t] if d > bound) for t in ends if self.depths.get(t) and self.depths[t][-1] > bound) if tag == "tr" else depth)
 
 
 def parse(page: str) -> Node:
-    """The page's DOM; text is kept as str children, as it stands in the page. Whatever is cut has no children."""
-    root = at = Node("#document", None, False)
-    place, end = 0, len(page)
+    """The page's DOM in one pass; text is kept as str children, as it stands in the page. Whatever is cut has no children. A tag that the page's end cuts off is left out with all that follows."""
+    opened = _Open()
+    root, place, end, strict = opened.stack[0], 0, len(page), True
     while place < end:
-        found = _TOKEN.search(page, place)
-        stop = found.start() if found else end
+        at = opened.stack[-1]
+        start = page.find("<", place)
+        while start >= 0 and not (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("/", "!", "?")):
+            start = page.find("<", start + 1)
+        stop = start if start >= 0 else end
         if stop > place and not at.cut:
             at.children.append(page[place:stop])
-        if not found:
+        if start < 0:
             break
-        place = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
-            if found[0].startswith("<![CDATA[") and not at.cut:
-                at.children.append(html.escape(found[0][9:].removesuffix("]]>")))
+        if page[start + 1] in "!?":
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 2)
+                place = close + 3 if close >= 0 else end
+            elif page.startswith("<![CDATA[", start):
+                close = page.find("]]>", start)
+                if not at.cut:
+                    at.children.append(html.escape(page[start + 9 : close if close >= 0 else end]))
+                place = close + 3 if close >= 0 else end
+            else:
+                close = page.find(">", start)
+                place = close + 1 if close >= 0 else end
             continue
-        if found[1]:
-            at = _closed(at, tag)
+        name = _TAG_NAME.match(page, start + 2 if page[start + 1] == "/" else start + 1)
+        if not name:
+            close = page.find(">", start)
+            place = close + 1 if close >= 0 else end
             continue
-        if tag in _CLOSES_P:
-            at = _ended(at, {"p"}, frozenset(("td", "th", "button", "caption", "table", "div", "article", "section", "blockquote", "main", "#document")))
-        if tag in _SIBLING_ENDS:
-            at = _ended(at, *_SIBLING_ENDS[tag])
-        node = Node(tag, at, at.cut or _is_cut(tag, found[3], at))
+        rest = _TAG_REST.match(page, name.end()) if strict else None
+        if rest is None:  # a quote that never ends: from here on quotes count for nothing
+            strict = False
+        place = rest.end() if rest else page.find(">", name.end()) + 1
+        if not place:
+            break
+        tag = name[0].lower()
+        if page[start + 1] == "/":
+            opened.end_tag(tag)
+            continue
+        opened.start_tag(tag)
+        at = opened.stack[-1]
+        soft, kind = _named(tag, page[name.end() : place - 1], bool(opened.last(_ARTICLE)))
+        node = Node(tag, at, at.cut or tag in _CUT_TAGS or soft == "hidden", soft, kind)
         at.children.append(node)
         if tag in _RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, place)
-            node.cut = True
-            place = close.end() if close else end
+            node.cut, place = True, close.end() if close else end
         elif tag not in _VOID:
-            at = node
+            opened.push(node)
     return root
 
 
-def _closed(at: Node, tag: str) -> Node:
-    up = at
-    while up.parent is not None and up.tag != tag:
-        if up.tag in _BLOCK and tag not in _BLOCK:
-            return at  # an end tag without its start here
-        up = up.parent
-    return up.parent if up.parent is not None else at
-
-
-def _ended(at: Node, ends: set[str], within: frozenset[str] | set[str]) -> Node:
-    up = at
-    while up.parent is not None and up.tag not in within:
-        if up.tag in ends:
-            at = up.parent
-        up = up.parent
-    return at
-
-
-def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in _CUT_TAGS:
-        return True
-    if tag == "header":
-        while parent is not None and parent.tag not in _ARTICLE:
-            parent = parent.parent
-        return parent is None
-    if not attributes or tag in ("html", "body") or tag in _ARTICLE:
-        return False
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
+    """Why a node may be cut (hidden, comments, outer, named, or nothing), and its kind (tag and class)."""
+    soft, kind = "", tag
+    if tag in _SOFT_TAGS and not (tag == "header" and in_article):
+        soft = "outer" if tag in _OUTER_TAGS else "named"
+    if not attributes or tag in ("html", "body"):
+        return soft, kind
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if not _CUT_WORDS.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+            return "hidden", kind
+        if name not in ("class", "id", "role"):
+            continue
+        if name == "class":
+            kind = f"{tag}.{value}"
+        if tag not in _CONTAINERS:
+            continue
+        for word in value.split():
+            parts = set(_NAME.findall(word)) if not word.startswith(_MODIFIERS) else set()
+            if parts & _COMMENT_WORDS:
+                soft = "comments"
+            elif parts & _CUT_WORDS or parts & _HEADER_WORDS and not in_article and not parts & _ARTICLE_WORDS:
+                soft = soft or "named"
+    return soft, kind
 
 
-def _measure(root: Node) -> None:
-    """Characters, tags and links below each node, in document order from the leaves up."""
+def _ordered(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [c for c in node.children if type(c) is Node and not c.cut]
+        stack += reversed(_kept(node))
+    return order
+
+
+def _count(order: list[Node]) -> None:
+    """Characters, tags, links and markers below each node, from the leaves up."""
     for node in reversed(order):
-        node.n_chars = node.n_tags = node.link_chars = node.link_tags = 0
+        node.n_chars = node.n_tags = node.link_chars = node.link_tags = node.marked = 0
         for c in node.children:
             if type(c) is str:
                 node.n_chars += len(c) if not c.isspace() else 0
@@ -131,53 +209,83 @@ def _measure(root: Node) -> None:
                 node.n_tags += c.n_tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
+                node.marked += c.marked + (c.tag in _MARKERS)
         if node.tag == "a":
             node.link_chars = node.n_chars
-    body = next((n for n in order if n.tag == "body"), root)
+
+
+def _cut_named(root: Node) -> list[Node]:
+    """Cuts what tags and names mark, but for nodes that hold most of the text and the article itself; the nodes that are left, in page order."""
+    order = _ordered(root)
+    _count(order)
+    for node in order:
+        if not node.soft:
+            continue
+        most = 2 * node.n_chars > root.n_chars and 2 * node.link_chars < node.n_chars
+        own = node.marked and most
+        alone = most and node.soft == "named" and not root.marked
+        node.cut = not (own or alone)
+    order = _ordered(root)
+    _count(order)
+    return order
+
+
+def _weigh(order: list[Node], body: Node) -> None:
+    """Composite text densities and their sums."""
     share = body.link_chars / max(body.n_chars, 1)
     for node in reversed(order):
         c, t, lc, lt = node.n_chars, max(node.n_tags, 1), node.link_chars, node.link_tags
-        plain = c - lc
         # The 1 inside both logarithms keeps a page without links, whose base would be log(e) = 1, finite.
-        base = math.log(c / max(plain, 1) * lc + share * c + math.e)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         node.density = c / t * math.log1p(c / max(lc, 1) * t / max(lt, 1)) / math.log1p(base)
-        node.density_sum = sum(x.density for x in node.children if type(x) is Node and not x.cut)
+        node.density_sum = sum(x.density for x in _kept(node))
 
 
-def main_node(root: Node) -> Node:
-    """The node that holds the article."""
-    _measure(root)
-    body, stack = root, [root]
-    while stack:
-        node = stack.pop()
-        if node.tag == "body":
-            body = node
+def main_nodes(root: Node) -> list[Node]:
+    """The nodes that hold the article, in page order."""
+    order = _cut_named(root)
+    body = next((n for n in order if n.tag == "body"), root)
+    _weigh(order, body)
+    scope = body
+    for tag in _ARTICLE:
+        largest = max((n for n in order if n.tag == tag), key=lambda n: n.n_chars, default=None)
+        if largest is not None and largest.n_chars >= _ARTICLE_SHARE * body.n_chars:
+            scope = largest
             break
-        stack += [c for c in node.children if type(c) is Node and not c.cut]
-    best, stack = body, [body]
-    while stack:
-        node = stack.pop()
-        if node.density_sum > best.density_sum:
-            best = node
-        stack += [c for c in reversed(node.children) if type(c) is Node and not c.cut]
-    threshold, up = best.density, best
-    while up is not body and up.parent is not None:
-        up = up.parent
-        threshold = min(threshold, up.density)
-    # From the body down, the first node that reaches the threshold and holds the maximum; an enclosing article is taken whole.
-    path, up = [], best
-    while up is not None and up is not body:
-        path.append(up)
-        up = up.parent
-    for node in reversed(path):
-        if node.tag in _ARTICLE and node.density >= threshold:
-            return node
-    if best.tag not in _BLOCK or best.tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"):
-        return best.parent or best
-    return best
-
-
-def blocks(node: Node) -> list[str]:
+    heart = max(_ordered(scope), key=lambda n: n.density_sum)
+    path = [heart]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    if around := [n for n in path if n.tag == "article"]:
+        return around[:1]
+    if heart is not body and (heart.tag not in _BLOCK or heart.tag in ("p", "li", "td", *_HEADINGS)):
+        path = path[1:]
+    return _beside_path(path, scope, threshold)
+
+
+def _beside_path(path: list[Node], scope: Node, threshold: float) -> list[Node]:
+    """The lowest node of the path and what counts beside the path, up to scope; in page order. Of the body itself, all but lists of links."""
+    if path[0] is scope:
+        parts = _kept(scope)
+        gone = [c for c in parts if c.tag in _BLOCK and 2 * c.link_chars > c.n_chars and c.density < threshold] if scope.tag == "body" else []
+        for c in gone:
+            c.cut = True
+        return [scope]
+    kept = [path[0]]
+    for node, above in zip(path, path[1:]):
+        inner, siblings = kept, _kept(above)
+        at = siblings.index(node)
+        counts = [k == at or 2 * c.link_chars <= c.n_chars and c.n_chars > 0 and (c.density >= threshold or c.kind == node.kind) for k, c in enumerate(siblings)]
+        for k in range(len(siblings) - 2, -1, -1):
+            counts[k] = counts[k] or counts[k + 1] and siblings[k].tag in _HEADINGS
+        kept = [x for k, c in enumerate(siblings) if counts[k] for x in (inner if k == at else [c])]
+        if above is scope:
+            break
+    return kept
+
+
+def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order, character references decoded, white space made one space."""
     out: list[str] = []
     line: list[str] = []
@@ -189,7 +297,9 @@ def blocks(node: Node) -> list[str]:
             if text:
                 out.append(text)
 
-    stack: list = [node]
+    stack: list = [None]
+    for node in reversed(nodes):
+        stack += [node, None]
     while stack:
         x = stack.pop()
         if type(x) is str:
@@ -213,7 +323,7 @@ def blocks(node: Node) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(main_node(parse(page))))
+    return "\n".join(blocks(main_nodes(parse(page))))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import io
 import os
 import re
+import time
 import zipfile
 
 import numpy as np
@@ -126,6 +127,45 @@ def test_extraction_of_odd_pages(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+LONG = ["The first paragraph of it is long enough to weigh more than anything beside it on this page, by far.", "A second one follows the first and adds some more words to it, as articles do all the time.", "And a third one ends what was to be said here, with a last sentence that is of some length too."]
+P3 = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div class='layout has-sidebar'><article><h1>Title</h1>{P3}</article></div>", ["Title", *LONG]),
+        (f"<div class='page sidebar'><h1>Title</h1>{P3}</div>", ["Title", *LONG]),
+        (f"<form action='/'><div><h1>Title</h1>{P3}</div></form>", ["Title", *LONG]),
+        (f"<article><div class='article-header'><h1>Title</h1></div>{P3}<p class='alert'>Mind this.</p><blockquote class='social'>Quoted.</blockquote><div class='ad'>Buy</div></article>", ["Title", *LONG, "Mind this.", "Quoted."]),
+        (f"<main><article><h1>Title</h1>{P3}</article><div>Read more of our stories on other days.</div></main>", ["Title", *LONG]),
+        (f"<section>{P3}</section><section>{P3.replace('first', 'next')}</section><ul><li><a href='/a'>Home</a></li><li><a href='/b'>All news</a></li></ul>", [*LONG, *[x.replace("first", "next") for x in LONG]]),
+        (f"<div id='s'><h1>Title</h1>{P3}</div><div><a href='/x'>One more</a> <a href='/y'>And more</a></div>", ["Title", *LONG]),
+        (f"<article>{P3}</article><section class='comments'>{P3 * 5}</section><footer>{P3}</footer>", LONG),
+        (f"<h1>Title</h1>{P3}<ul><li><a href='/a'>Home page</a></li><li><a href='/b'>All news</a></li></ul>", ["Title", *LONG]),
+        (f"<article><h1>Title</h1>{P3}<p><a href='/z'>A paragraph that is one link</a></p><ul><li>x</li></ul><table><tr><td>1<td>2<tr><td>3</table></article>", ["Title", *LONG, "A paragraph that is one link", "x", "1", "2", "3"]),
+    ],
+)
+def test_density_decides_and_names_are_weak(body, text):
+    assert html_text.extract(f"<html><head><title>T</title></head><body>{body}</body></html>") == "\n".join(text)
+
+
+@pytest.mark.parametrize("page", ["<a " * 66_000, "<b>" * 30_000 + "</i>" * 30_000, "<ul><li>" * 25_000, """<a ">" '>'""" * 20_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<i><div>" + "<b>" * 25_000 + "</i>" * 25_000, "<p " * 60_000 + ">"])
+def test_pages_take_time_in_proportion(page):
+    def seconds(x):
+        start = time.process_time()
+        html_text.extract(x)
+        return time.process_time() - start
+
+    assert seconds(page) < 4 * seconds(page[: len(page) // 2]) + 1
+
+
+def test_extraction_replaces_a_text_column(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>", "old")], "page_id long, url string, html string, text string")
+    assert html_text.extract_text(df).collect()[0].asDict() == {"page_id": 1, "url": "u", "html": "<p>a</p>", "text": "a"}
+    assert html_text.main_texts(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
 # 4 WARC
 
 
