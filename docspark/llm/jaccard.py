@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, mixed, shingles, tidy, written
+from .common import discard, many_shingles, mixed, tidy, written
 from .components import components
 from .meeting import HELD_KEYS, by_slice, runs, slice_groups, slices
 from .sieve import passing, sieved
@@ -63,8 +63,10 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     return n - needed(n, percent) + k, min(n, n - -(-2 * percent * n // (100 + percent)) + k)
 
 
-def token_set(words: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(shingles(words, n))
+def token_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    out = [np.sort(x) for x in many_shingles(texts, n)]
+    return [x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x for x in out]
 
 
 def _is_wide(tokens: np.ndarray, wide: np.ndarray) -> np.ndarray:
@@ -85,13 +87,11 @@ def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
     until = np.uint64((1 << 64) // 100 * (100 - percent + EXTRA + SPARE))
 
     def run(batches):
-        words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sizes, sigs, lows, bands = [], [], [], []
-                for text in part["text"].to_pylist():
-                    tokens = token_set(words.hashes(text), n)
+                for tokens in token_sets(part["text"], n):
                     size = len(tokens)
                     sizes.append(size)
                     sigs.append(xxhash.xxh3_128_digest(tokens.tobytes()))
@@ -114,11 +114,10 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     rows, sieve = sieved(docs, ids)
 
     def run(batches):
-        words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = passing(batch.slice(at, 500), sieve.value)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([token_set(words.hashes(t), n).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([t.tobytes() for t in token_sets(part["text"], n)], pa.binary())], ["id", "tokens"])
 
     return rows.mapInArrow(tidy(run), "id long, tokens binary")
 
@@ -325,11 +324,10 @@ class _Prefixes:
         rows, sieve = sieved(self.docs, ids)
 
         def run(batches):
-            words = Words()
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = passing(batch.slice(at, 500), sieve.value)
-                    sets = [token_set(words.hashes(t), n) for t in part["text"].to_pylist()]
+                    sets = token_sets(part["text"], n)
                     if wide is None:  # whole sets, to be counted
                         yield pa.RecordBatch.from_arrays([part["id"], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "low"])
                     else:

@@ -155,7 +155,7 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             texts, ids = batch["text"], batch["id"].to_numpy(zero_copy_only=False)
             for i in range(0, batch.num_rows, 500):
-                hashed = [(k, h) for k, t in zip(ids[i : i + 500], texts.slice(i, 500).to_pylist()) if len(h := words.hashes(t)) >= min_words]
+                hashed = [(k, h) for k, h in zip(ids[i : i + 500], words.many(texts.slice(i, 500))) if len(h) >= min_words]
                 for a, b in _chunks([len(h) for _, h in hashed]):
                     cuts, keys, places = of([h for _, h in hashed[a:b]])
                     lists = [[x[m:n].tobytes() for m, n in zip(cuts[:-1], cuts[1:])] for x in (keys, places)]
@@ -223,6 +223,7 @@ class Places:
         self.b = b
         self.order = np.argsort(b, kind="stable")
         self.sorted = b[self.order]
+        self.twice = len(b) > 1 and bool((self.sorted[1:] == self.sorted[:-1]).any())
 
     def first(self, a: np.ndarray) -> np.ndarray:
         """The first place of each of a, or -1."""
@@ -280,8 +281,15 @@ def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_W
         if score >= similarity:
             found.append((start, end + SHINGLE - 1, int(block[0]), int(block[-1]) + SHINGLE, float(score)))
             continue
-        similar = _similar_parts(a, b, _in_step_parts(a[:end], run, places), width, similarity)
-        exact = [x for x in _exact_parts(a, start, end, b, width) if not any(s <= x[0] and x[1] <= e for s, e, *_ in similar)]
+        if places.twice:
+            parts, exact = _in_step_parts(a[:end], run, places), _exact_parts(a, start, end, b, width)
+        else:  # each shingle of b has one place, so there is one way to align it
+            edges = np.flatnonzero((np.diff(run) > 1) | (np.diff(where[run]) != 1)) + 1
+            firsts, lasts = run[[0, *edges]], run[np.append(edges, len(run)) - 1]
+            parts = list(zip(firsts.tolist(), where[firsts].tolist(), (lasts - firsts + 1).tolist()))
+            exact = [(s, s + n, t, t + n, 1.0) for s, t, n in parts if n >= width]
+        similar = _similar_parts(a, b, parts, width, similarity)
+        exact = [x for x in exact if not any(s <= x[0] and x[1] <= e for s, e, *_ in similar)]
         found += [(s, e + SHINGLE - 1, s2, e2 + SHINGLE - 1, score) for s, e, s2, e2, score in [*similar, *exact]]
     return found
 
@@ -292,7 +300,7 @@ def _in_step_parts(a: np.ndarray, run: np.ndarray, places: Places) -> list[tuple
     Each part goes on, within GAP, where the one before it ended in b, or else begins where b has the longest run from here.
     """
     begin, b = int(run[0]), places.b
-    best = places.longest(a[begin:])
+    best = places.longest(a[begin:])  # a ends with the run
     parts, until = [], -1
     for i in run.tolist():
         if i < until:
@@ -370,7 +378,7 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = passing(batch.slice(at, 500), sieve.value)
                 # 32 bits a word: a shingle of five compares 160.
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([words.hashes(t).astype(np.uint32).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "words"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([h.astype(np.uint32).tobytes() for h in words.many(part["text"])], pa.binary())], ["id", "words"])
 
     return rows.mapInArrow(tidy(pack), "id long, words binary")
 
