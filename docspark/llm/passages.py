@@ -257,14 +257,29 @@ def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_W
     """
     if len(left) < min_words or len(right) < min_words:
         return []
-    a, b = shingles(left.astype(np.uint64), SHINGLE), shingles(right.astype(np.uint64), SHINGLE)
-    places = Places(b)
+    a, b = (shingles(x.astype(np.uint64), SHINGLE) for x in (left, right))
+    return _found(a, b, Places(b), min_words - SHINGLE + 1, similarity)[0]
+
+
+def pair_passages(left: np.ndarray, right: np.ndarray, min_words: int, similarity: float) -> tuple[list[tuple], list[tuple]]:
+    """similar_passages() in both directions. Where no shingle stands twice in either text there is one way to align them, and one direction gives the other."""
+    if len(left) < min_words or len(right) < min_words:
+        return [], []
+    a, b = (shingles(x.astype(np.uint64), SHINGLE) for x in (left, right))
+    of_a, of_b, width = Places(a), Places(b), min_words - SHINGLE + 1
+    found, mirrored = _found(a, b, of_b, width, similarity)
+    if mirrored and not of_a.twice:
+        return found, [(s2, e2, s, e, score) for s, e, s2, e2, score in found]
+    return found, _found(b, a, of_a, width, similarity)[0]
+
+
+def _found(a: np.ndarray, b: np.ndarray, places: Places, width: int, similarity: float) -> tuple[list[tuple[int, int, int, int, float]], bool]:
+    """The passages of similar_passages(), and whether they hold all places of b too."""
     where = places.first(a)
     hit = np.flatnonzero(where >= 0)
-    width = min_words - SHINGLE + 1
-    found = []
+    found, mirrored = [], not places.twice
     if not len(hit):
-        return found
+        return found, mirrored
     cuts = np.flatnonzero(np.diff(hit) > GAP) + 1
     for first, last in zip([0, *cuts], [*cuts, len(hit)]):
         run = hit[first:last]
@@ -280,6 +295,7 @@ def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_W
         score = shared / (len(x) + len(y) - shared)
         if score >= similarity:
             found.append((start, end + SHINGLE - 1, int(block[0]), int(block[-1]) + SHINGLE, float(score)))
+            mirrored &= not len(parted)
             continue
         if places.twice:
             parts, exact = _in_step_parts(a[:end], run, places), _exact_parts(a, start, end, b, width)
@@ -291,7 +307,7 @@ def similar_passages(left: np.ndarray, right: np.ndarray, min_words: int = MIN_W
         similar = _similar_parts(a, b, parts, width, similarity)
         exact = [x for x in exact if not any(s <= x[0] and x[1] <= e for s, e, *_ in similar)]
         found += [(s, e + SHINGLE - 1, s2, e2 + SHINGLE - 1, score) for s, e, s2, e2, score in [*similar, *exact]]
-    return found
+    return found, mirrored
 
 
 def _in_step_parts(a: np.ndarray, run: np.ndarray, places: Places) -> list[tuple[int, int, int]]:
@@ -427,8 +443,8 @@ def _verified(packed: DataFrame, pairs: DataFrame, min_words: int, similarity: f
                 part = batch.slice(at, 64)
                 for a, b, x, y, places in zip(*(part[c].to_pylist() for c in ("a", "b", "x", "y", "places"))):
                     x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                    out += [(a, s, e, b, s2, e2, score, None, None) for s, e, s2, e2, score in similar_passages(x, y, min_words, similarity)]
-                    mine = similar_passages(y, x, min_words, similarity)
+                    theirs, mine = pair_passages(x, y, min_words, similarity)
+                    out += [(a, s, e, b, s2, e2, score, None, None) for s, e, s2, e2, score in theirs]
                     out += [(b, s, e, a, s2, e2, score, None, None) for s, e, s2, e2, score in mine]
                     if places:
                         places = np.array(places, np.int64)
