@@ -28,6 +28,8 @@ REVISIT_BYTES = 1000
 #: An archive that has reached this size is closed and the task begins another,
 ARCHIVE_BYTES = 1 << 30
 #: and about this much is read at once.
+#: Tasks that read ranges, at most, for each shuffle partition.
+TASKS_A_PARTITION = 16
 RANGE_BYTES = 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
@@ -258,7 +260,10 @@ def read_records(archives: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows[i : i + 500], _RECORDS)
 
     places = archives.select("path", "length").mapInArrow(tidy(ranges), "path string, start long, lengths array<long>")
-    return places.repartition("path", "start").mapInArrow(tidy(records), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # The rows of ranges are small, what they name isn't: a number of partitions by the bytes to be read, which Spark doesn't coalesce.
+    total = archives.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-total // RANGE_BYTES), TASKS_A_PARTITION * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return places.repartition(tasks, "path", "start").mapInArrow(tidy(records), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
