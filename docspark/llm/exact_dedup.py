@@ -1,8 +1,8 @@
 """Exact deduplication by content sort.
 
 Rows are range-partitioned by sampled splitters over (first 64 normalised characters, SHA-256, id), sorted by Spark's
-external sort, and neighbours are compared in full. The id in the splitters lets a text with very many copies
-spread over partitions; the first and last run of each partition (two rows a partition) are stitched together afterwards.
+external sort, and neighbours are compared in full. Splitters go to the driver, so they can't hold whole texts: beyond 64 characters the digest stands for the rest of the order. The id in the splitters lets a text with very many copies
+spread over partitions; the first and last run of each partition (two rows a partition, with one full text each) are compared in full and stitched together afterwards.
 """
 
 from __future__ import annotations
@@ -38,25 +38,25 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, carry:
     )
     dealt = rows.repartitionByRange("head", "sha", order).sortWithinPartitions("head", "sha", order)
     id_type = docs.schema[id_col].dataType
-    fields = [T.StructField("summary", T.BooleanType()), T.StructField("part", T.LongType()), T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("edge", T.BooleanType())]
+    fields = [T.StructField("summary", T.StringType()), T.StructField("part", T.LongType()), T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("edge", T.BooleanType())]
     if carry:
         fields += [T.StructField("text", T.StringType()), T.StructField("row", rows.schema["row"].dataType)]
     return dealt.mapInArrow(tidy(lambda batches: _runs(batches, carry)), T.StructType(fields))
 
 
 def _runs(batches, carry: bool):
-    """Compares neighbours in full and yields a row for each document, and a summary row for the first and last run of the partition.
+    """Compares neighbours in full and yields a row for each document, and a summary row (with the run's normalised text) for the first and last run of the partition.
 
     With carry, only the first row of each run is yielded, with all its columns.
     """
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []  # rows of the run that is still open (with carry, its first row)
-    held_n, last, closed = 0, None, 0
+    held_n, held_text, last, closed = 0, None, None, 0
 
     def out(b: pa.RecordBatch, firsts: np.ndarray, sizes: np.ndarray, edge: bool) -> pa.RecordBatch:
         """firsts: for each row the index of its run's first row."""
         n = b.num_rows
-        cols = [pa.array(np.zeros(n, bool)), pa.array(np.full(n, part)), b["id"], b["sha"], b["id"].take(pa.array(firsts)), pa.array(sizes.astype(np.int64)), pa.array(firsts == np.arange(n)), pa.array(np.full(n, edge))]
+        cols = [pa.nulls(n, pa.string()), pa.array(np.full(n, part)), b["id"], b["sha"], b["id"].take(pa.array(firsts)), pa.array(sizes.astype(np.int64)), pa.array(firsts == np.arange(n)), pa.array(np.full(n, edge))]
         names = ["summary", "part", "id", "sha", "keep_id", "group_size", "first", "edge"]
         if carry:
             cols, names = [*cols, b["text"], b["row"]], [*names, "text", "row"]
@@ -66,7 +66,7 @@ def _runs(batches, carry: bool):
         first = held[0].slice(0, 1)
         one = out(first, np.zeros(1, int), np.full(1, held_n), edge)
         if edge:
-            yield pa.RecordBatch.from_arrays([pa.array([True]), *(pa.nulls(1, c.type) if name in ("text", "row") else c for name, c in zip(one.schema.names[1:], one.columns[1:]))], one.schema.names)
+            yield pa.RecordBatch.from_arrays([held_text, *(pa.nulls(1, c.type) if name in ("text", "row") else c for name, c in zip(one.schema.names[1:], one.columns[1:]))], one.schema.names)
         if carry:
             yield one
             return
@@ -98,7 +98,7 @@ def _runs(batches, carry: bool):
         if len(starts) > 1:
             begin, cuts = starts[0], starts
             if not closed:  # the very first run of the partition goes on its own
-                held, held_n = [b.slice(begin, starts[1] - begin)], int(starts[1] - begin)
+                held, held_n, held_text = [b.slice(begin, starts[1] - begin)], int(starts[1] - begin), norm.slice(begin, 1)
                 yield from close(edge=True)
                 closed, cuts = 1, starts[1:]
             if len(cuts) > 1:
@@ -110,7 +110,7 @@ def _runs(batches, carry: bool):
                     yield out(inner, np.repeat(cuts[:-1] - cuts[0], sizes), np.repeat(sizes, sizes), False)
                 closed += len(sizes)
         at = int(starts[-1])
-        held, held_n = [b.slice(at, 1 if carry else n - at)], n - at
+        held, held_n, held_text = [b.slice(at, 1 if carry else n - at)], n - at, norm.slice(at, 1)
         last = norm[n - 1].as_py()
     if held:
         yield from close(edge=True)
@@ -119,10 +119,12 @@ def _runs(batches, carry: bool):
 def _stitched(runs: DataFrame) -> DataFrame:
     """Joins the runs that cross partitions: at most two summary rows a partition, so the broadcast side is bounded by the partition count."""
     runs = written(runs, "exact-runs")
-    # A run's partitions are in the order of the ids, so its first partition holds the row that stays.
-    edges = runs.where("summary").groupBy("sha").agg(F.min(F.struct("part", "keep_id")).alias("head"), F.sum("group_size").alias("all_n"))
-    rows = runs.where("not summary")
-    joined = rows.join(F.broadcast(edges.withColumnRenamed("sha", "edge_sha")), F.col("edge") & (F.col("sha") == F.col("edge_sha")), "left")
+    # Runs of one text, compared in full. A run's partitions are in the order of the ids, so its first partition holds the row that stays.
+    edges = runs.where("summary IS NOT NULL").select("part", "sha", "keep_id", "group_size", F.col("summary").alias("norm"))
+    whole = edges.groupBy("norm").agg(F.min(F.struct("part", "keep_id")).alias("head"), F.sum("group_size").alias("all_n"), F.collect_set(F.struct("part", "sha")).alias("parts"))
+    whole = whole.select("head", "all_n", F.explode("parts").alias("at")).select("head", "all_n", F.col("at.part").alias("edge_part"), F.col("at.sha").alias("edge_sha"))
+    rows = runs.where("summary IS NULL")
+    joined = rows.join(F.broadcast(whole), F.col("edge") & (F.col("part") == F.col("edge_part")) & (F.col("sha") == F.col("edge_sha")), "left")
     return joined.withColumns({
         "keep_id": F.when(F.col("edge"), F.col("head.keep_id")).otherwise(F.col("keep_id")),
         "group_size": F.when(F.col("edge"), F.col("all_n")).otherwise(F.col("group_size")),
