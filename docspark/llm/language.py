@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
-All languages share one filter: slot i holds a bitmask with bit l set if language l's Bloom filter has slot i set. The AND of an n-gram's slots is
+All languages share one filter: slot i holds a bitmask (of as many 64-bit words as the languages need) with bit l set if language l's Bloom filter has slot i set. The AND of an n-gram's slots is
 the mask of all languages that contain it. A text's languages are counted n-gram by n-gram, each count is corrected for the false positives that
 a filter of that fill gives, and the largest decides.
 """
@@ -26,7 +26,8 @@ MIN_SHARE = 1e-5
 MIN_PART = 0.125
 HASHES = 3
 SLOTS_PER_GRAM = 8
-MAX_LANGUAGES = 64
+#: Languages in one word of the mask.
+WORD_BITS = 64
 
 #: ASCII bytes that are no letters become a space.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -64,39 +65,42 @@ def _slots(packed: np.ndarray, bits: int) -> list[np.ndarray]:
 class LanguageFilters:
     languages: list[str]
     common: str | None  # the most frequent language, for texts of which no n-gram is known
-    table: np.ndarray  # a mask for each slot
+    tables: list[np.ndarray]  # a word of the mask for each slot; languages beyond the first 64 are in further words
     false_rate: np.ndarray  # for each language
 
     @classmethod
     def of(cls, found: dict[str, np.ndarray], common: str | None) -> LanguageFilters:
         names = sorted(found)
-        if len(names) > MAX_LANGUAGES:
-            raise ValueError(f"{len(names)} languages; a mask has {MAX_LANGUAGES} bits")
         most = max([1, *map(len, found.values())])
         bits = min(21, max(10, int(np.ceil(np.log2(most * SLOTS_PER_GRAM)))))
-        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= 8 * t().itemsize)
-        table = np.zeros(1 << bits, width)
-        fill = []
-        for i, name in enumerate(names):
-            for slot in _slots(found[name], bits):
-                table[slot] |= width(1 << i)
-            fill.append(float(((table >> width(i)) & width(1)).mean()))
-        return cls(names, common, table, np.array(fill) ** HASHES)
+        tables, fill = [], []
+        for at in range(0, len(names), WORD_BITS):
+            part = names[at : at + WORD_BITS]
+            width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= 8 * t().itemsize)
+            table = np.zeros(1 << bits, width)
+            for i, name in enumerate(part):
+                for slot in _slots(found[name], bits):
+                    table[slot] |= width(1 << i)
+                fill.append(float(((table >> width(i)) & width(1)).mean()))
+            tables.append(table)
+        return cls(names, common, tables, np.array(fill) ** HASHES)
 
     def predict(self, texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
         if not self.languages:
             return [None] * len(texts), np.zeros(len(texts))
         packed, at = grams(texts)
-        bits = int(np.log2(len(self.table)))
-        mask = np.full(len(packed), -1).astype(self.table.dtype)
-        for slot in _slots(packed, bits):
-            mask &= self.table[slot]
         n = np.diff(at)
+        slots = _slots(packed, int(np.log2(len(self.tables[0]))))
         counts = np.empty((len(self.languages), len(texts)))
-        for i in range(len(self.languages)):
-            sums = np.concatenate([[0], np.cumsum((mask >> self.table.dtype.type(i)) & self.table.dtype.type(1), dtype=np.int64)])
-            hits = sums[at[1:]] - sums[at[:-1]]
-            counts[i] = np.maximum(0, (hits - n * self.false_rate[i]) / max(1e-9, 1 - self.false_rate[i]))
+        for word, table in enumerate(self.tables):
+            mask = table[slots[0]]
+            for slot in slots[1:]:
+                mask &= table[slot]
+            for i in range(word * WORD_BITS, min(len(self.languages), (word + 1) * WORD_BITS)):
+                bit = table.dtype.type(i - word * WORD_BITS)
+                sums = np.concatenate([[0], np.cumsum((mask >> bit) & table.dtype.type(1), dtype=np.int64)])
+                hits = sums[at[1:]] - sums[at[:-1]]
+                counts[i] = np.maximum(0, (hits - n * self.false_rate[i]) / max(1e-9, 1 - self.false_rate[i]))
         total, best = counts.sum(0), counts.argmax(0)
         score = np.where(total > 0, counts.max(0) / np.where(total > 0, total, 1), 0.0)
         return [self.languages[b] if t > 0 else self.common for b, t in zip(best, total)], score
@@ -110,12 +114,20 @@ def held_out(id_col: str) -> F.Column:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> LanguageFilters:
     """Fits the filters on about train_rows rows of labelled, drawn by a hash of the id; rows with a null language or text don't count.
 
-    The driver gets at most 1 / MIN_SHARE n-grams a language. Without any labelled row there are no languages.
+    Each language has its own rate: all rows of rare languages, and as many of each other one as fit in train_rows together. The driver gets a row for each language,
+    and at most 1 / MIN_SHARE n-grams of each. Without any labelled row there are no languages.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    n = rows.count()
-    if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(sizes.values()) > train_rows:
+        share, rest = train_rows, len(sizes)
+        for n in sorted(sizes.values()):  # what rare languages leave goes to the others
+            if n * rest > share:
+                break
+            share, rest = share - n, rest - 1
+        parts = [(lang, 1_000_000 if n * rest <= share else int(1_000_000 * share / rest / n) + 1) for lang, n in sizes.items()]
+        rates = F.broadcast(rows.sparkSession.createDataFrame(parts, "lang string, rate long"))
+        rows = rows.join(rates, "lang").where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < F.col("rate"))
 
     def count(batches):
         for batch in batches:
@@ -133,18 +145,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))  # a row a language
     shares = shares.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= MIN_SHARE) & (F.col("share") >= MIN_PART * F.col("top")))
-    found: dict[str, list[int]] = {}
-    sizes: dict[str, int] = {}
-    for lang, gram, total in shares.select("lang", "gram", "total").collect():
-        found.setdefault(lang, []).append(gram)
-        sizes[lang] = total
-    return LanguageFilters.of({k: np.array(v, np.uint32) for k, v in found.items()}, max(sorted(sizes), key=sizes.get, default=None))
+    table = shares.select("lang", "gram", "total").toArrow()
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    codes, learned, totals = langs.indices.to_numpy(), table["gram"].to_numpy().astype(np.uint32), table["total"].to_numpy()
+    found, frequent = {}, {}
+    for code, lang in enumerate(langs.dictionary.to_pylist()):
+        mine = np.flatnonzero(codes == code)
+        found[lang], frequent[lang] = learned[mine], int(totals[mine[0]])
+    return LanguageFilters.of(found, max(sorted(frequent), key=frequent.get, default=None))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with a language and a score from 0 to 1 (the share of the corrected counts that the language has).
 
-    The language is `und`, with score 0, if the text is null or has no letter, or nothing was learned. Columns of the names lang_col and score_col are replaced; all others stay.
+    Of languages with equal counts the first by name is taken; a text with letters of which no n-gram is known has the most frequent language, with score 0. The language is `und`, with score 0, if the text is null or has no letter, or nothing was learned. Columns of the names lang_col and score_col are replaced; all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     fields = [f for f in docs.schema.fields if f.name not in (lang_col, score_col)]
