@@ -2,7 +2,7 @@
 
 Items are short and documents long, so only items are sketched. Items are partitioned by size (powers of two of their shingle counts). In each
 partition an item's sketch is its k smallest shingle hashes, where k is one more than the shingles that an item of that partition may lack at the
-threshold: a document that contains enough of the item holds at least one of them, so the search misses nothing. Candidates are verified by counting.
+threshold: a document that contains enough of the item holds at least one of them, so the search misses nothing. Candidates are verified one by one, by the shingles that document and item share.
 """
 
 from __future__ import annotations
@@ -38,6 +38,31 @@ def sketches(items: DataFrame, id_col: str, text_col: str, n: int = WORDS, thres
     return rows.withColumn("sketch", F.slice(F.array_sort("shingles"), F.lit(1), most_missing + 1))
 
 
+def _text_key(text) -> list[F.Column]:
+    """128 bits that name a text: whether it holds an item depends on nothing else."""
+    return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit("contamination"), text).alias("key2")]
+
+
+KEY = ["key1", "key2"]
+
+
+def _contained(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, n: int, threshold: float) -> DataFrame:
+    """key1, key2, item, n_shingles, overlap, containment for texts (key1, key2, text); of items that share an id the best one."""
+    sketched = written(sketches(items, item_col, item_text_col, n, threshold), "item-sketches")
+    keys = sketched.select("item", "text_key", F.explode("sketch").alias("h"))
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    hashed = texts.select(*KEY, words_of(F.col("text")).alias("words"))
+    candidates = written(hashed.select(*KEY, F.explode(shingle_hashes(F.col("words"), n)).alias("h")).join(keys, "h").select(*KEY, "item", "text_key").distinct(), "contamination-candidates")
+    # Each candidate is checked by itself: the shingles of its document against those of its item.
+    opened = hashed.join(candidates.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY).select(*KEY, shingle_hashes(F.col("words"), n).alias("held"))
+    pairs = candidates.join(sketched.select("item", "text_key", "shingles", "n_shingles"), ["item", "text_key"]).join(opened, KEY)
+    pairs = pairs.select(*KEY, "item", F.col("n_shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "held")).cast("long").alias("overlap"))
+    best = pairs.withColumn("containment", F.col("overlap") / F.col("n_shingles")).where(F.col("containment") >= threshold)
+    best = best.groupBy(*KEY, "item").agg(F.max(F.struct("containment", "overlap", "n_shingles")).alias("best"))
+    return best.select(*KEY, "item", "best.n_shingles", "best.overlap", "best.containment")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, threshold: float = CONTAINMENT) -> DataFrame:
     """Pairs (id, item) where the document holds at least `threshold` of the item's distinct n-word shingles: n_shingles, overlap, containment.
 
@@ -45,22 +70,14 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     id or item id are left out. Repeated rows give one pair; of rows that share an id but not the text, each is searched on its own and the best pair is returned.
     Empty tables give an empty result; other columns are ignored.
     """
-    sketched = written(sketches(items, item_col, item_text_col, n, threshold), "item-sketches")
-    keys = sketched.select("item", "text_key", F.explode("sketch").alias("h"))
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_key"), F.col(text_col).alias("text"))
-    exploded = lambda rows: rows.select("id", "doc_key", words_of(F.col("text")).alias("words")).select("id", "doc_key", F.explode(shingle_hashes(F.col("words"), n)).alias("h"))
-    candidates = written(exploded(texts).join(keys, "h").select("id", "doc_key", "item", "text_key").distinct(), "contamination-candidates")
-    opened = texts.join(candidates.select("id", "doc_key").distinct(), ["id", "doc_key"], "left_semi")
-    held = exploded(opened).join(sketched.select("item", "text_key", F.explode("shingles").alias("h")), "h").distinct()
-    overlaps = held.groupBy("id", "doc_key", "item", "text_key").agg(F.count("*").alias("overlap")).join(candidates, ["id", "doc_key", "item", "text_key"], "left_semi")
-    pairs = overlaps.join(sketched.select("item", "text_key", "n_shingles"), ["item", "text_key"]).withColumn("containment", F.col("overlap") / F.col("n_shingles")).where(F.col("containment") >= threshold)
-    best = pairs.groupBy("id", "item").agg(F.max(F.struct("containment", "overlap", "n_shingles")).alias("best"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.n_shingles").cast("long").alias("n_shingles"), F.col("best.overlap").alias("overlap"), F.col("best.containment").alias("containment"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *_text_key(F.col(text_col)), F.col(text_col).alias("text"))
+    found = written(_contained(rows.select(*KEY, "text"), items, item_col, item_text_col, n, threshold), "contained-items")
+    best = rows.select("id", *KEY).join(found, KEY).groupBy("id", "item").agg(F.max(F.struct("containment", "overlap", "n_shingles")).alias("best"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_shingles", "best.overlap", "best.containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without those that contain an item; rows with a null id stay."""
-    found = contained_items(docs, items, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__found"), "left_anti")
+    """docs without the rows whose text contains an item. Every row is judged by its own text: rows of one id apart, and rows with a null id too."""
+    found = written(_contained(docs.select(*_text_key(F.col(text_col)), F.col(text_col).alias("text")), items, item_col, item_text_col, WORDS, CONTAINMENT).select(*KEY).distinct(), "contaminated")
+    key1, key2 = _text_key(F.col(text_col))
+    return docs.join(found, (key1 == found["key1"]) & (key2 == found["key2"]), "left_anti")
