@@ -55,9 +55,9 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_license_scan(spark, sf_dir):
-    """Documents have no paths: they are laid out as /source/lang/doc_id.txt, and texts of at most 400 characters as licence files."""
+    """Documents have no paths: they are laid out as /source/lang/doc_id.txt, and texts of which at least half are licence statements as licence files."""
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.length("text") <= 400, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    name = F.when(license_scan.statement_share(F.col("text")) >= 0.5, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     files = docs.select(F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), name).alias("path"), "text")
     found = license_scan.scan(files, license_scan.template_table(spark))
     return found.select(F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "path", "license_id", F.round("score", 6).alias("score"), "how", "from_path")
