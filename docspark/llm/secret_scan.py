@@ -25,8 +25,8 @@ ASSIGNED = r"""(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|
 LONG = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{ASSIGNED}|{LONG}"
 BEFORE, AFTER = 60, 30
-#: Words of at least this many documents' occurrences are dictionary words.
-DICTIONARY_COUNT = 20
+#: Dictionary words are in at least this share of the documents, and in this many of a small table.
+DICTIONARY_SHARE, DICTIONARY_LEAST = 2e-4, 3
 TRAIN_ROWS = 6_000
 TREES, DEPTH = 40, 8
 KEEP = 0.5
@@ -34,10 +34,11 @@ KEEP = 0.5
 FEATURES = ["length", "digit_share", "upper_share", "other_share", "distinct_share", "transitions", "longest_run", "hex", "dictionary", "prefix", "assigned", "quoted", "secret_word", "other_word", "other_path", "separators"]
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", least: int = DICTIONARY_COUNT) -> DataFrame:
-    """word: lower-case runs of three or more letters that the texts have at least `least` times."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(3, 64))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+def dictionary(docs: DataFrame, text_col: str = "text", share: float = DICTIONARY_SHARE, least: int = DICTIONARY_LEAST) -> DataFrame:
+    """word: lower-case runs of three or more letters that at least this share of the documents has (and at least `least` of them)."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"))).alias("word")).where(F.length("word").between(3, 64))
+    total = docs.select(F.count("*").alias("total"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(least), F.col("total") * share)).select("word")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -128,11 +129,12 @@ def train(labelled: DataFrame, words: DataFrame, seed: int = 17) -> PipelineMode
 def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, keep: float = KEEP) -> DataFrame:
     """The findings that the forest keeps: id, path, start, n_chars, secret, probability.
 
-    Null and empty texts have none; rows with a null id are scanned too; repeated rows give repeated findings, and a candidate repeated in one text a finding for each place. An empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    Null and empty texts have none; rows with a null id are scanned too; repeated rows give repeated findings, and a candidate repeated in one text a finding for each place. A probability of
+    exactly `keep` is kept. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     words = written(dictionary(docs, text_col), "dictionary")
     model = train(labelled, words)
-    judged = model.transform(features(candidates(docs, id_col, text_col, path_col), words))
+    found = written(candidates(docs, id_col, text_col, path_col), "secret-candidates")  # read twice: for the features and for their words
+    judged = model.transform(features(found, words))
     judged = judged.withColumn("probability", vector_to_array("probability")[1]).where(F.col("probability") >= keep)
     return judged.select(F.col("id").alias(id_col), "path", F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("n_chars"), F.col("value").alias("secret"), "probability")
