@@ -441,6 +441,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with only the document of the smallest id of each component; rows with a null id stay."""
-    found = jaccard_components(docs, id_col, text_col, n, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs with one row of each component of texts: that of the smallest id (nulls last), then of the smallest hash of the text.
+
+    Rows are judged by their texts: rows that share an id but not a component each stay, and rows with a null id are judged too. Of rows that repeat id and text, one stays.
+    Texts without words link with nothing, so all such rows stay.
+    """
+    key = F.xxhash64(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    found = written(jaccard_components(rows.select("key", "text"), "key", "text", n, percent).where("n_shingles > 0").select("key", "component_id").distinct(), "jaccard-texts")
+    judged = written(rows.select("id", "key").join(found, "key"), "jaccard-judged")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    firsts = judged.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("component_id", "first.id", "first.key")
+    # A component's first row, in the shape of its other rows: each row is held against it.
+    gone = judged.join(firsts.withColumnsRenamed({"id": "first_id", "key": "first_key"}), "component_id").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))))
+    gone = written(gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "jaccard-gone")
+    left = docs.join(gone, F.col(id_col).eqNullSafe(gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
+    twice = judged.join(firsts, [judged["component_id"] == firsts["component_id"], judged["id"].eqNullSafe(firsts["id"]), judged["key"] == firsts["key"]], "left_semi").groupBy("id", "key").count().where("count > 1").select(F.col("id").alias("twice_id"), F.col("key").alias("twice_key"))
+    twice = written(twice, "jaccard-twice")
+    if twice.isEmpty():
+        return left
+    same = F.col(id_col).eqNullSafe(twice["twice_id"]) & (key == twice["twice_key"])
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
