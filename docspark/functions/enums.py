@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from .profile import value_counts
 
-#: Distinct values beyond this number are never an enum, and only this many (the most frequent) are looked at for patterns.
-LOOKED_AT = 1_001
 
-# The standard sets.
+# The standard sets, and the patterns of codes and of words.
 STANDARD_SETS = {
-    "booleans": "true false yes no 1 0 on off".split(),
-    "months": "January February March April May June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec".split(),
-    "weekdays": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday Mon Tue Wed Thu Fri Sat Sun".split(),
+    "booleans": ["true", "false", "yes", "no", "1", "0", "on", "off"],
+    "months": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"],
+    "weekdays": ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"],
     "countries": ["United States", "Canada", "Mexico", "United Kingdom", "France", "Germany", "Spain", "Italy", "China", "Japan", "India", "Brazil", "Australia", "USA", "US", "UK", "GB", "FR", "DE", "ES", "IT", "CN", "JP", "IN", "BR", "AU"],
-    "states": "Alabama Alaska Arizona Arkansas California Colorado AL AK AZ AR CA CO CT DE FL GA".split(),
-    "currencies": "USD EUR GBP JPY CNY AUD CAD CHF HKD SGD".split(),
-    "http_methods": "GET POST PUT DELETE PATCH OPTIONS HEAD".split(),
-    "http_status": "200 201 204 301 302 400 401 403 404 500 502 503".split(),
-    "priorities": "low medium high critical urgent 1 2 3 4 5".split(),
-    "sizes": "small medium large extra-large XS S M L XL XXL".split(),
-    "genders": "male female other M F O".split(),
-    "directions": "north south east west N S E W NE NW SE SW".split(),
+    "states": ["Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA"],
+    "currencies": ["USD", "EUR", "GBP", "JPY", "CNY", "AUD", "CAD", "CHF", "HKD", "SGD"],
+    "http_methods": ["GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "HEAD"],
+    "http_status": ["200", "201", "204", "301", "302", "400", "401", "403", "404", "500", "502", "503"],
+    "priorities": ["low", "medium", "high", "critical", "urgent", "1", "2", "3", "4", "5"],
+    "sizes": ["small", "medium", "large", "extra-large", "XS", "S", "M", "L", "XL", "XXL"],
+    "genders": ["male", "female", "other", "M", "F", "O"],
+    "directions": ["north", "south", "east", "west", "N", "S", "E", "W", "NE", "NW", "SE", "SW"],
 }
-CODE_PATTERN = r"^(?:[A-Z_]+|[A-Z][A-Z0-9_]*|\w+_\w+|[A-Z][a-z]+(?:[A-Z][a-z]+)*)$"
+CODE_PATTERNS = [r"^[A-Z_]+$", r"^[A-Z][A-Z0-9_]*$", r"^\w+_\w+$", r"^[A-Z][a-z]+(?:[A-Z][a-z]+)*$"]
 WORDS_PATTERN = r"^[A-Za-z\s,.'\"-]+$"
 
 
@@ -64,14 +62,16 @@ def power_law(counts: DataFrame) -> DataFrame:
 
 def patterns(df: DataFrame, path: str) -> DataFrame:
     """is_standard_set, is_code, is_natural_language, is_structured, coherence of the distinct values."""
-    values = value_counts(df, path).orderBy(F.desc("n"), "value").limit(LOOKED_AT).select(F.col("value").cast("string").alias("v"))
+    values = value_counts(df, path).select(F.col("value").cast("string").alias("v"))
     in_set = [F.avg(F.lower("v").isin([x.lower() for x in items]).cast("double")) > 0.5 for items in STANDARD_SETS.values()]
-    layout = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("v", "[^A-Za-z0-9]", "X"), "[0-9]", "0"), "[a-z]", "a"), "[A-WYZ]", "A")
+    # Whatever is neither letter nor digit becomes a mark that no letter becomes.
+    layout = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("v", "[^A-Za-z0-9]", "*"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    is_code = F.greatest(*[F.col("v").rlike(p) for p in CODE_PATTERNS])
     shortest = F.min(F.length("v"))
     common = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
     back = F.reverse("v")
     rows = values.agg(
-        F.greatest(*[x.cast("int") for x in in_set]).cast("boolean").alias("is_standard_set"), (F.avg(F.col("v").rlike(CODE_PATTERN).cast("double")) > 0.7).alias("is_code"), (F.avg((F.col("v").rlike(WORDS_PATTERN) & F.contains("v", F.lit(" "))).cast("double")) > 0.5).alias("is_natural_language"),
+        F.greatest(*[x.cast("int") for x in in_set]).cast("boolean").alias("is_standard_set"), (F.avg(is_code.cast("double")) > 0.7).alias("is_code"), (F.avg((F.col("v").rlike(WORDS_PATTERN) & F.contains("v", F.lit(" "))).cast("double")) > 0.5).alias("is_natural_language"),
         ((F.count("*") >= 3) & ((F.count_distinct(layout) <= 3) | (F.count_distinct(layout) / F.count("*") < 0.2))).alias("is_structured"), F.count("*").alias("k"), shortest.alias("short"), F.min("v").alias("v1"), F.max("v").alias("v2"), F.min(back).alias("r1"), F.max(back).alias("r2"),
     )
     # What the least and the greatest value share from the start, all values share.

@@ -5,25 +5,35 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-# Words that name types, demand something, and belong to a domain.
-TYPE_WORDS = {
-    "string": "string text name title description label message content varchar char",
-    "number": "number numeric float double decimal amount price cost value score rating",
-    "integer": "integer int count quantity age year month day id index",
-    "boolean": "boolean bool flag yes no true false active enabled disabled",
-    "date": "date datetime timestamp time created updated modified birth expiry",
-    "email": "email mail address contact",
-    "url": "url link website uri href path",
-    "uuid": "uuid guid identifier uid",
-    "array": "array list items collection multiple many several",
-    "object": "object entity model record document profile data",
+#: Nouns whose values are of a kind that the noun itself doesn't show.
+NOUNS = {
+    "integer": ["age", "number", "stock", "floor", "seats", "pages", "votes", "points", "copies", "units", "rank", "visits", "level", "quantity", "year"],
+    "number": ["price", "weight", "height", "width", "length", "temperature", "ratio", "distance", "salary", "balance", "total", "discount", "tax", "speed", "latitude", "longitude"],
+    "boolean": ["active", "verified", "paid", "open", "visible", "archived", "published", "enabled"],
+    "date": ["date", "deadline", "birthday", "arrival", "departure", "expiry", "timestamp"],
+    "email": ["email", "mailbox"],
+    "url": ["website", "homepage", "link", "url", "webpage"],
+    "uuid": ["uuid", "key", "identifier"],
+    "array": ["list", "set", "tags", "keywords", "colours", "colors", "ingredients"],
+    "object": ["details", "settings", "preferences", "metadata"],
 }
-NAME_PARTS = [("integer", "count num qty quantity"), ("number", "price amount cost total"), ("boolean", "is has active enabled"), ("date", "date time created updated"), ("email", "email mail"), ("url", "url link"), ("uuid", "id uuid"), ("array", "list items tags")]
-DEMAND_WORDS = {"required": "required mandatory must need necessary essential", "unique": "unique distinct different exclusive"}
-DOMAINS = {
-    "user": "user account profile member customer client", "product": "product item merchandise goods article sku", "order": "order purchase transaction sale invoice receipt", "payment": "payment billing charge fee amount total",
-    "address": "address location street city state zip country", "company": "company organization business enterprise firm", "medical": "patient doctor diagnosis treatment medication health", "education": "student course grade teacher class subject",
+#: Words that say a kind outright (`score as decimal`, `text field`).
+KIND_WORDS = {
+    "text": "string", "word": "string", "phrase": "string", "string": "string", "integer": "integer", "whole": "integer", "decimal": "number", "fraction": "number", "real": "number",
+    "boolean": "boolean", "switch": "boolean", "day": "date", "moment": "date", "array": "array", "several": "array", "nested": "object",
 }
+REQUIRED_WORDS = {"must", "required", "always", "compulsory", "needed"}
+UNIQUE_WORDS = {"unique", "distinct", "unrepeated"}
+DOMAINS = {
+    "user": ["user", "person", "subscriber", "visitor", "employee", "customer"],
+    "product": ["product", "gadget", "goods", "stock", "catalogue", "brand"],
+    "order": ["order", "basket", "checkout", "delivery", "invoice"],
+    "finance": ["bank", "loan", "payment", "ledger", "transfer"],
+    "place": ["place", "city", "street", "building", "region"],
+    "organisation": ["organisation", "company", "team", "branch", "office"],
+    "health": ["patient", "clinic", "doctor", "symptom", "vaccine"],
+    "school": ["pupil", "student", "lesson", "exam", "school"],
+}
 DEFAULTS = {
     "user": {"name": "string", "email": "email", "age": "integer", "createdAt": "date"}, "product": {"name": "string", "description": "string", "price": "number", "quantity": "integer", "sku": "string"},
     "order": {"orderNumber": "string", "customerId": "uuid", "items": "array", "total": "number", "status": "status"}, "general": {"name": "string", "description": "string", "value": "number", "active": "boolean", "createdAt": "date"},
@@ -34,7 +44,7 @@ FIELD_MARKS = {"field", "property", "attribute", "column"}
 SMALL_WORDS = set("a an the of for with and or has have contains including that which who to in on at by is are be each every some all new create generate make build store".split())
 RELATIONS = [("one_to_many", r"(\w+) (?:has|have|contains?|owns?) (?:many|multiple|several) (\w+)"), ("many_to_one", r"(\w+) belongs? to (?:an? |the )?(\w+)"), ("reference", r"(\w+) (?:references?|links? to|points? to) (?:an? |the )?(\w+)")]
 
-_TYPE_OF = {word: kind for kind, words in reversed(TYPE_WORDS.items()) for word in words.split()}
+_KIND_OF = {noun: kind for kind, nouns in NOUNS.items() for noun in nouns}
 
 
 @dataclass
@@ -63,8 +73,19 @@ def camel(text: str) -> str:
 
 
 def type_from_name(name: str) -> str:
-    low = name.lower()
-    return next((kind for kind, parts in NAME_PARTS if any(p in low for p in parts.split())), "string")
+    """The kind of a field by its name's words: a question (isOpen) is a boolean, what was done at some time (createdAt, bornOn) a date, otherwise the last noun tells."""
+    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
+    if not words:
+        return "string"
+    if len(words) > 1 and words[0] in ("is", "has", "can", "was"):
+        return "boolean"
+    if len(words) > 1 and words[-1] in ("at", "on", "since", "until"):
+        return "date"
+    if words[-1] == "id":
+        return "uuid"
+    if words[0] == "number" and len(words) > 2 and words[1] == "of":
+        return "integer"
+    return _KIND_OF.get(words[-1]) or _KIND_OF.get(singular(words[-1])) or ("array" if singular(words[-1]) != words[-1] and len(words[-1]) > 4 else "string")
 
 
 def _words(text: str) -> list[str]:
@@ -73,13 +94,13 @@ def _words(text: str) -> list[str]:
 
 def _field(words: str) -> tuple[str, str] | None:
     """(name, type) of a piece such as `unique email address` or `price`."""
-    parts = [w for w in re.findall(r"[A-Za-z_][\w]*", words) if w.lower() not in SMALL_WORDS and w.lower() not in DEMAND_WORDS["required"].split() + DEMAND_WORDS["unique"].split() + ["optional"]]
-    if not parts:
-        return None
-    told = next((w for w in parts if w.lower() in _TYPE_OF), None)
+    parts = [w for w in re.findall(r"[A-Za-z_][\w]*", words) if w.lower() not in SMALL_WORDS | REQUIRED_WORDS | UNIQUE_WORDS | {"optional", "as"}]
+    told = next((w for w in parts if w.lower() in KIND_WORDS), None)
     names = [w for w in parts if w is not told and w.lower() not in FIELD_MARKS] or parts
+    if not names:
+        return None
     name = camel(" ".join(names[-2:]) if len(names) > 1 and told is None else names[-1])
-    kind = _TYPE_OF[told.lower()] if told else type_from_name(name)
+    kind = KIND_WORDS[told.lower()] if told else type_from_name(name)
     return (name, kind) if name.isidentifier() else None
 
 
@@ -87,7 +108,7 @@ def analyze(prompt: str) -> Analysis:
     """Entities, fields, constraints, relationships and domain of a prompt, and the model they make."""
     out = Analysis(prompt)
     words = _words(prompt)
-    domain_words = {w: d for d, ws in DOMAINS.items() for w in ws.split()}
+    domain_words = {w: d for d, ws in DOMAINS.items() for w in ws}
     for i, w in enumerate(words):
         after = words[i + 1] if i + 1 < len(words) else ""
         if w in ENTITY_MARKS | {"a", "an"} and after and after not in SMALL_WORDS | ENTITY_MARKS and not after.isdigit():
@@ -104,7 +125,7 @@ def analyze(prompt: str) -> Analysis:
                 out.fields.setdefault(*found)
     out.constraints = _constraints(prompt, words)
     out.relationships = [{"type": kind, "from": singular(a), "to": singular(b)} for kind, pattern in RELATIONS for a, b in re.findall(pattern, prompt.lower())]
-    scores = {d: sum(singular(w) in ws.split() for w in words) for d, ws in DOMAINS.items()}
+    scores = {d: sum(singular(w) in ws for w in words) for d, ws in DOMAINS.items()}
     best = max(scores, key=scores.get)
     out.domain = best if scores[best] else "general"
     out.confidence = min(1.0, 0.3 * bool(out.entities) + 0.3 * bool(out.fields) + 0.2 * (len(out.fields) > 3) + 0.2 * (len(out.entities) > 1))
@@ -113,7 +134,7 @@ def analyze(prompt: str) -> Analysis:
 
 
 def _constraints(prompt: str, words: list[str]) -> dict:
-    out: dict = {k: True for k, ws in DEMAND_WORDS.items() if set(ws.split()) & set(words)}
+    out: dict = {k: True for k, ws in (("required", REQUIRED_WORDS), ("unique", UNIQUE_WORDS)) if ws & set(words)}
     low = prompt.lower()
     if m := re.search(r"between (\d+) and (\d+)", low):
         out |= {"minimum": int(m[1]), "maximum": int(m[2])}
