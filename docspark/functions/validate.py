@@ -68,10 +68,37 @@ def _checks(model: dict, df: DataFrame, prefix: str = "") -> list[tuple[Column,
     return out
 
 
+def _item_checks(model: dict, df: DataFrame, prefix: str = "") -> list[Column]:
+    """Lists of outliers among the items of lists of numbers and texts."""
+    out = []
+    for name, sub in (model.get("properties") or {}).items():
+        path = f"{prefix}{name}"
+        kind, items = field_type(path, df.schema), sub.get("items") or {}
+        if isinstance(kind, T.StructType) and sub.get("type") == "object":
+            out += _item_checks(sub, df, f"{path}.")
+        if not isinstance(kind, T.ArrayType):
+            continue
+        c = field_column(path, df.schema)
+        for branch in items.get("anyOf", [items]):
+            number = "histogram" in branch and isinstance(kind.elementType, T.NumericType)
+            if not number and not ("stringModel" in branch and isinstance(kind.elementType, T.StringType)):
+                continue
+            judge = (lambda x, h=branch.get("histogram"): number_outliers(f"{path}[]", x, h)) if number else (lambda x, m=branch.get("stringModel"): string_outliers(f"{path}[]", x, m))  # noqa: B023
+            out += [_judged_items(c, judge, i) for i in range(len(judge(F.lit(None).cast(kind.elementType))))]
+    return out
+
+
+def _judged_items(c: Column, judge, i: int) -> Column:
+    """The outliers of a list by the i-th test."""
+    wrong = F.filter(c, lambda x: F.coalesce(judge(x)[i][0], F.lit(False)))
+    return F.coalesce(F.transform(wrong, lambda x: judge(x)[i][1]), F.array().cast(OUTLIER))
+
+
 def score(df: DataFrame, model: dict) -> DataFrame:
-    """df with outliers, score (mean deviation; 0 without outliers) and valid. Null fields aren't judged."""
+    """df with outliers, score (mean deviation; 0 without outliers) and valid. Null fields aren't judged; items of lists are judged one by one."""
     found = [F.when(F.coalesce(test, F.lit(False)), outlier) for test, outlier in _checks(model, df)]
-    rows = df.withColumn("outliers", F.array_compact(F.array(*found)) if found else F.array().cast(OUTLIER))
+    own = F.array_compact(F.array(*found)) if found else F.array().cast(OUTLIER)
+    rows = df.withColumn("outliers", F.concat(own, *_item_checks(model, df)))
     total = F.aggregate("outliers", F.lit(0.0), lambda acc, o: acc + o["deviation"])
     return rows.withColumn("score", F.when(F.size("outliers") > 0, total / F.size("outliers")).otherwise(0.0)).withColumn("valid", F.col("score") <= VALID_SCORE)
 

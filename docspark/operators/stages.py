@@ -59,9 +59,12 @@ def with_value(df: DataFrame, path: str, value: Column) -> DataFrame:
     if not rest:
         return df.withColumn(top, value)
     if isinstance(field_type(top, df.schema), T.StructType):
-        parent = path.rpartition(".")[0]
-        if field_type(parent, df.schema) is not None:
-            return df.withColumn(top, F.col(f"`{top}`").withField(rest, value))
+        steps, depth = path.split("."), 1  # the deepest document that is there keeps its other fields
+        while depth < len(steps) - 1 and isinstance(field_type(".".join(steps[: depth + 1]), df.schema), T.StructType):
+            depth += 1
+        below = ".".join(steps[depth + 1 :])
+        made = F.struct(*_nested(_tree([(below, value)]))) if below else value
+        return df.withColumn(top, F.col(f"`{top}`").withField(".".join(steps[1 : depth + 1]), made))
     return df.withColumn(top, F.struct(*_nested(_tree([(rest, value)]))))
 
 
@@ -151,33 +154,53 @@ def limit(df, spec, context):
 
 
 def skip(df, spec, context):
-    return df.offset(spec)
+    return skipped(df, spec, [(p, a) for p, a in context.order if field_type(p, df.schema) is not None])
+
+
+def skipped(df: DataFrame, n: int, order: list[tuple[str, bool]]) -> DataFrame:
+    """df without its first n rows. Rows are numbered by range partitions of the order, so none of the rest moves to one task; without an order, rows are numbered as they come."""
+    keys = sort_columns(df, {p: 1 if ascending else -1 for p, ascending in order})
+    rows = numbered(df, keys, "__skip").where(F.col("__skip") >= n)
+    return (rows.orderBy("__skip") if keys else rows).drop("__skip")
+
+
+#: Up to this number a sample is a top-k, whose rows meet in one task; beyond, rows are numbered in the order of the random keys.
+TOP_K = 10_000
 
 
 def sample(df, spec, context):
-    # A top-k by a random key: as many rows as asked for, all of them if there are no more.
-    return df.orderBy(F.rand(context.seed)).limit(spec["size"])
+    # The least random keys: as many rows as asked for, all of them if there are no more.
+    size, key = spec["size"], F.rand(context.seed)
+    if size <= TOP_K:
+        return df.orderBy(key).limit(size)
+    return numbered(df.withColumn("__random", key), [F.col("__random")], "__place").where(F.col("__place") < size).drop("__random", "__place")
 
 
 def _order_keys(df: DataFrame, context: Context) -> list[Column]:
-    """Sort keys as ascending values; descending keys must be numbers or times."""
+    """Sort keys as ascending values; missing values come first ascending and last descending."""
     keys = []
     for path, ascending in context.order:
         kind = field_type(path, df.schema)
         if kind is None:
             continue
         c = field_column(path, df.schema)
-        if ascending:
-            keys.append(c)
-        elif isinstance(kind, T.NumericType):
-            keys.append(-c)
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            keys.append(-F.unix_micros(c.cast("timestamp")))
-        else:
-            raise ValueError(f"$first, $last and $push can't follow a descending sort by {path}: {kind.simpleString()}")
+        keys += [c] if ascending else [c.isNull(), descending(c, kind, path)]
     return keys
 
 
+def descending(c: Column, kind: T.DataType, path: str) -> Column:
+    """A value whose ascending order is the descending order of c."""
+    if isinstance(kind, T.NumericType):
+        return -c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, (T.StringType, T.BinaryType)):  # the complement of the bytes; what goes on comes before what ends
+        return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    raise ValueError(f"$first, $last and $push can't follow a descending sort by {path}: {kind.simpleString()}")
+
+
 def _aggregates(df: DataFrame, spec: dict, context: Context) -> list[Column]:
     expr, keys = Expressions(df.schema), None
     out = []

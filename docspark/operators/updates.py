@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import numbered
+from ..scratch import written
 from .predicates import compile_filter, field_type, is_operators, literal
 from .predicates import field as field_column
 from .stages import with_value
@@ -52,14 +52,17 @@ def _changes(df: DataFrame, update: dict) -> list[tuple[str, Column, T.DataType
 
 
 def _selected(df: DataFrame, query: dict | None, multi: bool, order: list[str] | None) -> tuple[DataFrame, Column]:
-    """df with a hidden number if need be, and which rows are meant: all that match, or the first of them in the given order (all columns, if none is given)."""
+    """df with a hidden number if need be, and which rows are meant: all that match, or the first of them in the given order (all columns, if none is given).
+
+    For a single document the rows are written with a number each, not sorted: the least of the matching rows' keys, and of equal ones the least number, is an aggregation.
+    """
     test = compile_filter(query, df.schema)
     if multi:
         return df, test
     keys = [F.col(f"`{c}`") for c in order or [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]]
-    rows = numbered(df, keys, "__number")
-    first = rows.where(test).agg(F.min("__number").alias("__first"))
-    return rows.join(F.broadcast(first)), F.col("__number").eqNullSafe(F.col("__first"))
+    rows = written(df.withColumn("__number", F.monotonically_increasing_id()), "update")
+    first = rows.where(test).agg(F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "__number"))["__number"].alias("__first"))
+    return rows.join(F.broadcast(first)), F.col("__number").eqNullSafe(F.col("__first"))  # one row
 
 
 def update(df: DataFrame, query: dict | None, change: dict, multi: bool = True, upsert: bool = False, order: list[str] | None = None) -> DataFrame:

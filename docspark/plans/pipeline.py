@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.predicates import compile_filter, generation_params
-from ..operators.stages import STAGES, Context, lookup_filtered, lookup_joined, projected, sort_columns
+from ..operators.stages import STAGES, Context, lookup_filtered, lookup_joined, projected, skipped, sort_columns
 
 
 def find(df: DataFrame, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
@@ -16,10 +17,10 @@ def find(df: DataFrame, query: dict | None = None, projection: dict | None = Non
     out = df.where(compile_filter(query, df.schema, total=False)) if query else df
     if sort:
         out = out.orderBy(*sort_columns(out, sort))
-    if skip:
-        out = out.offset(skip)
-    if limit:
-        out = out.limit(limit)
+    if skip and not limit:
+        out = skipped(out, skip, [(path, direction == 1) for path, direction in (sort or {}).items()])
+    elif limit:
+        out = (out.offset(skip) if skip else out).limit(limit)
     return projected(out, projection, keep_id=True) if projection else out
 
 
@@ -64,6 +65,8 @@ def _apply(df: DataFrame, stages: list[dict], context: Context) -> DataFrame:
             df, i = lookup_joined(df, spec, context, unwound), i + 2
         elif name == "$lookup" and following[0] == "$match" and (empty := _tests_emptiness(following[1], spec["as"])) is not None:
             df, i = lookup_filtered(df, spec, context, empty), i + 2
+        elif name == "$skip" and following[0] == "$limit":
+            df, i = df.offset(spec).limit(following[1]), i + 2  # with a sort before it, a top-k
         elif name == "$facet":
             df, i = _facet(df, spec, context), i + 1
         else:
@@ -95,12 +98,13 @@ def facets(df: DataFrame, spec: dict[str, list[dict]], collections: dict[str, Da
 
 def _facet(df: DataFrame, spec: dict, context: Context) -> DataFrame:
     """One document with an array for each facet, as the stage demands; each array is one value, so facets should end in groups, counts or limits."""
-    out = None
+    rows = {}
     for name, stages in spec.items():
         part = _apply(df, list(stages), replace(context, order=[]))
-        row = part.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in part.columns])).alias(name))
-        out = row if out is None else out.join(F.broadcast(row))  # both sides are one row
-    return out
+        rows[name] = part.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in part.columns])).alias(name))
+    # One row for each facet, with nulls for the others, folded into one.
+    wide = [row.select(*[F.col(f"`{n}`") if n == name else F.lit(None).cast(other.schema[n].dataType).alias(n) for n, other in rows.items()]) for name, row in rows.items()]
+    return reduce(DataFrame.union, wide).agg(*[F.first(f"`{n}`", ignorenulls=True).alias(n) for n in rows])
 
 
 def generation_parameters(pipeline: list[dict]) -> tuple[dict, list[dict]]:

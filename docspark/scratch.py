@@ -88,12 +88,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with a column of row numbers from 0 in the given order.
+    """df with a column of row numbers from 0 in the given order, or in the order of the partitions if none is given.
 
     Rows are sorted by range partitions; only the partitions' row counts (one row a partition) meet in one task.
     """
     place = f"__{name}_place"
-    rows = written(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()), "numbered")
+    rows = written((df.orderBy(*order) if order else df).withColumn(place, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(place, 33)
     counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     starts = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__start"))

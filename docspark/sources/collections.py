@@ -1,4 +1,5 @@
-"""Collections stored as Parquet folders: <root>/<name>. A write makes a new version and then replaces the old one, so a collection can be written from itself."""
+"""Collections stored as Parquet folders: <root>/<name>. A write makes a new version, moves the old one aside and then removes it, so a collection
+can be written from itself, and a write that fails at any point loses nothing."""
 
 from __future__ import annotations
 
@@ -26,12 +27,28 @@ def write_collection(df: DataFrame, root: str, name: str, mode: str = "overwrite
     fresh = f"{root}/_new-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
+    _recover(spark, root, name)
+    old = _fs(spark, f"{root}/_old-{name}")[1]
+    if fs.exists(target):
+        fs.rename(target, old)
     fs.rename(_fs(spark, fresh)[1], target)
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 
+def _recover(spark: SparkSession, root: str, name: str) -> None:
+    """After a write that ended between its two renames: the version before it is the collection again. After one that ended later: it is removed."""
+    fs, target = _fs(spark, f"{root}/{name}")
+    old = _fs(spark, f"{root}/_old-{name}")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+
+
 def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
+    _recover(spark, root, _checked(name))
     return spark.read.parquet(f"{root}/{_checked(name)}")
 
 
