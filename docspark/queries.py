@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from .functions import enums, generate, model, profile, validate
 from .operators import updates
 from .plans import aggregate, facets, find
-from .sources.files import default_documents
+from .plans.pipeline import count
+from .scratch import new_folder
+from .sources.collections import read_collection
+from .sources.files import default_documents, read_csv, read_json
 from .streaming import tides
 
 QUERIES = {}
@@ -567,20 +570,19 @@ def merge_models(orders):
     return orders.sparkSession.createDataFrame([(whole["count"], float(min(b["minimum"] for b in branches)), float(max(b["maximum"] for b in branches)))], "n long, minimum double, maximum double")
 
 
-_TRAINED = """WITH t AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, stddev_samp(l_extendedprice) AS sd FROM lineitem WHERE l_orderkey % 5 <> 0 AND l_extendedprice < 60000)"""
+_TRAINED = """WITH t AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, stddev_samp(l_extendedprice) AS sd FROM lineitem WHERE l_extendedprice < 60000)"""
 
 
 @query(
     _TRAINED + """ SELECT l_orderkey, l_linenumber, (CASE WHEN l_extendedprice < lo OR l_extendedprice > hi THEN 1 ELSE 0 END) + (CASE WHEN abs(l_extendedprice - (lo + hi) / 2) / sd > 3 THEN 1 ELSE 0 END) AS n_outliers
-        FROM lineitem, t WHERE l_orderkey % 5 = 0""",
+        FROM lineitem, t""",
     "lineitem",
 )
 def validate_range_zscore(lineitem):
-    seen = lineitem.where((F.col("l_orderkey") % 5 != 0) & (F.col("l_extendedprice") < 60000))
-    stats = profile.numbers(seen, ["l_extendedprice"]).first()
+    """All rows against the statistics of those below a price."""
+    stats = profile.numbers(lineitem.where(F.col("l_extendedprice") < 60000), ["l_extendedprice"]).first()
     known = {"properties": {"l_extendedprice": {"type": "number", "histogram": {"minValue": stats["minimum"], "maxValue": stats["maximum"], "standardDeviation": stats["standard_deviation"]}}}}
-    scored = validate.score(lineitem.where(F.col("l_orderkey") % 5 == 0), known)
-    return scored.select("l_orderkey", "l_linenumber", F.size("outliers").alias("n_outliers"))
+    return validate.score(lineitem, known).select("l_orderkey", "l_linenumber", F.size("outliers").alias("n_outliers"))
 
 
 @query(
@@ -597,9 +599,9 @@ def validate_samples(customer):
     "customer",
 )
 def validate_characters(customer):
-    alphabet = F.array(*[F.lit(c) for c in "Cust0123456"])
-    unknown = F.array_except(F.filter(F.split("c_name", ""), lambda x: x != ""), alphabet)
-    return customer.select("c_custkey", (F.size(unknown) == 0).alias("ok"))
+    known = {"properties": {"c_name": {"type": "string", "stringModel": {"minLength": 1, "maxLength": 100, "uniqueCharacters": list("Cust0123456"), "complexity": 1e9}}}}
+    unknown = F.exists("outliers", lambda o: o["reason"].startswith("unknown characters"))
+    return validate.score(customer, known).select("c_custkey", (~unknown).alias("ok"))
 
 
 # Generation and tides
@@ -612,6 +614,13 @@ def generate_lineitem(lineitem):
     return generate.generate(lineitem.sparkSession, known, lineitem.count(), seed=42)
 
 
+@query("SELECT count(*) AS n, count(*) AS n_ids, true AS met FROM customer", "customer")
+def generate_constrained_bounds(customer):
+    made = generate_constrained(customer)
+    met = (F.col("c_acctbal") >= 100) & (F.col("c_acctbal") < 500) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_nationkey") == 3)
+    return made.agg(F.count("*").alias("n"), F.count_distinct("_id").alias("n_ids"), F.bool_and(met).alias("met"))
+
+
 @query(None, "customer")
 def generate_constrained(customer):
     known = model.infer(customer)
@@ -661,3 +670,296 @@ def windowed_events(events):
 def session_events(events):
     out = tides.sessions(events, "ts", "user_id", "6 hours")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+# Orders of text, skips, samples
+
+
+@query(
+    """SELECT o_orderstatus AS _id, arg_min(o_orderkey, rn) AS first_key, arg_max(o_orderkey, rn) AS last_key
+       FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC, o_orderkey) AS rn FROM orders) GROUP BY 1""",
+    "orders",
+)
+def acc_first_last_text(orders):
+    return aggregate(orders, [{"$sort": {"o_orderpriority": -1, "o_orderkey": 1}}, {"$group": {"_id": "$o_orderstatus", "first_key": {"$first": "$o_orderkey"}, "last_key": {"$last": "$o_orderkey"}}}])
+
+
+@query("SELECT conv_id AS _id, string_agg(role || turn, ',' ORDER BY role DESC, turn) AS said FROM conversations GROUP BY 1", "conversations")
+def acc_push_text(conversations):
+    rows = conversations.withColumn("said", F.concat("role", F.col("turn").cast("string")))
+    return aggregate(rows, [{"$sort": {"role": -1, "turn": 1}}, {"$group": {"_id": "$conv_id", "said": {"$push": "$said"}}}]).withColumn("said", F.array_join("said", ","))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 300", "orders")
+def sort_skip(orders):
+    return aggregate(orders, [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$skip": 300}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}])
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey OFFSET 500", "orders")
+def find_skip(orders):
+    return find(orders, sort={"o_orderdate": 1, "o_orderkey": 1}, skip=500, projection={"o_orderkey": 1})
+
+
+@query("SELECT 50 AS n, 50 AS n_distinct, 50 AS n_known", "customer")
+def sample_rows(customer):
+    some = aggregate(customer, [{"$sample": {"size": 50}}], seed=3)
+    return some.join(customer.select("c_custkey", F.lit(1).alias("known")), "c_custkey", "left").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("n_distinct"), F.count("known").alias("n_known"))
+
+
+# Shapes and filters
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 5", "customer")
+def find_exclusion(customer):
+    return find(customer, {"c_nationkey": {"$lt": 5}}, {"c_acctbal": 0, "c_mktsegment": 0, "c_nationkey": 0})
+
+
+@query("SELECT * FROM nation WHERE n_regionkey = 1", "nation")
+def find_whole_document(nation):
+    return find(nation, {"n_regionkey": 1}, {"__doc": "$$ROOT"})
+
+
+@query("SELECT r_regionkey, r_name AS name, [r_regionkey, 7][2] AS second, r_name || '!' AS deep FROM region", "region")
+def expr_root_and_lists(region):
+    out = aggregate(region, [{"$project": {"r_regionkey": 1, "doc": "$$ROOT", "pair": ["$r_regionkey", 7]}}, {"$addFields": {"doc.mark.deep": {"$concat": ["$doc.r_name", "!"]}}}, {"$unset": "doc.r_regionkey"}])
+    return out.select("r_regionkey", F.col("doc.r_name").alias("name"), F.get("pair", F.lit(1)).alias("second"), F.col("doc.mark.deep").alias("deep"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 2", "nation")
+def predicates_deep_equality(nation):
+    rows = aggregate(nation, [{"$addFields": {"at": {"region": "$n_regionkey", "is": {"known": True}}}}])
+    return find(rows, {"at": {"region": 2, "is": {"known": True}}}, {"n_nationkey": 1})
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000", "orders")
+def count_query(orders):
+    return orders.sparkSession.createDataFrame([(count(orders, {"o_orderstatus": "F", "o_totalprice": {"$gt": 1000}}),)], "n long")
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INT) >= 90", "events")
+def predicates_variant_path(events):
+    rows = events.withColumn("doc", F.parse_json("props"))
+    return find(rows, {"doc.k": {"$gte": 90, "$exists": True}, "doc.other": {"$exists": False}}, {"event_id": 1})
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "documents", "labels")
+def lookup_anti_labels(documents, labels):
+    stages = [{"$lookup": {"from": "labels", "localField": "doc_id", "foreignField": "doc_id", "as": "l"}}, {"$match": {"l": {"$size": 0}}}, {"$project": {"doc_id": 1}}]
+    return aggregate(documents, stages, {"labels": labels})
+
+
+@query(
+    """SELECT c.c_custkey, i.k AS k, i.word AS word FROM customer c LEFT JOIN (SELECT c_custkey, unnest(range(2)) AS k, unnest([c_mktsegment, 'x']) AS word FROM customer WHERE c_acctbal > 5000) i USING (c_custkey)""",
+    "customer",
+)
+def unwind_outer_index(customer):
+    rows = customer.withColumn("words", F.when(F.col("c_acctbal") > 5000, F.array("c_mktsegment", F.lit("x"))))
+    return aggregate(rows, [{"$unwind": {"path": "$words", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "k"}}, {"$project": {"c_custkey": 1, "k": 1, "word": "$words"}}])
+
+
+@query("SELECT vec_id, label, embedding[1] AS head FROM embeddings WHERE label = 4", "embeddings")
+def predicates_array_equality(embeddings):
+    rows = embeddings.withColumn("pair", F.array("label", F.lit(1)))
+    return find(rows, {"pair": [4, 1]}).select("vec_id", "label", F.get("embedding", F.lit(0)).alias("head"))
+
+
+# Updates
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_mktsegment END AS c_mktsegment, c_acctbal FROM customer", "customer")
+def update_unset(customer):
+    return updates.update(customer, {"c_nationkey": 3}, {"$unset": {"c_mktsegment": ""}}).select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("SELECT vec_id, CASE WHEN label = 3 THEN 2 ELSE 3 END AS n FROM embeddings", "embeddings")
+def update_pull(embeddings):
+    rows = embeddings.withColumn("tags", F.array("label", F.lit(100), F.lit(200)))
+    return updates.update(rows, {}, {"$pull": {"tags": 3}}).select("vec_id", F.size("tags").alias("n"))
+
+
+@query("SELECT * FROM supplier UNION ALL SELECT -1, 'fresh', 7, NULL", "supplier")
+def update_upsert(supplier):
+    return updates.update(supplier, {"s_suppkey": -1, "s_nationkey": 7}, {"$set": {"s_name": "fresh"}}, upsert=True)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey = 7 THEN 'merged' ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey = 7 THEN 1.5 ELSE s_acctbal END AS s_acctbal FROM supplier", "supplier")
+def update_merge(supplier):
+    return updates.update(supplier, {"s_nationkey": 7}, {"s_name": "merged", "s_acctbal": 1.5})
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = (SELECT min(s_suppkey) FROM supplier WHERE s_acctbal > 100) THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier", "supplier")
+def update_first(supplier):
+    return updates.update(supplier, {"s_acctbal": {"$gt": 100}}, {"$set": {"s_acctbal": 0.0}}, multi=False, order=["s_suppkey"]).select("s_suppkey", "s_acctbal")
+
+
+# Sources and sinks
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'merged' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'new', 5", "nation")
+def out_and_merge(nation):
+    """`$out` writes a collection, `$merge` replaces some of its documents and adds one; then it is read back."""
+    spark, root = nation.sparkSession, new_folder(nation.sparkSession, "collections")
+    target = aggregate(nation, [{"$out": "nations"}], output_dir=root)
+    change = aggregate(nation, [{"$match": {"n_regionkey": 0}}, {"$set": {"n_name": "merged"}}]).unionByName(spark.createDataFrame([(99, "new", 5)], "n_nationkey int, n_name string, n_regionkey int"))
+    aggregate(change, [{"$merge": {"into": "nations", "on": "n_nationkey"}}], {"nations": target}, output_dir=root)
+    return read_collection(spark, root, "nations")
+
+
+@query("SELECT n_nationkey, n_name FROM nation", "nation")
+def json_source(nation):
+    """A JSON document of regions with lists of nations, written and read back."""
+    folder = new_folder(nation.sparkSession, "json")
+    regions = nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    regions.agg(F.collect_list(F.struct("*")).alias("docs")).write.json(folder)  # five regions: one file of one document
+    docs = read_json(nation.sparkSession, folder).select(F.explode("docs").alias("doc"))
+    return docs.select(F.explode("doc.nations").alias("n")).select(F.col("n.n_nationkey").cast("int").alias("n_nationkey"), "n.n_name")
+
+
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS s_suppkey, s_name, s_acctbal, s_acctbal > 0 AS in_credit, s_name || ', \"x\"' AS quoted FROM supplier", "supplier")
+def csv_source(supplier):
+    """Numbers, booleans, commas and quotes, written with a header and read back."""
+    folder = new_folder(supplier.sparkSession, "csv")
+    rows = supplier.select("s_suppkey", "s_name", "s_acctbal", (F.col("s_acctbal") > 0).alias("in_credit"), F.concat("s_name", F.lit(', "x"')).alias("quoted"))
+    rows.write.csv(folder, header=True, quote='"', escape='"')
+    return read_csv(supplier.sparkSession, folder)
+
+
+# Models
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1", "customer")
+def merge_value_frequencies(customer):
+    halves = [model.infer(customer.where(F.col("c_custkey") % 2 == k).select("c_mktsegment")) for k in (0, 1)]
+    merged = model.merge(*halves)["properties"]["c_mktsegment"]["stringModel"]["valueFrequency"]
+    return customer.sparkSession.createDataFrame(list(merged.items()), "value string, n long")
+
+
+@query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS ch FROM part) WHERE ch <> '' GROUP BY 1", "part")
+def merge_characters(part):
+    halves = [model.infer(part.where(F.col("p_partkey") % 2 == k).select("p_name")) for k in (0, 1)]
+    merged = model.merge(*halves)["properties"]["p_name"]["stringModel"]["characterFrequency"]
+    return part.sparkSession.createDataFrame(list(merged.items()), "ch string, n long")
+
+
+@query("SELECT count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high, round(stddev_samp(c_acctbal), 0) > 0 AS spread, count(*) AS in_bins FROM customer", "customer")
+def merge_histograms(customer):
+    rows = customer.select(F.col("c_acctbal").cast("double").alias("v"), "c_custkey")
+    halves = [model.infer(rows.where(F.col("c_custkey") % 2 == k).select("v"))["properties"]["v"] for k in (0, 1)]
+    branches = [[b for b in h.get("anyOf", [h]) if "histogram" in b] for h in halves]
+    by_type = {}
+    for b in [x for half in branches for x in half]:
+        by_type[b["type"]] = model.merge_histograms(by_type[b["type"]], b["histogram"]) if b["type"] in by_type else b["histogram"]
+    both = list(by_type.values())
+    missing = sum(h["count"] for h in halves) - sum(h["totalCount"] for h in both)  # branches of fewer than ten values have no histogram
+    low = min(x["minimum"] for h in halves for x in h.get("anyOf", [h]))
+    high = max(x["maximum"] for h in halves for x in h.get("anyOf", [h]))
+    off = abs(sum(b["count"] for h in both for b in h["bins"]) - sum(h["totalCount"] for h in both))
+    n = sum(h["totalCount"] for h in both) + missing
+    return customer.sparkSession.createDataFrame([(n, float(low), float(high), max(h["standardDeviation"] for h in both) > 0, n if off <= 10 else -1)], "n long, low double, high double, spread boolean, in_bins long")
+
+
+@query("SELECT c_custkey, (CASE WHEN length(c_mktsegment) > 9 THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(c_mktsegment, '[^A-LN-Z]') THEN 1 ELSE 0 END) AS n_outliers, length(c_mktsegment) <= 9 AND NOT regexp_matches(c_mktsegment, '[^A-LN-Z]') AS clean FROM customer", "customer")
+def validate_text(customer):
+    """Lengths and unknown characters through the library's own scoring."""
+    known = {"properties": {"c_mktsegment": {"type": "string", "stringModel": {"minLength": 1, "maxLength": 9, "uniqueCharacters": list("ABCDEFGHIJKLNOPQRSTUVWXYZ"), "complexity": 1e9}}}}
+    return validate.score(customer, known).select("c_custkey", F.size("outliers").alias("n_outliers"), (F.col("score") == 0).alias("clean"))
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x < -0.2 OR x > 0.2)) AS n_outliers FROM embeddings", "embeddings")
+def validate_items(embeddings):
+    """The items of lists, one by one."""
+    known = {"properties": {"embedding": {"type": "array", "items": {"type": "number", "histogram": {"minValue": -0.2, "maxValue": 0.2, "standardDeviation": 0}}}}}
+    rows = embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return validate.score(rows, known).select("vec_id", F.size("outliers").alias("n_outliers"))
+
+
+@query("SELECT c_custkey, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AND length(c_mktsegment) > 1 AS judged FROM customer", "customer")
+def validate_known_values(customer):
+    """Values that the model was trained on are never outliers."""
+    known = {"properties": {"c_mktsegment": {"type": "string", "stringModel": {"minLength": 1, "maxLength": 1, "valueFrequency": {"BUILDING": 1, "MACHINERY": 1}, "complexity": 1e9}}}}
+    return validate.score(customer, known).select("c_custkey", (F.size("outliers") > 0).alias("judged"))
+
+
+@query("SELECT 'c_acctbal' AS path, avg(CASE WHEN c_acctbal > 1000 THEN 1.0 ELSE 0 END) AS coverage FROM customer UNION ALL SELECT 'c_custkey', 1", "customer")
+def model_coverage(customer):
+    rows = customer.select("c_custkey", F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("c_acctbal"))
+    return model.coverage(rows, {"properties": {"c_custkey": {}, "c_acctbal": {}}}).select("path", "coverage")
+
+
+@query("SELECT count(*) AS n, count(*) AS n_distinct FROM orders", "orders")
+def train_split(orders):
+    a, b = model.split(orders.select("o_orderkey"))
+    return a.union(b).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_distinct"))
+
+
+@query("SELECT k AS path, k AS format FROM (SELECT unnest(['email', 'uri', 'uuid', 'date-time', 'date', 'time', 'ipv4', 'ipv6']) AS k)", "supplier")
+def infer_all_formats(supplier):
+    """A column of each format made from the keys."""
+    k, n = F.col("s_suppkey"), F.lpad(F.hex("s_suppkey"), 4, "0")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day, clock = F.concat(F.lit("2024-05-"), two(k % 28 + 1)), F.concat(two(k % 24), F.lit(":"), two(k % 60), F.lit(":00"))
+    made = {
+        "email": F.concat(F.lit("s"), k.cast("string"), F.lit("@example.org")), "uri": F.concat(F.lit("https://example.org/"), k.cast("string")), "uuid": F.concat(F.lit("123e4567-e89b-12d3-a456-42661417"), n), "date-time": F.concat(day, F.lit("T"), clock, F.lit("Z")), "date": day, "time": clock,
+        "ipv4": F.concat(F.lit("10.0."), (k % 200).cast("string"), F.lit(".7")), "ipv6": F.concat(F.lit("2001:db8:0:0:0:0:0:"), n),
+    }
+    names = {name: f"f{i}" for i, name in enumerate(made)}
+    found = profile.format_of(supplier.select(*[c.alias(names[name]) for name, c in made.items()]), list(names.values()))
+    return found.select(F.element_at(F.create_map(*[F.lit(x) for name, col in names.items() for x in (col, name)]), F.col("path")).alias("path"), "format")
+
+
+# Generation, held against what it must keep
+
+
+@query("SELECT count(*) AS n, count(*) AS n_ids, true AS in_range, true AS in_enum, true AS same_again FROM customer", "customer")
+def generate_customer_ranges(customer):
+    """As many documents as customers, with ids of their own, within the bounds and values of the table; the seed gives the same ones again."""
+    known, n = model.infer(customer), customer.count()
+    made, again = (generate.generate(customer.sparkSession, known, n, seed=9) for _ in range(2))
+    bounds = customer.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.min("c_nationkey").alias("first"), F.max("c_nationkey").alias("last"), F.collect_set("c_mktsegment").alias("segments")).first()  # five segments
+    differs = made.join(again.select("_id", F.col("c_acctbal").alias("other")), "_id").where(~F.col("c_acctbal").eqNullSafe(F.col("other"))).count()
+    inside = F.col("c_acctbal").between(bounds["lo"], bounds["hi"]) & F.col("c_nationkey").between(bounds["first"], bounds["last"])
+    return made.agg(F.count("*").alias("n"), F.count_distinct("_id").alias("n_ids"), F.bool_and(inside).alias("in_range"), F.bool_and(F.col("c_mktsegment").isin(bounds["segments"])).alias("in_enum"), F.lit(differs == 0).alias("same_again"))
+
+
+@query("SELECT event_type, true AS close FROM events GROUP BY 1", "events")
+def generate_shares(events):
+    """Values of an enum come as often as they should: each as often as any other."""
+    kinds = events.select("event_type").distinct().count()
+    made = generate.generate(events.sparkSession, model.infer(events.select("event_type")), 20_000, seed=4)
+    return made.groupBy("event_type").agg((F.abs(F.count("*") / 20_000 - 1 / kinds) < 0.02).alias("close"))
+
+
+@query("SELECT k AS format, 500 AS n FROM (SELECT unnest(['email', 'uri', 'uuid', 'date-time', 'date', 'time', 'ipv4', 'ipv6']) AS k)")
+def generate_formats(spark):
+    """Texts of each format, counted where they have it."""
+    names = list(profile.FORMATS)
+    known = {"type": "object", "properties": {f"f{i}": {"type": "string", "format": k} for i, k in enumerate(names)}, "required": [f"f{i}" for i in range(len(names))]}
+    made = generate.generate(spark, known, 500, seed=2)
+    each = F.array(*[F.struct(F.lit(k).alias("format"), F.col(f"f{i}").rlike(profile.FORMATS[k]).alias("ok")) for i, k in enumerate(names)])
+    return made.select(F.explode(each).alias("f")).where("f.ok").groupBy("f.format").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(len(embedding)) AS shortest, max(len(embedding)) AS longest, count(*) AS n FROM embeddings", "embeddings")
+def generate_arrays(embeddings):
+    made = generate.generate(embeddings.sparkSession, model.infer(embeddings.select("embedding")), embeddings.count(), seed=6)
+    return made.agg(F.min(F.size("embedding")).alias("shortest"), F.max(F.size("embedding")).alias("longest"), F.count("*").alias("n"))
+
+
+@query("SELECT 400 AS n, true AS in_lengths, true AS in_pattern, true AS multiples, true AS nested", "part")
+def generate_text_patterns(part):
+    """Lengths of a text model, a pattern, multiples, and a document within the document."""
+    known = {"type": "object", "properties": {
+        "name": model.infer(part.select("p_name"))["properties"]["p_name"], "code": {"type": "string", "pattern": "^[A-Z]{2,4}-\\d{3,5}$"}, "step": {"type": "integer", "minimum": 0, "maximum": 90, "multipleOf": 15},
+        "inner": {"type": "object", "properties": {"flag": {"type": "boolean"}}, "required": ["flag"]},
+    }, "required": ["name", "code", "step", "inner"]}
+    lengths = part.agg(F.min(F.length("p_name")).alias("low"), F.max(F.length("p_name")).alias("high")).first()
+    made = generate.generate(part.sparkSession, known, 400, seed=8)
+    return made.agg(F.count("*").alias("n"), F.bool_and(F.length("name").between(lengths["low"], lengths["high"])).alias("in_lengths"), F.bool_and(F.col("code").rlike("^[A-Z]{2,4}-[0-9]{3,5}$")).alias("in_pattern"), F.bool_and(F.col("step") % 15 == 0).alias("multiples"), F.bool_and(F.col("inner.flag").isNotNull()).alias("nested"))
+
+
+@query("SELECT step_id, true AS close FROM (SELECT unnest(['day', 'night']) AS step_id)")
+def tide_probabilities(spark):
+    """The night's steps come with a probability of a half."""
+    made = tides.tide_documents(spark, _TIDE).groupBy("step_id").agg(F.count("*").alias("n"))
+    wanted = F.when(F.col("step_id") == "night", 360.0).otherwise(3240.0)
+    return made.select("step_id", (F.abs(F.col("n") / wanted - 1) < 0.2).alias("close"))
