@@ -2,8 +2,8 @@
 
 1. Every document becomes its set of distinct n-word shingle hashes. Equal sets are one class, represented by its smallest id.
 2. Similar classes are partitioned into groups: of the MinHash bands of a class the most shared one names its cluster, and clusters are cut into
-   groups of bounded size. The members of a group are compared with each other and with the cluster's leader, whole sets, and what this ties together is a subgroup;
-   a class that shares no band is a subgroup of its own. Through the leaders, subgroups of one cluster mostly fall into one component at once.
+   groups of bounded size. The members of a group are compared with each other and with the cluster's leader, whole sets; those of the largest component that this gives are a
+   subgroup, the others together one more; a class that shares no band is a subgroup of its own. Through the leaders, the groups of a cluster of near copies fall into one component at once.
 3. The matrix has a row for each (token, subgroup) of the subgroup's token union, as far as the overlap bound needs it: to link, two documents must share k tokens
    of their prefixes (the first n - ceil(t n) + k tokens in one global order), so two subgroups whose unions of prefixes share fewer can't hold a link and stay closed.
    So do subgroups of one component. Pairs that share enough are opened: their members are compared with each other, whole sets, in one step.
@@ -137,14 +137,14 @@ def _groups(known: DataFrame, reps: DataFrame) -> DataFrame:
     return found
 
 
-_PACKED = "sub long, ids array<long>, sizes array<int>, tokens binary, index array<long>, rest array<long>, low int, high int, k int, a array<long>, b array<long>"
+_PACKED = "sub long, grp long, mixed boolean, ids array<long>, sizes array<int>, tokens binary, index array<long>, rest array<long>, low int, high int, k int, a array<long>, b array<long>"
 _LINKS = "a long, b long"
 
 
 def _packed_groups(sets: DataFrame, percent: int, wide) -> DataFrame:
     """The subgroups of groups of sets (grp, id, guest, tokens): sub (the smallest id), its members' ids, sizes and tokens, the union of their prefixes, and the links found so far.
 
-    A guest (a leader) is compared with the group's members, but isn't one of them.
+    The largest component is a subgroup, if it has two members at least; all other members are a mixed one. A guest (a leader) is compared with the group's members, but isn't one of them.
     """
 
     def pack(group: pa.Table) -> pa.Table:
@@ -165,12 +165,16 @@ def _packed_groups(sets: DataFrame, percent: int, wide) -> DataFrame:
         for k in sorted(range(len(ids)), key=lambda k: ids[k]):
             if not guests[k]:
                 parts.setdefault(find(ids[k]), []).append(k)
+        largest = max(parts, key=lambda top: (len(parts[top]), -top), default=None)
+        alone = largest is None or len(parts[largest]) < 2
+        rest = sorted((k for top, part in parts.items() if alone or top != largest for k in part), key=lambda k: ids[k])
         rows = []
-        for n, mine in enumerate(parts.values()):
-            index, rest = (np.unique(np.concatenate(x)) for x in zip(*(_split_prefix(sets[k], sizes[k], percent, wide.value) for k in mine)))
+        subgroups = ([] if alone else [(False, parts[largest])]) + ([(True, rest)] if rest else [])
+        for n, (mixed_one, mine) in enumerate(subgroups):
+            index, further = (np.unique(np.concatenate(x)) for x in zip(*(_split_prefix(sets[k], sizes[k], percent, wide.value) for k in mine)))
             own = [(i, j) for i, j in links if i != j] if not n else []
             rows.append({
-                "sub": ids[mine[0]], "ids": [ids[k] for k in mine], "sizes": [sizes[k] for k in mine], "tokens": b"".join(sets[k].tobytes() for k in mine), "index": index, "rest": np.setdiff1d(rest, index),
+                "sub": ids[mine[0]], "grp": group["grp"][0].as_py(), "mixed": mixed_one, "ids": [ids[k] for k in mine], "sizes": [sizes[k] for k in mine], "tokens": b"".join(sets[k].tobytes() for k in mine), "index": index, "rest": np.setdiff1d(further, index),
                 "low": min(sizes[k] for k in mine), "high": max(sizes[k] for k in mine), "k": min(shared_least(sizes[k], percent) for k in mine), "a": [i for i, _ in own], "b": [j for _, j in own],
             })
         return pa.Table.from_pylist(rows, _PACKED_ARROW)
@@ -178,7 +182,7 @@ def _packed_groups(sets: DataFrame, percent: int, wide) -> DataFrame:
     return sets.groupBy("grp").applyInArrow(pack, _PACKED)
 
 
-_PACKED_ARROW = pa.schema([("sub", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("index", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64())), ("low", pa.int32()), ("high", pa.int32()), ("k", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+_PACKED_ARROW = pa.schema([("sub", pa.int64()), ("grp", pa.int64()), ("mixed", pa.bool_()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("index", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64())), ("low", pa.int32()), ("high", pa.int32()), ("k", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 
 def spanning_links(ids_a, sizes_a, tokens_a, ids_b, sizes_b, tokens_b, percent: int) -> list[tuple[int, int]]:
@@ -379,15 +383,19 @@ def _met(prefixes: DataFrame) -> DataFrame:
 
 
 def _candidates(met: DataFrame, subgroups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h) of subgroups (sub, low, high, k, component) of different components whose unions of prefixes share enough tokens for a link, and whose sizes allow one.
+    """Pairs (g, h) of subgroups (sub, grp, low, high, k, component) whose unions of prefixes share enough tokens for a link, and whose sizes allow one.
 
-    Under each token the component with most subgroups doesn't meet itself: only the others meet all.
+    A mixed subgroup has no component. Subgroups of one component and of one group stay closed. Under each token the component with most subgroups doesn't meet itself: only the others meet all.
     """
     matrix = written(met.join(subgroups, "sub"), "jaccard-matrix")
-    most = matrix.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("most")).where("components > 1")
-    meeting = written(matrix.join(most.select("token", "most"), "token").withColumn("other", F.col("component") != F.col("most")).drop("most"), "jaccard-meeting")
+    counts = matrix.groupBy("token", "component").agg(F.count("*").alias("n"))
+    known = F.when(F.col("component").isNotNull(), F.struct("n", "component"))
+    most = counts.groupBy("token").agg(F.sum("n").alias("all_n"), F.max(known).alias("most")).where("all_n > coalesce(most.n, 0) AND all_n > 1").select("token", F.col("most.component").alias("most"))
+    other = F.col("most").isNull() | F.col("component").isNull() | (F.col("component") != F.col("most"))
+    meeting = written(matrix.join(most, "token").withColumn("other", other).drop("most"), "jaccard-meeting")
     side = lambda s: meeting.select("token", *[F.col(c).alias(f"{c}_{s}") for c in meeting.columns if c != "token"])
-    fits = (F.col("component_a") != F.col("component_b")) & (~F.col("other_b") | (F.col("sub_a") < F.col("sub_b"))) & (F.col("small_a") | F.col("small_b"))
+    differ = lambda c: F.col(f"{c}_a").isNull() | F.col(f"{c}_b").isNull() | (F.col(f"{c}_a") != F.col(f"{c}_b"))
+    fits = differ("component") & differ("grp") & (~F.col("other_b") | (F.col("sub_a") < F.col("sub_b"))) & (F.col("small_a") | F.col("small_b"))
     fits &= (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
     left, right = side("a").where("other_a"), side("b")
     meetings = left.join(right, (left["token"] == right["token"]) & fits).groupBy(F.least("sub_a", "sub_b").alias("g"), F.greatest("sub_a", "sub_b").alias("h")).agg(F.count("*").alias("common"), F.min(F.least("k_a", "k_b")).alias("k"))
@@ -424,9 +432,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = prefixes.of(reps.join(groups.select("id"), "id", "left_anti"))
     k = F.least(F.ceil(F.col("n_shingles") * percent / 100), F.floor(F.col("n_shingles") * EXTRA / 100) + MORE).cast("int")
     size = F.col("n_shingles").cast("int")
-    rows = packed.select("sub", "index", "rest", "low", "high", "k").unionByName(alone.select(F.col("id").alias("sub"), "index", "rest", size.alias("low"), size.alias("high"), k.alias("k")))
+    single = alone.select(F.col("id").alias("sub"), F.lit(None).cast("long").alias("grp"), F.lit(False).alias("mixed"), "index", "rest", size.alias("low"), size.alias("high"), k.alias("k"))
+    rows = packed.select("sub", "grp", "mixed", "index", "rest", "low", "high", "k").unionByName(single)
     rows = written(rows, "jaccard-unions")
-    subgroups = rows.select("sub", "low", "high", "k").join(labels.withColumnRenamed("node", "sub"), "sub", "left").withColumn("component", F.coalesce("component", "sub"))
+    subgroups = rows.select("sub", "grp", "mixed", "low", "high", "k").join(labels.withColumnRenamed("node", "sub"), "sub", "left").withColumn("component", F.when(~F.col("mixed"), F.coalesce("component", "sub"))).drop("mixed")
     pairs = _candidates(_met(rows), subgroups, percent)
     discard(rows)
     links = _links_between(docs, pairs, packed, n, percent)
