@@ -5,6 +5,8 @@ The random numbers are hashes of (seed, row number, path), not a sequence.
 
 from __future__ import annotations
 
+import json
+import math
 import string
 from functools import reduce
 
@@ -67,9 +69,13 @@ class Generator:
         total, at, items = sum(weights.values()), 0.0, []
         for k, w in weights.items():
             at += w / total
-            items.append(F.struct(F.lit(at).alias("upto"), F.lit(k).alias("key")))
-        table, x = F.array(*items), self.u(row, *path)
-        return F.coalesce(F.get(F.filter(table, lambda t: t["upto"] > x), F.lit(0))["key"], F.lit(list(weights)[-1]))
+            items.append({"upto": at, "key": k})
+        # Two levels of about the same size, as one literal each: a draw looks at two short lists.
+        size = max(1, math.isqrt(len(items)))
+        parts = [{"upto": items[i : i + size][-1]["upto"], "items": items[i : i + size]} for i in range(0, len(items), size)]
+        table, x = F.from_json(F.lit(json.dumps(parts)), "array<struct<upto:double,items:array<struct<upto:double,key:string>>>>"), self.u(row, *path)
+        inner = F.get(F.filter(table, lambda t: t["upto"] > x), F.lit(0))["items"]
+        return F.coalesce(F.get(F.filter(inner, lambda t: t["upto"] > x), F.lit(0))["key"], F.lit(list(weights)[-1]))
 
     # Values
 
@@ -169,7 +175,7 @@ class Generator:
         entropy = m.get("entropyScore", 0.0)
         if self.entropy is not None:  # 0 to 1 of what the model can reach
             entropy = self.entropy * max(m.get("maxEntropy", 0.0), 4.0)
-        values = dict(list((m.get("valueFrequency") or {}).items())[:1000])
+        values = m.get("valueFrequency") or {}
         if (entropy < 2 or not m.get("characterProbability")) and values:
             return self.weighted(values, row, path)
         if entropy < 4 and m.get("patterns"):
@@ -190,8 +196,8 @@ class Generator:
         follow: dict[str, str] = {}
         for gram, k in (m.get("nGrams") or {}).items():
             for a, b in zip(gram, gram[1:]):
-                follow[a] = (follow.get(a, "") + b * min(k, 8))[:200]
-        probable = "".join(c * max(1, round(p * 200)) for c, p in m["characterProbability"].items())[:2000]
+                follow[a] = follow.get(a, "") + b * min(k, 8)
+        probable = "".join(c * max(1, round(p * 200)) for c, p in m["characterProbability"].items())
         after = F.create_map(*[F.lit(x) for pair in (follow or {"": " "}).items() for x in pair])
         draw = lambda table, i: F.substring(table, (F.floor(self.u(row, path, "char", i) * F.length(table)) + 1).cast("int"), F.lit(1))
         step = lambda acc, i: F.concat(acc, draw(F.coalesce(F.try_element_at(after, F.right(acc, F.lit(1))), F.lit(probable)), i))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from ..scratch import written
 from . import profile as P
 
-#: Values kept with their frequencies in a model; the rest is only counted.
+#: Values that a model itself holds, with their frequencies, so that it stays a small document. All of them, where there are more, are in a table beside the model, if Options.values_dir names a folder.
 KEPT_VALUES = 10_000
+#: Whole numbers with more distinct values than this, by an approximate count that is within a few percent, are no enums (20 values are the most).
+MAY_BE_ENUM = 40
 
 
 @dataclass
@@ -25,6 +28,7 @@ class Options:
     string_models: bool = True
     histograms: bool = True
     relationships: bool = False
+    values_dir: str | None = None  # a folder that driver and executors share
 
 
 def infer(df: DataFrame, options: Options | None = None) -> dict:
@@ -129,9 +133,14 @@ def _scalars(view: DataFrame, schema: T.StructType, branches: list[_Branch], opt
         out[c] |= {"minLength": stats["min_length"], "maxLength": stats["max_length"]}
         if options.string_models:
             out[c]["stringModel"] = string_model(counts, stats)
+            if options.values_dir and stats["n_distinct"] > KEPT_VALUES:
+                path = f"{options.values_dir}/values-{uuid.uuid4().hex}"
+                counts.write.parquet(path)
+                out[c]["stringModel"]["valueTables"] = [path]
         _add_enum(out[c], P.enum_of(counts, "value", options.enum_threshold, "n").first())
+    few = view.agg(*[F.approx_count_distinct(c).alias(c) for c in whole]).first() if whole else {}
     for c in whole:
-        if out[c]["maximum"] - out[c]["minimum"] < 20 or not options.histograms:  # only few whole numbers can make an enum
+        if few[c] <= MAY_BE_ENUM:
             _add_enum(out[c], P.enum_of(view, c, options.enum_threshold).first())
     return out
 
@@ -290,6 +299,8 @@ def merge_string_models(a: dict, b: dict) -> dict:
         "characterFrequency": chars, "characterProbability": {c: _four(n / sum(chars.values())) for c, n in chars.items()}, "uniqueCharacters": sorted(chars),
         "patterns": first(add("patterns"), P.TOP_PATTERNS), "nGrams": first(add("nGrams"), P.TOP_NGRAMS), "prefixes": first(add("prefixes"), P.TOP_AFFIXES), "suffixes": first(add("suffixes"), P.TOP_AFFIXES), "valueFrequency": first(values, KEPT_VALUES),
     }
+    if tables := [*a.get("valueTables", []), *b.get("valueTables", [])]:
+        out["valueTables"] = tables
     out["uniqueValueCount"] = max(len(values), a["uniqueValueCount"], b["uniqueValueCount"])
     out["sampleValues"] = list(out["valueFrequency"])[: P.TOP_SAMPLES]
     out["entropyScore"] = _four(-sum(n / total * math.log2(n / total) for n in values.values()) or 0.0)

@@ -13,6 +13,8 @@ from ..operators.predicates import field as field_column
 from .profile import FORMATS, character_entropy, shape
 
 VALID_SCORE, COMPLEXITY_FACTOR, MAX_Z = 2.0, 1.5, 3.0
+#: Prefix of the column that tells whether a field's value is in the model's tables of values.
+KNOWN = "__known_"
 OUTLIER = "array<struct<path:string,field_type:string,deviation:double,value:string,reason:string>>"
 
 
@@ -34,8 +36,10 @@ def number_outliers(path: str, c: Column, h: dict) -> list[tuple[Column, Column]
 
 
 def string_outliers(path: str, c: Column, m: dict) -> list[tuple[Column, Column]]:
-    """(condition, outlier) of a text: too complex, of unknown length, with unknown characters. Texts that the model knows are never outliers."""
+    """(condition, outlier) of a text: too complex, of unknown length, with unknown characters. Texts that the model knows, itself or by its tables of values, are never outliers."""
     known = c.isin(list(m["valueFrequency"])) if m.get("valueFrequency") else F.lit(False)
+    if m.get("valueTables"):
+        known = known | F.col(f"`{KNOWN}{path}`")
     middle = (m["minLength"] + m["maxLength"]) / 2 or 1
     complexity = character_entropy(c) * (1 + F.abs(F.length(c) - middle) / middle)
     expected = m.get("complexity") or 1e-9
@@ -94,11 +98,25 @@ def _judged_items(c: Column, judge, i: int) -> Column:
     return F.coalesce(F.transform(wrong, lambda x: judge(x)[i][1]), F.array().cast(OUTLIER))
 
 
+def _with_known(df: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """df joined with the tables of values of the model's text fields; Spark chooses how."""
+    for name, sub in (model.get("properties") or {}).items():
+        path = f"{prefix}{name}"
+        if sub.get("type") == "object" and field_type(path, df.schema) is not None:
+            df = _with_known(df, sub, f"{path}.")
+        tables = [t for b in sub.get("anyOf", [sub]) for t in (b.get("stringModel") or {}).get("valueTables", [])]
+        if tables and isinstance(field_type(path, df.schema), T.StringType):
+            values = df.sparkSession.read.parquet(*tables).select(F.col("value").alias("__value")).distinct().withColumn(KNOWN + path, F.lit(True))
+            df = df.join(values, field_column(path, df.schema) == F.col("__value"), "left").drop("__value").withColumn(KNOWN + path, F.coalesce(F.col(f"`{KNOWN}{path}`"), F.lit(False)))
+    return df
+
+
 def score(df: DataFrame, model: dict) -> DataFrame:
     """df with outliers, score (mean deviation; 0 without outliers) and valid. Null fields aren't judged; items of lists are judged one by one."""
+    columns, df = df.columns, _with_known(df, model)
     found = [F.when(F.coalesce(test, F.lit(False)), outlier) for test, outlier in _checks(model, df)]
     own = F.array_compact(F.array(*found)) if found else F.array().cast(OUTLIER)
-    rows = df.withColumn("outliers", F.concat(own, *_item_checks(model, df)))
+    rows = df.withColumn("outliers", F.concat(own, *_item_checks(model, df))).select(*[f"`{c}`" for c in columns if c != "outliers"], "outliers")
     total = F.aggregate("outliers", F.lit(0.0), lambda acc, o: acc + o["deviation"])
     return rows.withColumn("score", F.when(F.size("outliers") > 0, total / F.size("outliers")).otherwise(0.0)).withColumn("valid", F.col("score") <= VALID_SCORE)
 

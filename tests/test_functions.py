@@ -246,3 +246,28 @@ def test_metrics(spark, things):
     assert watch.get["n"] == 40
     assert "HashAggregate" in explain(things, [{"$group": {"_id": "$code", "n": {"$sum": 1}}}])
     assert percentiles(things, "k").first()["median"] == 19
+
+
+def test_models_beyond_the_values_they_hold(spark, tmp_path, monkeypatch):
+    """All values count where a model holds only some: in its table of values, and after a merge."""
+    monkeypatch.setattr(model, "KEPT_VALUES", 10)
+    df = spark.range(300).select(F.concat(F.lit("v-"), F.col("id").cast("string")).alias("name"))
+    odd = spark.createDataFrame([("v-7",), ("v-299",), ("ÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿ",)], "name string")
+    held = model.infer(df, model.Options(values_dir=f"file://{tmp_path}"))["properties"]["name"]["stringModel"]
+    assert len(held["valueFrequency"]) == 10 and len(held["valueTables"]) == 1
+    tight = {"properties": {"name": {"type": "string", "stringModel": held | {"maxLength": 2}}}}
+    assert [r["valid"] and not r["outliers"] for r in validate.score(odd, tight).collect()] == [True, True, False]
+    assert validate.score(odd, tight).columns == ["name", "outliers", "score", "valid"]
+    merged = model.merge_string_models(held, held)
+    assert merged["valueTables"] == held["valueTables"] * 2
+
+
+def test_whole_numbers_far_apart_are_an_enum(spark):
+    df = spark.range(100).select((F.col("id") % 3 * 1000).alias("k"))
+    assert model.infer(df)["properties"]["k"]["enum"] == [0, 1000, 2000]
+
+
+def test_weighted_draws_from_many_values(spark):
+    known = {"type": "object", "properties": {"name": {"type": "string", "stringModel": {"minLength": 1, "maxLength": 9, "entropyScore": 0.0, "valueFrequency": {f"x{i}": 1 for i in range(2000)}}}}, "required": ["name"]}
+    made = generate.generate(spark, known, 5000, seed=1)
+    assert made.select("name").distinct().count() > 1700 and made.where(~F.col("name").rlike("^x[0-9]+$")).count() == 0
