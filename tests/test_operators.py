@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from docspark.operators import updates
+from docspark.operators import stages, updates
 from docspark.plans import aggregate, find
 from docspark.plans.pipeline import generation_parameters
 
@@ -146,3 +146,58 @@ def test_variant_columns_tell_null_from_missing(spark, query, expected):
     rows = [(1, '{"a": 5}'), (2, '{"a": null}'), (3, '{"b": ["x"]}'), (4, '{"a": 7.5}'), (5, '{"a": "5"}')]
     df = spark.createDataFrame(rows, "_id int, s string").select("_id", F.parse_json("s").alias("doc"))
     assert ids(find(df, query)) == expected
+
+
+def test_skip_leaves_the_rows_where_they_are(spark):
+    """Without a limit no exchange gathers all rows in one task."""
+    df = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    out = aggregate(df, [{"$sort": {"k": -1}}, {"$skip": 990}])
+    assert [r["k"] for r in out.collect()] == list(range(9, -1, -1))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    assert aggregate(df, [{"$skip": 995}]).count() == 5 and aggregate(df, [{"$skip": 2000}]).count() == 0
+    assert [r["k"] for r in aggregate(df, [{"$sort": {"k": 1}}, {"$skip": 3}, {"$limit": 2}]).collect()] == [3, 4]
+
+
+def test_samples_beyond_a_top_k(spark, monkeypatch):
+    monkeypatch.setattr(stages, "TOP_K", 10)
+    df = spark.range(500)
+    for size, n in ((5, 5), (100, 100), (900, 500)):
+        out = aggregate(df, [{"$sample": {"size": size}}], seed=1)
+        assert out.columns == ["id"] and out.count() == out.distinct().count() == n
+
+
+def test_descending_orders_of_every_kind(spark):
+    """Values that begin with others, nulls last, booleans, binaries and dates."""
+    rows = [(1, "ab", True, b"\x01", None), (2, "abc", False, b"\x01\x02", 5), (3, None, None, None, 1), (4, "b", True, b"\x00", 9), (5, "é", False, b"\xff", 2)]
+    df = spark.createDataFrame(rows, "k int, s string, b boolean, y binary, n int")
+    for path in ("s", "y", "n"):
+        sorted_keys = [r["k"] for r in aggregate(df, [{"$sort": {path: -1, "k": 1}}]).collect()]
+        out = aggregate(df, [{"$sort": {path: -1, "k": 1}}, {"$group": {"_id": None, "all": {"$push": "$k"}, "first": {"$first": "$k"}, "last": {"$last": "$k"}}}]).first()
+        assert (out["all"], out["first"], out["last"]) == (sorted_keys, sorted_keys[0], sorted_keys[-1])
+    assert aggregate(df, [{"$sort": {"b": -1, "k": 1}}, {"$group": {"_id": None, "all": {"$push": "$k"}}}]).first()["all"] == [1, 4, 2, 5, 3]
+
+
+def test_one_of_equal_documents_is_changed(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (0, "b"), (None, "a")], "k int, v string")
+    out = updates.update(df, {"k": 1}, {"$set": {"v": "z"}}, multi=False).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, "z"), (1, "a"), (0, "b"), (None, "a")], key=str)
+    assert updates.delete(df, {"v": "a"}, multi=False).count() == 3
+    assert updates.delete(df, {"v": "none"}, multi=False).count() == 4
+
+
+def test_a_write_that_failed_between_its_renames(spark, tmp_path):
+    from docspark.sources.collections import read_collection, write_collection
+
+    root = f"file://{tmp_path}"
+    write_collection(spark.range(3), root, "c")
+    (tmp_path / "c").rename(tmp_path / "_old-c")  # the old version was moved aside, the new one never came
+    assert read_collection(spark, root, "c").count() == 3
+    assert write_collection(read_collection(spark, root, "c").union(spark.range(2)), root, "c").count() == 5
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["c"]
+
+
+def test_nested_fields_keep_their_neighbours(spark):
+    df = spark.range(1).select(F.struct(F.lit(1).alias("x"), F.struct(F.lit(2).alias("y")).alias("in")).alias("d"))
+    out = aggregate(df, [{"$addFields": {"d.new.deep": 3, "d.in.z": 4}}]).first()["d"].asDict(recursive=True)
+    assert out == {"x": 1, "in": {"y": 2, "z": 4}, "new": {"deep": 3}}
