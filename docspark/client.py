@@ -16,7 +16,7 @@ from .operators import updates
 from .plans import aggregate, find
 from .plans.pipeline import generation_parameters
 from .operators.predicates import generation_params
-from .sources.collections import drop_collection, list_collections, read_collection, write_collection
+from .sources.collections import drop_collection, drop_pending, list_collections, read_collection, read_pending, write_collection, write_pending
 from .sources.models import ModelStore
 
 #: Documents that a find over a model returns if no limit is given.
@@ -128,8 +128,10 @@ class Collection:
         return self.find_frame(query, projection, limit=1).first()
 
     def count_documents(self, query: dict | None = None) -> int:
-        df = self.stored()
-        return 0 if df is None else find(df, query).count()
+        """Of stored documents those that match; of a collection that only has a model, those that find() gives."""
+        if (df := self.stored()) is not None:
+            return find(df, query).count()
+        return self.find_frame(query, limit=DEFAULT_LIMIT).count()
 
     def aggregate(self, pipeline: list[dict], count: int = DEFAULT_LIMIT, collections: dict[str, DataFrame] | None = None, **options) -> DataFrame:
         params, rest = generation_parameters(pipeline)
@@ -141,7 +143,7 @@ class Collection:
     # Writing
 
     def insert(self, documents: DataFrame) -> int:
-        """Appends documents (with an _id where they have none) and trains the model on them once there are TRAIN_AT."""
+        """Appends documents (with an _id where they have none). Once TRAIN_AT documents have come since the model was last trained, it is trained on them."""
         n = documents.count()
         if not n:
             return 0
@@ -154,8 +156,14 @@ class Collection:
             write_collection(documents, self.folder, self.name, "append")
         else:
             write_collection(old.unionByName(documents, allowMissingColumns=True), self.folder, self.name)
-        if n >= TRAIN_AT:
+        waiting = read_pending(self.spark, self.folder, self.name)
+        if waiting is not None:
+            documents = waiting.unionByName(documents, allowMissingColumns=True)
+        if n >= TRAIN_AT or documents.limit(TRAIN_AT).count() == TRAIN_AT:
             self.train(documents)
+            drop_pending(self.spark, self.folder, self.name)
+        else:
+            write_pending(documents, self.folder, self.name)
         return n
 
     def train(self, documents: DataFrame) -> dict:
@@ -187,6 +195,7 @@ class Collection:
 
     def drop(self) -> None:
         drop_collection(self.spark, self.folder, self.name)
+        drop_pending(self.spark, self.folder, self.name)
         self.client.models.delete(self.database.name, self.name)
 
     def stats(self) -> dict:

@@ -63,3 +63,22 @@ def list_collections(spark: SparkSession, root: str) -> list[str]:
 def drop_collection(spark: SparkSession, root: str, name: str) -> bool:
     fs, path = _fs(spark, f"{root}/{_checked(name)}")
     return fs.exists(path) and fs.delete(path, True)
+
+
+def write_pending(df: DataFrame, root: str, name: str) -> None:
+    """Documents that a collection's model isn't trained on yet: few, in a hidden folder beside the collection, replaced as a whole."""
+    fresh = f"{root}/_new-{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(fresh)
+    drop_pending(df.sparkSession, root, name)
+    fs, target = _fs(df.sparkSession, f"{root}/_pending-{_checked(name)}")
+    fs.rename(_fs(df.sparkSession, fresh)[1], target)
+
+
+def read_pending(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    fs, path = _fs(spark, f"{root}/_pending-{_checked(name)}")
+    return spark.read.parquet(path.toString()) if fs.exists(path) else None
+
+
+def drop_pending(spark: SparkSession, root: str, name: str) -> None:
+    fs, path = _fs(spark, f"{root}/_pending-{_checked(name)}")
+    fs.delete(path, True)

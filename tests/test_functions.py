@@ -271,3 +271,15 @@ def test_weighted_draws_from_many_values(spark):
     known = {"type": "object", "properties": {"name": {"type": "string", "stringModel": {"minLength": 1, "maxLength": 9, "entropyScore": 0.0, "valueFrequency": {f"x{i}": 1 for i in range(2000)}}}}, "required": ["name"]}
     made = generate.generate(spark, known, 5000, seed=1)
     assert made.select("name").distinct().count() > 1700 and made.where(~F.col("name").rlike("^x[0-9]+$")).count() == 0
+
+
+def test_training_adds_up_small_inserts(spark, tmp_path):
+    client = Client(spark, f"file://{tmp_path}")
+    some = client.shop.some
+    for k in range(3):
+        some.insert(spark.range(4 * k, 4 * k + 4).select(F.col("id").alias("age")))
+        assert (some.model() is None) == (k < 2)
+    assert some.model()["properties"]["age"]["maximum"] == 11 and some.count_documents() == 12 and client.shop.list_collection_names() == ["some"]
+    client.models.save("shop", "made", some.model())
+    assert client.shop.made.count_documents() == 100 and client.shop.made.count_documents({"age": {"$gte": 5}}) == client.shop.made.find_frame({"age": {"$gte": 5}}).count()
+    assert client.shop.nothing.count_documents() == 0
