@@ -30,7 +30,8 @@ def template_table(spark: SparkSession) -> DataFrame:
 def statement_share(text: F.Column) -> F.Column:
     """Which part of a text, by characters, are lines with a licence word."""
     stated = F.filter(F.split(text, r"\n"), lambda line: F.lower(line).rlike(STATEMENT))
-    return F.coalesce(F.aggregate(stated, F.lit(0), lambda n, line: n + F.length(line)) / F.greatest(F.length(text), F.lit(1)), F.lit(0.0))
+    share = F.aggregate(stated, F.lit(0), lambda n, line: n + F.length(line)) / F.greatest(F.length(text), F.lit(1))
+    return F.when(F.lower(text).rlike(STATEMENT), share).otherwise(0.0)  # most texts have no such word, and their lines aren't looked at
 
 
 def _words(text: F.Column) -> F.Column:
