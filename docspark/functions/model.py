@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import written
+from ..scratch import discard, written
 from . import profile as P
 
 #: Values that a model itself holds, with their frequencies, so that it stays a small document. All of them, where there are more, are in a table beside the model, if Options.values_dir names a folder.
@@ -40,6 +40,41 @@ def infer(df: DataFrame, options: Options | None = None) -> dict:
     return model
 
 
+def infer_documents(df: DataFrame, column: str = "doc", options: Options | None = None) -> dict:
+    """The model of a VARIANT column: documents whose fields, items and roots may be of several types, which become an anyOf. Nulls say nothing of a type."""
+    return _variant(df.select(F.col(column).alias("v")), options or Options())
+
+
+def _variant(df: DataFrame, options: Options) -> dict:
+    kind = P.variant_kind(F.col("v"))
+    found = {r["kind"] for r in df.groupBy(kind.alias("kind")).count().collect()} - {None, "null"}  # a row a kind
+    branches = []
+    for k in sorted(found):
+        rows = df.where(kind == k)
+        if k in ("object", "array"):
+            parts = written(df.sparkSession.sql(f"SELECT e.{'key' if k == 'object' else 'pos'} AS name, e.value AS v FROM {{rows}}, LATERAL variant_explode(v) AS e", rows=rows), "variant-parts")
+            branches.append(_variant_object(rows, parts, options) if k == "object" else _variant_array(rows, parts, options))
+            discard(parts)
+        else:
+            scalar = _object(rows.select(F.try_variant_get("v", "$", P.VARIANT_TYPES[k]).alias("v")), options)["properties"]["v"]
+            branches.append({key: value for key, value in scalar.items() if key not in ("count", "present")})
+    return branches[0] if len(branches) == 1 else {"anyOf": branches} if branches else {}
+
+
+def _variant_object(rows: DataFrame, parts: DataFrame, options: Options) -> dict:
+    n = rows.count()
+    names = {r["name"]: r for r in parts.groupBy("name").agg(F.count("*").alias("n"), F.count_if(P.variant_kind(F.col("v")) != "null").alias("present")).collect()}  # a row a field of the model
+    properties = {name: _variant(parts.where(F.col("name") == name).select("v"), options) | {"count": n, "present": r["present"]} for name, r in sorted(names.items())}
+    return {"type": "object", "properties": properties, "required": sorted(name for name, r in names.items() if r["present"] == n)}
+
+
+def _variant_array(rows: DataFrame, parts: DataFrame, options: Options) -> dict:
+    size = F.size(F.try_variant_get("v", "$", "array<variant>"))
+    stats = rows.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+    items = _variant(parts.select("v"), options)
+    return {"type": "array", "minItems": stats["low"], "maxItems": stats["high"], **({"items": items} if items else {})}
+
+
 @dataclass
 class _Branch:
     """The values of one scalar field that have one logical type, as a column of a view."""
@@ -88,7 +123,9 @@ def _array(df: DataFrame, f: T.StructField, options: Options) -> dict:
     items = df.select(F.explode(f"`{f.name}`").alias("v"))
     if isinstance(element, T.StructType):
         out["items"] = _object(items.where("v IS NOT NULL").select("v.*"), options)
-    elif not isinstance(element, T.ArrayType):
+    elif isinstance(element, T.ArrayType):
+        out["items"] = _array(items.where("v IS NOT NULL"), T.StructField("v", element), options)
+    else:
         known = _object(items, options)["properties"].get("v")
         if known:
             out["items"] = {k: v for k, v in known.items() if k not in ("count", "present")}

@@ -50,6 +50,18 @@ def top(df: DataFrame, n: int, count: str, key: str) -> DataFrame:
 # Structure
 
 
+#: What a VARIANT value of each scalar kind is read as.
+VARIANT_TYPES = {"boolean": "boolean", "integer": "bigint", "number": "double", "string": "string"}
+
+
+def variant_kind(c: Column) -> Column:
+    """object, array, string, boolean, integer (whole numbers however written), number or null of a VARIANT; null where there is no value at all."""
+    name = F.schema_of_variant(c)
+    number = F.try_variant_get(c, "$", "double")
+    kind = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+    return kind.when(name.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.when(number == F.floor(number), "integer").otherwise("number")).when(name.isNotNull(), "string")
+
+
 def logical_type(c: Column, kind: T.DataType) -> Column:
     """The logical type of each value: a double that is whole is an integer."""
     if isinstance(kind, T.BooleanType):

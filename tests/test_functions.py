@@ -283,3 +283,19 @@ def test_training_adds_up_small_inserts(spark, tmp_path):
     client.models.save("shop", "made", some.model())
     assert client.shop.made.count_documents() == 100 and client.shop.made.count_documents({"age": {"$gte": 5}}) == client.shop.made.find_frame({"age": {"$gte": 5}}).count()
     assert client.shop.nothing.count_documents() == 0
+
+
+def test_models_of_documents_without_fixed_types(spark):
+    """Roots, fields and items of several types; lists of lists; nulls."""
+    docs = ['{"a": 1, "b": [1, "x", null], "c": {"d": true}}', '{"a": "one", "b": [], "c": null}', '{"a": 2.0, "e": [[1, 2], [3]]}', '"text"', "[1.5]", "null"]
+    df = spark.createDataFrame([(d,) for d in docs], "text string").select(F.parse_json("text").alias("doc"))
+    by_type = {b["type"]: b for b in model.infer_documents(df)["anyOf"]}
+    assert set(by_type) == {"object", "string", "array"} and by_type["array"]["items"]["type"] == "number"
+    fields = by_type["object"]["properties"]
+    assert by_type["object"]["required"] == ["a"] and [b["type"] for b in fields["a"]["anyOf"]] == ["integer", "string"] and fields["a"]["anyOf"][0]["maximum"] == 2
+    assert {b["type"] for b in fields["b"]["items"]["anyOf"]} == {"integer", "string"} and (fields["b"]["minItems"], fields["b"]["maxItems"]) == (0, 3)
+    assert fields["c"]["properties"]["d"]["type"] == "boolean" and fields["c"]["present"] == 1
+    assert fields["e"]["items"]["type"] == "array" and fields["e"]["items"]["items"]["type"] == "integer"
+    typed = spark.createDataFrame([([[1, 2], [3]],)], "m array<array<int>>")
+    assert model.infer(typed)["properties"]["m"]["items"]["items"]["type"] == "integer"
+    assert model.infer_documents(df.limit(0)) == {}
