@@ -163,7 +163,7 @@ def histogram_complexity(bins: list[dict], total: int, low: float, high: float,
 def multiple_of(df: DataFrame, paths: list[str]) -> DataFrame:
     """Per integer field: path, multiple_of: the greatest number over 1 and below the maximum that divides every value, else null.
 
-    Each task folds its rows into one gcd a field; one row a task meets in the last step.
+    Each task folds its rows into one gcd a field; one row a task meets in the last step, after a shuffle (without one, the last task would read all of the table).
     """
     n = len(paths)
     schema = ", ".join(f"g{i} long, m{i} long" for i in range(n))
@@ -181,7 +181,7 @@ def multiple_of(df: DataFrame, paths: list[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for i in range(n) for x in (gcds[i], most[i])], [f"{k}{i}" for i in range(n) for k in "gm"])
 
     values = df.select(*[F.col(p).cast("long").alias(f"{k}{i}") for i, p in enumerate(paths) for k in "gm"])
-    row = values.mapInArrow(fold, schema).coalesce(1).mapInArrow(fold, schema)
+    row = values.mapInArrow(fold, schema).repartition(1).mapInArrow(fold, schema)
     each = F.array(*[F.struct(F.lit(p).alias("path"), F.when((F.col(f"g{i}") > 1) & (F.col(f"g{i}") < F.col(f"m{i}")), F.col(f"g{i}")).alias("multiple_of")) for i, p in enumerate(paths)])
     return row.select(F.explode(each).alias("f")).select("f.*")
 

@@ -4,7 +4,9 @@ import json
 import math
 from datetime import datetime as D
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from docspark import prompts, samples
@@ -267,6 +269,17 @@ def test_whole_numbers_far_apart_are_an_enum(spark):
     assert model.infer(df)["properties"]["k"]["enum"] == [0, 1000, 2000]
 
 
+def test_multiples_are_folded_by_the_tasks_of_the_table(spark):
+    """The values say which task reads them: if one task read all partitions, all would be 0."""
+
+    def numbered(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([6 * TaskContext.get().partitionId()] * batch.num_rows, pa.int64())], ["k"])
+
+    rows = spark.range(0, 80, 1, 8).mapInArrow(numbered, "k long")
+    assert profile.multiple_of(rows, ["k"]).first()["multiple_of"] == 6
+
+
 def test_weighted_draws_from_many_values(spark):
     known = {"type": "object", "properties": {"name": {"type": "string", "stringModel": {"minLength": 1, "maxLength": 9, "entropyScore": 0.0, "valueFrequency": {f"x{i}": 1 for i in range(2000)}}}}, "required": ["name"]}
     made = generate.generate(spark, known, 5000, seed=1)
