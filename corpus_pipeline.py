@@ -13,8 +13,20 @@ from docspark.llm import bpe, contamination, exact_dedup, jaccard, language
 from docspark.llm.common import table, written
 
 
+#: Rows that go to a Python worker at once: at a few kB a text, Spark's 10,000 are tens of MB in the JVM and in the worker, for each task.
+BATCH_ROWS = 2_000
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for Arrow batches to BATCH_ROWS; a lower one stays. It changes no result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts that are null or have no letter go. The filters are fitted on docs themselves."""
+    _bounded_batches(spark)
     labelled = docs.where("doc_id IS NOT NULL").where(~language.held_out("doc_id"))
     told = language.identify(docs, language.train(labelled), lang_col="__language", score_col="__language_score")
     return told.where("__language <> 'und'").select(*docs.columns)
@@ -27,6 +39,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard 0.8), the one with the smallest id."""
+    _bounded_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -37,6 +50,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the token ids of the whole text, and their number."""
+    _bounded_batches(spark)
     encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.selectExpr("*", "cast(size(ids) AS bigint) AS n_tokens")
 

@@ -22,8 +22,10 @@ from .common import tidy
 #: Children of a tree node: min() of a short slice is one fast call.
 FAN = 16
 NONE = 1 << 62
-#: Encoded pieces that a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Encoded pieces that a worker remembers, in each of two generations (about 300 bytes each).
+REMEMBERED = 80_000
+#: Up to so many bytes a list of pair ranks is faster than the tree.
+SHORT = 96
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +55,21 @@ class RankTree:
             below = level
 
 
+def _encode_short(piece: bytes, rank) -> list[int]:
+    """encode_piece() of a short piece: a list of its tokens and one of their pairs' ranks."""
+    tokens = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [rank(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != NONE:
+        at = pairs.index(least)
+        tokens[at] += tokens.pop(at + 1)
+        del pairs[at]
+        if at:
+            pairs[at - 1] = rank(tokens[at - 1] + tokens[at], NONE)
+        if at < len(pairs):
+            pairs[at] = rank(tokens[at] + tokens[at + 1], NONE)
+    return list(map(rank, tokens))
+
+
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The token ids of one piece; equal ranks merge from the left."""
     whole = ranks.get(piece)
@@ -60,6 +77,8 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     rank = ranks.get
+    if n <= SHORT:
+        return _encode_short(piece, rank)
     end = list(range(1, n + 1))  # where the token that begins here ends
     start = list(range(-1, n))  # where the token that ends here begins; start[i] belongs to end i
     tree = RankTree([(r << 32 | i) if (r := rank(piece[i : i + 2])) is not None else NONE for i in range(n - 1)] or [NONE])

@@ -653,3 +653,31 @@ def test_pipeline_equals_brute_force(spark):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: own.encode_ordinary(t) for i, t in texts.items()}
+
+
+def test_short_pieces_merge_as_the_tree_does(monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    ranks = {bytes([c]): i for i, c in enumerate(b"abcd")}
+    for size in (2, 2, 3, 3, 4, 5):
+        for _ in range(12):
+            ranks.setdefault(bytes(draw.choices(b"abcd", k=size)), len(ranks))
+    pieces = [bytes(draw.choices(b"abcd", k=draw.randint(1, 90))) for _ in range(400)]
+    short = [bpe.encode_piece(p, ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [bpe.encode_piece(p, ranks) for p in pieces]
+
+
+def test_pipeline_bounds_its_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, then in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(key, given)
+            corpus_pipeline.tokenised(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
