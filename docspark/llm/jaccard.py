@@ -310,18 +310,19 @@ class _Prefixes:
         lists = [pa.array([f and f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *lists], ["id", "n_shingles", "index", "rest"])
 
-    def _from_low(self, rows, wide):
+    def _from_low(self, rows, wide, sieve=None):
         percent, out = self.percent, self._out
 
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
+                    part = passing(part, sieve.value) if sieve else part
                     low, sizes = part["low"], part["n_shingles"].to_pylist()
                     flat, ends = low.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(low).to_pylist()])
                     yield out(part["id"], sizes, [_split_prefix(flat[i:j], size, percent, wide.value) for i, j, size in zip(ends[:-1], ends[1:], sizes)])
 
-        return rows.select("id", "n_shingles", "low").mapInArrow(tidy(run), self._schema)
+        return rows.select("id", "n_shingles", "low", *(["slot"] if sieve else [])).mapInArrow(tidy(run), self._schema)
 
     def _from_text(self, ids, wide):
         percent, n, out = self.percent, self.n, self._out
@@ -339,11 +340,17 @@ class _Prefixes:
 
         return rows.mapInArrow(tidy(run), "id long, low array<long>" if wide is None else self._schema).join(ids, "id", "left_semi")
 
-    def of(self, ids: DataFrame) -> DataFrame:
-        """id, n_shingles, index, rest: from the low tokens, or from the whole text where those don't suffice."""
-        first = written(self._from_low(self.heads.select("id", "n_shingles", "low").join(ids, "id", "left_semi"), self.wide), "jaccard-prefixes")
+    def of(self, ids: DataFrame) -> list[DataFrame]:
+        """Two tables id, n_shingles, index, rest of ids and a few more: from the low tokens (index is null where those don't suffice), and from the whole text for those.
+
+        The ids pass a sieve, so the tokens needn't be shuffled for a join.
+        """
+        rows, sieve = sieved(self.heads, ids)
+        first = written(self._from_low(rows, self.wide, sieve), "jaccard-prefixes")
         short = written(first.where(F.col("index").isNull()).select("id").distinct(), "jaccard-reach")
-        return first.where(F.col("index").isNotNull()).unionByName(self._from_text(short, self.wide))
+        further = written(self._from_text(short, self.wide), "jaccard-prefixes")
+        discard(short)
+        return [first, further]
 
 
 def _met(prefixes: DataFrame) -> DataFrame:
@@ -374,6 +381,9 @@ def _met(prefixes: DataFrame) -> DataFrame:
             tokens, owners, smalls = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, (np.uint64, np.int64, bool)))
             order = np.lexsort((owners, tokens))
             tokens, owners, smalls = tokens[order], owners[order], smalls[order]
+            # A subgroup's token counts once, however many rows tell it.
+            new = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])])) if len(tokens) else np.empty(0, np.int64)
+            tokens, owners, smalls = tokens[new], owners[new], np.logical_or.reduceat(smalls, new) if len(new) else smalls
             starts, ends = runs(tokens)
             keep = np.repeat(owners[starts] != owners[ends], ends - starts + 1)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(owners[keep]), pa.array(smalls[keep])], ["token", "sub", "small"])
@@ -429,15 +439,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = written(_packed_groups(_sets(docs, groups.select("id").union(groups.select("leader").dropna()).distinct(), n).join(seats, "id"), percent, prefixes.wide), "jaccard-packed")
     within = packed.select(F.explode(F.arrays_zip("a", "b")).alias("link")).select("link.a", "link.b")
     labels = components(within)
-    alone = prefixes.of(reps.join(groups.select("id"), "id", "left_anti"))
+    alone = written(reps.join(groups.select("id"), "id", "left_anti"), "jaccard-alone")
+    found = prefixes.of(alone)
+    sized = written(heads.select("id", "n_shingles"), "jaccard-sizes")
     k = F.least(F.ceil(F.col("n_shingles") * percent / 100), F.floor(F.col("n_shingles") * EXTRA / 100) + MORE).cast("int")
     size = F.col("n_shingles").cast("int")
-    single = alone.select(F.col("id").alias("sub"), F.lit(None).cast("long").alias("grp"), F.lit(False).alias("mixed"), "index", "rest", size.alias("low"), size.alias("high"), k.alias("k"))
-    rows = packed.select("sub", "grp", "mixed", "index", "rest", "low", "high", "k").unionByName(single)
-    rows = written(rows, "jaccard-unions")
-    subgroups = rows.select("sub", "grp", "mixed", "low", "high", "k").join(labels.withColumnRenamed("node", "sub"), "sub", "left").withColumn("component", F.when(~F.col("mixed"), F.coalesce("component", "sub"))).drop("mixed")
-    pairs = _candidates(_met(rows), subgroups, percent)
-    discard(rows)
+    single = known.where(F.col("low").isNotNull()).join(alone, "id", "left_semi").select(F.col("id").alias("sub"), F.lit(None).cast("long").alias("grp"), F.lit(False).alias("mixed"), size.alias("low"), size.alias("high"), k.alias("k"))
+    subgroups = written(packed.select("sub", "grp", "mixed", "low", "high", "k").unionByName(single), "jaccard-subgroups")
+    discard(heads, alone)
+    rows = packed.select("sub", "index", "rest")
+    for part in found:
+        rows = rows.unionByName(part.where(F.col("index").isNotNull()).select(F.col("id").alias("sub"), "index", "rest"))
+    labelled = subgroups.join(labels.withColumnRenamed("node", "sub"), "sub", "left").withColumn("component", F.when(~F.col("mixed"), F.coalesce("component", "sub"))).drop("mixed")
+    pairs = _candidates(_met(rows), labelled, percent)
+    discard(subgroups, *found)
     links = _links_between(docs, pairs, packed, n, percent)
     discard(pairs, packed, groups)
 
@@ -446,7 +461,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tied = same.join(least, "id").select("a", F.col("rep").alias("b"))
     joined = components(links.unionByName(tied).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    return heads.select("id", "n_shingles").join(named, "id", "left").select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(id_type).alias("component_id"))
+    return sized.join(named, "id", "left").select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(id_type).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

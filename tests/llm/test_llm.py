@@ -655,6 +655,18 @@ def test_pipeline_equals_brute_force(spark):
     assert got == {i: own.encode_ordinary(t) for i, t in texts.items()}
 
 
+def test_jaccard_drops_its_token_tables(spark):
+    """Heads and prefixes are the largest tables; neither is left when the result is read."""
+    from docspark import scratch
+
+    before = set(scratch._folders)
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*words[i % 3 : i % 3 + 200], f"x{i // 6}"])) for i in range(12)] + [(99, " ".join(words[::-1]))], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    left = [p for p in set(scratch._folders) - before if "jaccard-heads" in p or "jaccard-prefixes" in p or "jaccard-unions" in p]
+    assert not left and found[99] == 99 and {found[i] for i in range(12)} == {0}
+
+
 def test_short_pieces_merge_as_the_tree_does(monkeypatch):
     import random
 
