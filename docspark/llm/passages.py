@@ -266,15 +266,20 @@ def pair_passages(left: np.ndarray, right: np.ndarray, min_words: int, similarit
     if len(left) < min_words or len(right) < min_words:
         return [], []
     a, b = (shingles(x.astype(np.uint64), SHINGLE) for x in (left, right))
-    of_a, of_b, width = Places(a), Places(b), min_words - SHINGLE + 1
-    found, mirrored = _found(a, b, of_b, width, similarity)
-    if mirrored and not of_a.twice:
+    return _both_ways(a, Places(a), b, Places(b), min_words - SHINGLE + 1, similarity)
+
+
+def _both_ways(a: np.ndarray, of_a: Places, b: np.ndarray, of_b: Places, width: int, similarity: float) -> tuple[list[tuple], list[tuple]]:
+    """pair_passages() of shingles whose places are known."""
+    once = not (of_a.twice or of_b.twice)
+    found, mirrored = _found(a, b, of_b, width, similarity, once)
+    if mirrored and once:
         return found, [(s2, e2, s, e, score) for s, e, s2, e2, score in found]
-    return found, _found(b, a, of_a, width, similarity)[0]
+    return found, _found(b, a, of_a, width, similarity, once)[0]
 
 
-def _found(a: np.ndarray, b: np.ndarray, places: Places, width: int, similarity: float) -> tuple[list[tuple[int, int, int, int, float]], bool]:
-    """The passages of similar_passages(), and whether they hold all places of b too."""
+def _found(a: np.ndarray, b: np.ndarray, places: Places, width: int, similarity: float, once: bool = False) -> tuple[list[tuple[int, int, int, int, float]], bool]:
+    """The passages of similar_passages(), and whether they hold all places of b too. once: no shingle stands twice in a or in b, so sets needn't be made to count them."""
     where = places.first(a)
     hit = np.flatnonzero(where >= 0)
     found, mirrored = [], not places.twice
@@ -290,9 +295,12 @@ def _found(a: np.ndarray, b: np.ndarray, places: Places, width: int, similarity:
         parted = np.flatnonzero(np.diff(block) > GAP) + 1
         if len(parted):
             block = max(np.split(block, parted), key=len)
-        x, y = np.unique(a[start:end]), np.unique(b[block[0] : block[-1] + 1])
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        score = shared / (len(x) + len(y) - shared)
+        if once:  # of the run's places in b, those in the block are shared: block has no others
+            shared, either = len(block), end - start + int(block[-1] - block[0]) + 1
+        else:
+            x, y = np.unique(a[start:end]), np.unique(b[block[0] : block[-1] + 1])
+            shared, either = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+        score = shared / (either - shared)
         if score >= similarity:
             found.append((start, end + SHINGLE - 1, int(block[0]), int(block[-1]) + SHINGLE, float(score)))
             mirrored &= not len(parted)
@@ -436,14 +444,24 @@ def _verified(packed: DataFrame, pairs: DataFrame, min_words: int, similarity: f
     whole tells stretches that are places of which nothing is covered.
     """
 
+    width = min_words - SHINGLE + 1
+
     def compare(batches):
+        last = None  # pairs of one a follow each other
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = []
                 part = batch.slice(at, 64)
                 for a, b, x, y, places in zip(*(part[c].to_pylist() for c in ("a", "b", "x", "y", "places"))):
                     x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                    theirs, mine = pair_passages(x, y, min_words, similarity)
+                    if len(x) < min_words or len(y) < min_words:
+                        theirs, mine = [], []
+                    else:
+                        if last is None or last[0] != a or len(last[3]) != len(x) or (last[3] != x).any():
+                            s = shingles(x.astype(np.uint64), SHINGLE)
+                            last = a, s, Places(s), x
+                        s = shingles(y.astype(np.uint64), SHINGLE)
+                        theirs, mine = _both_ways(last[1], last[2], s, Places(s), width, similarity)
                     out += [(a, s, e, b, s2, e2, score, None, None) for s, e, s2, e2, score in theirs]
                     out += [(b, s, e, a, s2, e2, score, None, None) for s, e, s2, e2, score in mine]
                     if places:

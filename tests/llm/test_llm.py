@@ -667,6 +667,16 @@ def test_jaccard_drops_its_token_tables(spark):
     assert not left and found[99] == 99 and {found[i] for i in range(12)} == {0}
 
 
+def test_passages_of_texts_without_repeats_are_counted_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        a = rng.integers(1, 1 << 40, 400).astype(np.uint64)
+        b = np.concatenate([a[200:], a[:190]]) if k % 3 == 0 else np.delete(a, rng.integers(0, 400, 1 + k))
+        assert passages._found(a, b, passages.Places(b), 46, 0.8, True) == passages._found(a, b, passages.Places(b), 46, 0.8, False)
+
+
 def test_short_pieces_merge_as_the_tree_does(monkeypatch):
     import random
 
