@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import discard, new_folder, shared_dir, written
 
-__all__ = ["Words", "discard", "many_shingles", "mixed", "new_folder", "shared_dir", "shingles", "table", "tidy", "word_hashes", "written"]
+__all__ = ["Words", "byte_parts", "discard", "many_shingles", "mixed", "new_folder", "shared_dir", "shingles", "table", "tidy", "word_hashes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,16 @@ def tidy(run):
     return wrapped
 
 
+def byte_parts(batch: pa.RecordBatch, column: str, size: int, rows: int = 2000):
+    """Where each part of batch begins, and the part: at most so many rows, and of the text column about so many bytes. A longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().astype(np.int64))
+    at = done = 0
+    while at < batch.num_rows:
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+        yield at, batch.slice(at, stop - at)
+        at, done = stop, int(ends[stop - 1])
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, tidy
+from .common import byte_parts, mixed, tidy
 
 #: Labelled rows that the filters are fitted on, about: the one bounded sample.
 TRAIN_ROWS = 20_000
@@ -28,6 +28,8 @@ HASHES = 3
 SLOTS_PER_GRAM = 8
 #: Languages in one word of the mask.
 WORD_BITS = 64
+#: Bytes of text that are worked on at once (an array step takes up to 8 bytes for each, and several are alive).
+BLOCK = 1 << 18
 
 #: ASCII bytes that are no letters become a space.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -41,18 +43,37 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     space = pa.scalar(" ", pa.large_string())
     texts = pc.binary_join_element_wise(space, pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), space, pa.scalar("", pa.large_string()))
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = _FOLD[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    if len(data) < 4:
-        return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-    wide = data.astype(np.uint32)
-    packed = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    good = (data[1:-2] != 32) & (data[2:-1] != 32)
-    for back in (1, 2, 3):  # windows that would reach into the next text
-        cut = offsets[1:-1] - back
-        good[cut[(cut >= 0) & (cut < len(good))]] = False
-    where = np.flatnonzero(good)
-    return packed[where], np.searchsorted(where, offsets)
+    cuts = offsets[1:-1]
+    found, starts = [np.empty(0, np.uint32)], np.zeros(len(offsets), np.int64)
+    n = 0
+    for at in range(0, len(data) - 3, BLOCK):  # windows that begin in this block
+        part = _FOLD[data[at : at + BLOCK + 3]]
+        good = (part[1:-2] != 32) & (part[2:-1] != 32)
+        for back in (1, 2, 3):  # windows that would reach into the next text
+            cut = cuts[np.searchsorted(cuts, at + back) : np.searchsorted(cuts, at + len(good) + back)] - back - at
+            good[cut] = False
+        where = np.flatnonzero(good)
+        wide = part.astype(np.uint32)
+        packed = wide[where]
+        for k in (1, 2, 3):
+            packed |= wide[where + k] << np.uint32(8 * k)
+        inside = slice(np.searchsorted(offsets, at), np.searchsorted(offsets, at + BLOCK))
+        starts[inside] = n + np.searchsorted(where, offsets[inside] - at)
+        found.append(packed)
+        n += len(packed)
+    starts[np.searchsorted(offsets, max(0, -(-(len(data) - 3) // BLOCK) * BLOCK)) :] = n
+    return np.concatenate(found), starts
+
+
+def _added(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of each."""
+    flat, numbers = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(flat, kind="stable")
+    flat, numbers = flat[order], numbers[order]
+    new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+    return flat[new], np.add.reduceat(numbers, new) if len(new) else numbers
 
 
 def _slots(packed: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -90,17 +111,20 @@ class LanguageFilters:
             return [None] * len(texts), np.zeros(len(texts))
         packed, at = grams(texts)
         n = np.diff(at)
-        slots = _slots(packed, int(np.log2(len(self.tables[0]))))
-        counts = np.empty((len(self.languages), len(texts)))
-        for word, table in enumerate(self.tables):
-            mask = table[slots[0]]
-            for slot in slots[1:]:
-                mask &= table[slot]
-            for i in range(word * WORD_BITS, min(len(self.languages), (word + 1) * WORD_BITS)):
-                bit = table.dtype.type(i - word * WORD_BITS)
-                sums = np.concatenate([[0], np.cumsum((mask >> bit) & table.dtype.type(1), dtype=np.int64)])
-                hits = sums[at[1:]] - sums[at[:-1]]
-                counts[i] = np.maximum(0, (hits - n * self.false_rate[i]) / max(1e-9, 1 - self.false_rate[i]))
+        bits = int(np.log2(len(self.tables[0])))
+        counts = np.zeros((len(self.languages), len(texts)))
+        for begin in range(0, len(packed), BLOCK):
+            slots = _slots(packed[begin : begin + BLOCK], bits)
+            bounds = np.clip(at - begin, 0, len(slots[0]))
+            for word, table in enumerate(self.tables):
+                mask = table[slots[0]]
+                for slot in slots[1:]:
+                    mask &= table[slot]
+                for i in range(word * WORD_BITS, min(len(self.languages), (word + 1) * WORD_BITS)):
+                    bit = table.dtype.type(i - word * WORD_BITS)
+                    sums = np.concatenate([[0], np.cumsum((mask >> bit) & table.dtype.type(1), dtype=np.int64)])
+                    counts[i] += np.diff(sums[bounds])
+        counts = np.maximum(0, (counts - n * self.false_rate[:, None]) / np.maximum(1e-9, 1 - self.false_rate[:, None]))
         total, best = counts.sum(0), counts.argmax(0)
         score = np.where(total > 0, counts.max(0) / np.where(total > 0, total, 1), 0.0)
         return [self.languages[b] if t > 0 else self.common for b, t in zip(best, total)], score
@@ -111,6 +135,27 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def counted(batches):
+    """lang, gram, n of batches of text and lang: of each batch a row for each n-gram of a language. Beside those rows, memory is bounded by BLOCK."""
+    for batch in batches:
+        langs = batch["lang"].dictionary_encode()
+        row_lang, held, numbers = langs.indices.to_numpy().astype(np.uint64), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for at, part in byte_parts(batch, "text", BLOCK):
+            packed, starts = grams(part["text"])
+            owner = np.repeat(row_lang[at : at + part.num_rows], np.diff(starts))
+            for begin in range(0, len(packed), BLOCK):
+                keys, sums = np.unique(owner[begin : begin + BLOCK] << np.uint64(32) | packed[begin : begin + BLOCK], return_counts=True)
+                held.append(keys)
+                numbers.append(sums)
+                if sum(map(len, held[1:])) > max(BLOCK, 2 * len(held[0])):
+                    held, numbers = ([x] for x in _added(held, numbers))
+        keys, sums = _added(held, numbers)
+        for at in range(0, len(keys), BLOCK):
+            own = keys[at : at + BLOCK]
+            names = langs.dictionary.take(pa.array((own >> np.uint64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([names, pa.array((own & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(sums[at : at + BLOCK])], ["lang", "gram", "n"])
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> LanguageFilters:
     """Fits the filters on about train_rows rows of labelled, drawn by a hash of the id; rows with a null language or text don't count.
 
@@ -129,19 +174,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         rates = F.broadcast(rows.sparkSession.createDataFrame(parts, "lang string, rate long"))
         rows = rows.join(rates, "lang").where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < F.col("rate"))
 
-    def count(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                packed, starts = grams(part["text"])
-                langs = part["lang"].dictionary_encode()
-                row_lang = langs.indices.to_numpy()
-                owner = np.repeat(row_lang, np.diff(starts))
-                keys, sums = np.unique(owner.astype(np.uint64) << np.uint64(32) | packed, return_counts=True)
-                names = langs.dictionary.take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([names, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
-
-    counts = rows.select("text", "lang").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(tidy(counted), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))  # a row a language
     shares = shares.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= MIN_SHARE) & (F.col("share") >= MIN_PART * F.col("top")))
@@ -166,8 +199,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
     def run(batches):
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for _, part in byte_parts(batch, text_col, BLOCK, 256):
                 langs, scores = model.predict(part[text_col])
                 yield pa.RecordBatch.from_arrays([*(part[f.name] for f in fields), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in fields), lang_col, score_col])
 

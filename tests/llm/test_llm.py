@@ -5,6 +5,7 @@ import io
 import os
 import re
 import time
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -223,6 +224,46 @@ def test_grams_stay_within_texts():
     assert packed.tolist() == np.concatenate(apart).tolist() and np.diff(at).tolist() == [len(x) for x in apart]
 
 
+def test_language_memory_follows_blocks_not_batches(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij éß"), rng.integers(1, 9))) for _ in range(3000)]
+    texts = [None if k % 11 == 0 else " ".join(rng.choice(words, rng.integers(0, 400))) for k in range(300)]
+    whole, at = language.grams(pa.array(texts))
+    filters = language.LanguageFilters.of({"x": np.unique(whole[::2]), "y": np.unique(whole[::3])}, "x")
+    told, scores = filters.predict(pa.array(texts))
+    monkeypatch.setattr(language, "BLOCK", 64)  # blocks end within texts and words
+    again, at_again = language.grams(pa.array(texts))
+    assert again.tolist() == whole.tolist() and at_again.tolist() == at.tolist()
+    told_again, scores_again = filters.predict(pa.array(texts))
+    assert told_again == told and scores_again.tolist() == scores.tolist()
+    monkeypatch.undo()
+
+    many = pa.array([" ".join(rng.choice(words, 700)) for _ in range(2000)])  # one batch of the pipeline, about 7 MB
+    size = many.get_total_buffer_size()
+
+    def peak(run):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(lambda: language.grams(many)) < 10 * size  # bytes for each byte of text: 5, and 17 before
+    batch = pa.RecordBatch.from_arrays([many, pa.array(["x", "y"] * 1000)], ["text", "lang"])
+    counted = {}
+
+    def count():
+        for part in language.counted([batch]):
+            for lang, gram, n in zip(*(part[c].to_pylist() for c in ("lang", "gram", "n"))):
+                assert (lang, gram) not in counted  # one row for each n-gram of a batch
+                counted[lang, gram] = n
+
+    assert peak(count) < 8 * size  # 2, and 18 before
+    packed, starts = language.grams(many)
+    keys, sums = np.unique(packed[starts[0] : starts[1]], return_counts=True)
+    assert sum(counted.values()) == len(packed) and all(counted["x", int(k)] >= s for k, s in zip(keys, sums))
+
+
 def test_languages_of_the_held_out_documents(spark):
     """Accuracy on the rows that nothing was learned from, by their labels."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
