@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix; exact.
 
 1. Every document becomes its set of distinct n-word shingle hashes. Equal sets are one class, represented by its smallest id.
-2. Similar classes are partitioned into groups: of the MinHash bands of a class the most shared one names its cluster, and clusters are cut into
-   groups of bounded size. The members of a group are compared with each other and with the cluster's leader, whole sets; those of the largest component that this gives are a
+2. Similar classes are partitioned into groups: of the MinHash bands of a class the most shared one names its cluster (if the class has a second band in common with the cluster's
+   leader: in a larger corpus more classes share one band by chance), and clusters are cut into groups of bounded size. The members of a group are compared with each other and with the cluster's leader, whole sets; those of the largest component that this gives are a
    subgroup, the others together one more; a class that shares no band is a subgroup of its own. Through the leaders, the groups of a cluster of near copies fall into one component at once.
 3. The matrix has a row for each (token, subgroup) of the subgroup's token union, as far as the overlap bound needs it: to link, two documents must share k tokens
    of their prefixes (the first n - ceil(t n) + k tokens in one global order), so two subgroups whose unions of prefixes share fewer can't hold a link and stay closed.
@@ -28,6 +28,8 @@ from .meeting import HELD_KEYS, by_slice, runs, slice_groups, slices
 from .sieve import passing, sieved
 
 BANDS, ROWS = 8, 2
+#: Bands that a class shares with the leader of its cluster at least. Others stay by themselves: this changes the cost, never the result.
+SHARED_BANDS = 2
 #: Documents and tokens of a group, about.
 GROUP_DOCS, GROUP_TOKENS = 256, 32_768
 #: Prefixes are longer than one common token needs by this percentage of the set and as many tokens more, so that as many must be common: a shared line doesn't make candidates.
@@ -40,6 +42,8 @@ WIDE = 32
 WIDE_LIMIT = 200_000
 #: Salts by which the rows of one cluster are dealt out for a join.
 SALTS = 16
+#: A text of up to so many bytes for each of its tokens is shuffled itself, as Spark compresses it; tokens (8 bytes each) are random numbers.
+TEXT_BYTES = 12
 _KEY_SHIFT = np.uint64(32)
 _ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
 
@@ -122,12 +126,34 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), "id long, tokens binary")
 
 
+def _texts_or_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Like _sets(), for a shuffle: text where that is shorter than the token set, else tokens; the other one is null. _token_sets_of() reads both."""
+    rows, sieve = sieved(docs, ids)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = passing(batch.slice(at, 500), sieve.value)
+                sets = token_sets(part["text"], n)
+                long = pc.greater(pc.fill_null(pc.binary_length(part["text"]), 0), pa.array([TEXT_BYTES * len(t) for t in sets], pa.int64()))
+                tokens = pa.array([t.tobytes() if x else None for t, x in zip(sets, long.to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([part["id"], pc.if_else(long, None, part["text"]), tokens], ["id", "text", "tokens"])
+
+    return rows.mapInArrow(tidy(run), "id long, text string, tokens binary")
+
+
+def _token_sets_of(rows: pa.Table, n: int) -> list[np.ndarray]:
+    sets = token_sets(rows["text"].combine_chunks(), n)
+    return [own if tokens is None else np.frombuffer(tokens, np.uint64) for own, tokens in zip(sets, rows["tokens"].to_pylist())]
+
+
 def _groups(known: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, grp, leader of the classes in clusters of several: clusters by their most shared band, cut into groups. leader is set in clusters of more groups than one."""
+    """id, grp, leader of the classes in clusters of several: clusters by the most shared band of a leader of whom a class has SHARED_BANDS, cut into groups. leader is set in clusters of more groups than one."""
     sized = known.where(F.col("low").isNotNull()).select("id", F.col("n_shingles").alias("n"), "bands").join(reps, "id", "left_semi")
     banded = sized.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    chosen = banded.join(shared, "band").groupBy("id").agg(F.max_by("leader", F.struct("members", -F.col("leader"))).alias("cluster"))
+    near = banded.join(shared, "band").groupBy("id", "leader").agg(F.max("members").alias("members"), F.count("*").alias("bands")).where(F.col("bands") >= SHARED_BANDS)
+    chosen = near.groupBy("id").agg(F.max_by("leader", F.struct("members", -F.col("leader"))).alias("cluster"))
     member = written(sized.select("id", "n").join(chosen, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), "jaccard-clusters")
     cuts = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
     cuts = cuts.select("cluster", F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("tokens") / GROUP_TOKENS)).alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
@@ -141,15 +167,15 @@ _PACKED = "sub long, grp long, mixed boolean, ids array<long>, sizes array<int>,
 _LINKS = "a long, b long"
 
 
-def _packed_groups(sets: DataFrame, percent: int, wide) -> DataFrame:
-    """The subgroups of groups of sets (grp, id, guest, tokens): sub (the smallest id), its members' ids, sizes and tokens, the union of their prefixes, and the links found so far.
+def _packed_groups(sets: DataFrame, n: int, percent: int, wide) -> DataFrame:
+    """The subgroups of groups of sets (grp, id, guest, and text or tokens): sub (the smallest id), its members' ids, sizes and tokens, the union of their prefixes, and the links found so far.
 
     The largest component is a subgroup, if it has two members at least; all other members are a mixed one. A guest (a leader) is compared with the group's members, but isn't one of them.
     """
 
     def pack(group: pa.Table) -> pa.Table:
         ids, guests = group["id"].to_pylist(), group["guest"].to_pylist()
-        sets = [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()]
+        sets = _token_sets_of(group, n)
         sizes = [len(t) for t in sets]
         links = spanning_links(ids, sizes, np.concatenate(sets), ids, sizes, np.concatenate(sets), percent)
         root = {i: i for i in ids}
@@ -170,9 +196,9 @@ def _packed_groups(sets: DataFrame, percent: int, wide) -> DataFrame:
         rest = sorted((k for top, part in parts.items() if alone or top != largest for k in part), key=lambda k: ids[k])
         rows = []
         subgroups = ([] if alone else [(False, parts[largest])]) + ([(True, rest)] if rest else [])
-        for n, (mixed_one, mine) in enumerate(subgroups):
+        for at, (mixed_one, mine) in enumerate(subgroups):
             index, further = (np.unique(np.concatenate(x)) for x in zip(*(_split_prefix(sets[k], sizes[k], percent, wide.value) for k in mine)))
-            own = [(i, j) for i, j in links if i != j] if not n else []
+            own = [(i, j) for i, j in links if i != j] if not at else []
             rows.append({
                 "sub": ids[mine[0]], "grp": group["grp"][0].as_py(), "mixed": mixed_one, "ids": [ids[k] for k in mine], "sizes": [sizes[k] for k in mine], "tokens": b"".join(sets[k].tobytes() for k in mine), "index": index, "rest": np.setdiff1d(further, index),
                 "low": min(sizes[k] for k in mine), "high": max(sizes[k] for k in mine), "k": min(shared_least(sizes[k], percent) for k in mine), "a": [i for i, _ in own], "b": [j for _, j in own],
@@ -277,8 +303,10 @@ def _wide(heads: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(keys[starts][keep].astype(np.int64)), pa.array(total[keep])], ["key", "n"])
 
     packed = heads.where(F.col("low").isNotNull()).select("low").mapInArrow(tidy(pack), "slice long, keys binary, sums binary")
-    counts = by_slice(packed).mapInArrow(tidy(count), "key long, n long")
-    return np.sort(counts.orderBy(F.desc("n"), "key").limit(WIDE_LIMIT).toPandas()["key"].to_numpy(np.int64).astype(np.uint32))
+    counts = written(by_slice(packed).mapInArrow(tidy(count), "key long, n long"), "jaccard-wide")  # written, so that the shuffle files go
+    keys = np.sort(counts.orderBy(F.desc("n"), "key").limit(WIDE_LIMIT).toPandas()["key"].to_numpy(np.int64).astype(np.uint32))
+    discard(counts)
+    return keys
 
 
 def _split_prefix(tokens: np.ndarray, size: int, percent: int, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -436,7 +464,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = _groups(known, reps)
     seats = groups.select("id", "grp", F.lit(False).alias("guest")).union(groups.where("leader IS NOT NULL").select("leader", "grp", F.lit(True)).distinct())
     seats = seats.groupBy("id", "grp").agg(F.min("guest").alias("guest"))
-    packed = written(_packed_groups(_sets(docs, groups.select("id").union(groups.select("leader").dropna()).distinct(), n).join(seats, "id"), percent, prefixes.wide), "jaccard-packed")
+    packed = written(_packed_groups(_texts_or_sets(docs, groups.select("id").union(groups.select("leader").dropna()).distinct(), n).join(seats, "id"), n, percent, prefixes.wide), "jaccard-packed")
     within = packed.select(F.explode(F.arrays_zip("a", "b")).alias("link")).select("link.a", "link.b")
     labels = components(within)
     alone = written(reps.join(groups.select("id"), "id", "left_anti"), "jaccard-alone")

@@ -224,6 +224,20 @@ def test_grams_stay_within_texts():
     assert packed.tolist() == np.concatenate(apart).tolist() and np.diff(at).tolist() == [len(x) for x in apart]
 
 
+def test_jaccard_groups_ask_for_a_second_band_and_ship_texts(spark):
+    rows = [(1, [1, 2, 3]), (2, [1, 2, 9]), (3, [3, 7, 8]), (4, [5, 7, 6])]  # 3 and 4 share one band each with others, by chance
+    known = spark.createDataFrame([(i, 10, [i], bands) for i, bands in rows], "id long, n_shingles long, low array<long>, bands array<long>")
+    found = jaccard._groups(known, known.select("id")).collect()
+    assert {r["id"] for r in found} == {1, 2} and len({r["grp"] for r in found}) == 1  # all four before
+
+    texts = {1: "One two three four five six", 2: "a b c d " * 5000, 3: "", 4: None, 5: "x"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    sent = jaccard._texts_or_sets(docs, docs.select("id"), 4).orderBy("id").toArrow()
+    assert [x is None for x in sent["text"].to_pylist()] == [False, True, False, True, False]  # a long text of few tokens goes as its set
+    assert [x is None for x in sent["tokens"].to_pylist()] == [True, False, True, True, True]
+    assert [x.tolist() for x in jaccard._token_sets_of(sent, 4)] == [x.tolist() for x in jaccard.token_sets(pa.array([texts[i] for i in sent["id"].to_pylist()]), 4)]
+
+
 def test_language_memory_follows_blocks_not_batches(monkeypatch):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefghij éß"), rng.integers(1, 9))) for _ in range(3000)]
